@@ -67,11 +67,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def no_empty(text: Column) -> Column:
-    return F.when(text != "", text)
+    return let(text, lambda t: F.when(t != "", t))
 
 
 def empty_to_null(items: Column) -> Column:
-    return F.when(F.size(items) > 0, items)
+    return let(items, lambda x: F.when(F.size(x) > 0, x))
 
 
 def compact(items: Column) -> Column:

@@ -43,7 +43,7 @@ MODULE = rf"^{T.B_OPEN}(?:bare)?module{WS}++({NAME})"
 FIELD = rf"^(?:const{WS}++)?({NAME})::([\s\S]++)$"
 PARAM = rf"^({NAME})(?:::((?:[^={T.BRACKETS}]++|{T.GROUP})++))?{WS}*+(?:=(?!=)[\s\S]*+)?$"
 LITERAL = r"^(?:0[xob][0-9a-fA-F_]++|[0-9][0-9_]*+(?:\.[0-9_]*+)?(?:[eEf][+-]?[0-9_]++)?|\.[0-9][0-9_]*+(?:[eEf][+-]?[0-9]++)?)$"
-# Prefixes that make an assignment a type alias.
+# Texts that make an assignment a type alias.
 CONTAINERS = ["Vector{", "Matrix{", "Array{", "Dict{", "Set{", "Tuple{"]
 
 
@@ -89,12 +89,15 @@ def body(block: Column) -> Column:
 
 def documented(lines: Column) -> Column:
     """``struct(line, doc)``: a string literal right before a line is its doc."""
-    def one(line: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(lines, i - 1))
-        raw = T.restore(F.when(before.rlike(f"^{T.STRING}$"), before))
-        return F.struct(line.alias("line"), T.strip(T.unquote_triple(raw)).alias("doc"))
+    def pairs(every: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(every, i - 1))
+            raw = T.restore(F.when(before.rlike(f"^{T.STRING}$"), before))
+            return F.struct(line.alias("line"), T.strip(T.unquote_triple(raw)).alias("doc"))
 
-    return F.transform(lines, one)
+        return F.transform(every, one)
+
+    return T.let(lines, pairs)
 
 
 def modules(lines: Column) -> Column:
@@ -111,6 +114,29 @@ def _with_modules(lines: Column) -> Column:
     return F.concat(documented(lines), module_lines(lines))
 
 
+def module_members(lines: Column) -> Column:
+    """``struct(module, kind, name)`` of everything directly inside file-level modules."""
+    def one(block: Column) -> Column:
+        name = F.regexp_extract(block, MODULE, 1)
+
+        def member(line: Column) -> Column:
+            def row(kind: str, value: Column) -> Column:
+                return F.struct(name.alias("module"), F.lit(kind).alias("kind"), value.alias("name"))
+
+            return (
+                F.when(line.rlike(IMPORT), row("import", F.regexp_extract(F.regexp_extract(line, IMPORT, 2), f"^({DOTTED})", 1)))
+                .when(line.rlike(FUNCTION), row("function", F.regexp_extract(line, FUNCTION, 1)))
+                .when(line.rlike(SHORT), row("function", F.regexp_extract(line, SHORT, 1)))
+                .when(line.rlike(STRUCT), row("struct", F.regexp_extract(line, STRUCT, 1)))
+                .when(line.rlike(CONST), row("constant", F.regexp_extract(line, CONST, 1)))
+                .when(line.rlike(VARIABLE), row("variable", F.regexp_extract(line, VARIABLE, 1)))
+            )
+
+        return T.compact(F.transform(body(block), member))
+
+    return F.flatten(F.transform(F.filter(lines, lambda x: x.rlike(MODULE)), one))
+
+
 def imports(lines: Column) -> Column:
     def one(d: Column) -> Column:
         rest = F.regexp_extract(d.line, IMPORT, 2)
@@ -285,7 +311,7 @@ def recoverable(content: Column) -> Column:
     return T.let(triage(content), lambda t: ~(t["unclosed_function"] | t["unclosed_struct"] | t["too_short"]))
 
 
-# Fixed line patterns of the fallback extraction.
+# The line patterns of the fallback extraction.
 FALLBACK_IMPORT = [
     r"(?m)^\s*using\s+([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)",
     r"(?m)^\s*import\s+([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)",
@@ -313,8 +339,10 @@ def fallback_names(content: Column, kind: str) -> Column:
 
 
 def _unseen(names: Column, primary: Column, key: str) -> Column:
-    seen = F.transform(primary, lambda x: x[key])
-    return F.filter(names, lambda n: ~F.array_contains(seen, n))
+    return T.let(
+        F.transform(primary, lambda x: x[key]),
+        lambda seen: F.filter(names, lambda n: ~F.coalesce(F.array_contains(seen, n), F.lit(False))),
+    )
 
 
 def merged(content: Column, kind: str, primary: Column) -> Column:
