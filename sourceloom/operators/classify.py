@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sourceloom.functions import paths as P
+from sourceloom.functions import text as T
 
 # Library names and the category they stand for, in rank order.
 INDICATORS = [
@@ -59,22 +60,20 @@ def import_roots(imports: Column) -> Column:
 
 def category_from_imports(roots: Column) -> Column:
     """Category of the best-ranked indicator that occurs in any root, else NULL."""
-    text = F.lower(F.array_join(roots, "\n"))
-    out = F
-    for indicator, category in INDICATORS:
-        out = out.when(F.contains(text, F.lit(indicator)), F.lit(category))
-    return out
+    def ranked(text: Column) -> Column:
+        out = F
+        for indicator, category in INDICATORS:
+            out = out.when(F.contains(text, F.lit(indicator)), F.lit(category))
+        return out
+
+    return T.let(F.lower(F.array_join(roots, "\n")), ranked)
 
 
 def category_from_path(path: Column) -> Column:
-    low = F.lower(path)
     name = P.file_name(path)
     out = F
     for words, category in PATH_RULES:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(low, F.lit(w))
-        out = out.when(hit, F.lit(category))
+        out = out.when(path.rlike("(?i)" + "|".join(words)), F.lit(category))
     return (
         out.when(name == "__init__.py", F.lit("package_init"))
         .when(name.isin(ENTRY_POINTS), F.lit("entrypoint"))

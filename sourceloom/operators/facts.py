@@ -10,15 +10,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.operators.extract.analyze import analyze
+from sourceloom.operators.extract.analyze import analyze, unnest
 
 KEYS = ["file_id", "repo", "path", "language"]
 
 
 def _rows(files: DataFrame, kind: str, languages=None) -> DataFrame:
     """One row per element of one array."""
-    one = analyze(files, languages, [kind])
-    return one.select(*KEYS, F.posexplode(kind).alias("position", "x"))
+    return unnest(analyze(files, languages, [kind]), KEYS, kind, "x", "position")
 
 
 def _joined(names: Column) -> Column:
@@ -40,9 +39,11 @@ def facts_class(files: DataFrame, languages=None) -> DataFrame:
 
 def facts_base(files: DataFrame, languages=None) -> DataFrame:
     """One row per base class; ``is_last`` marks the last one of its class."""
+    classes = _rows(files, "classes", languages).select(
+        *KEYS, F.col("x.name").alias("class_name"), F.size("x.bases").alias("n"), F.col("x.bases").alias("bases")
+    )
     return (
-        _rows(files, "classes", languages)
-        .select(*KEYS, F.col("x.name").alias("class_name"), F.size("x.bases").alias("n"), F.posexplode("x.bases").alias("at", "b"))
+        unnest(classes, [*KEYS, "class_name", "n"], "bases", "b", "at")
         .select(
             *KEYS,
             "class_name",
@@ -54,20 +55,19 @@ def facts_base(files: DataFrame, languages=None) -> DataFrame:
     )
 
 
-def facts_method(files: DataFrame, languages=None) -> DataFrame:
-    return (
-        _rows(files, "classes", languages)
-        .select(*KEYS, F.col("x.name").alias("class_name"), F.explode("x.methods").alias("m"))
-        .select(*KEYS, "class_name", "m.*")
+def _members(files: DataFrame, field: str, languages=None) -> DataFrame:
+    classes = _rows(files, "classes", languages).select(
+        *KEYS, F.col("x.name").alias("class_name"), F.col(f"x.{field}").alias(field)
     )
+    return unnest(classes, [*KEYS, "class_name"], field, "m").select(*KEYS, "class_name", "m.*")
+
+
+def facts_method(files: DataFrame, languages=None) -> DataFrame:
+    return _members(files, "methods", languages)
 
 
 def facts_attribute(files: DataFrame, languages=None) -> DataFrame:
-    return (
-        _rows(files, "classes", languages)
-        .select(*KEYS, F.col("x.name").alias("class_name"), F.explode("x.attributes").alias("a"))
-        .select(*KEYS, "class_name", "a.*")
-    )
+    return _members(files, "attributes", languages)
 
 
 def facts_function(files: DataFrame, languages=None) -> DataFrame:
@@ -127,17 +127,16 @@ def _callables(files: DataFrame, languages=None) -> DataFrame:
             f["docstring"].alias("docstring"),
         ),
     )
-    return both.select(*KEYS, F.explode(F.concat(functions, methods)).alias("c")).select(*KEYS, "c.*")
+    return unnest(both, KEYS, F.concat(functions, methods), "c").select(*KEYS, "c.*")
 
 
 def facts_param(files: DataFrame, languages=None) -> DataFrame:
     return (
-        _callables(files, languages)
-        .select(*KEYS, "owner", F.col("name").alias("callable"), F.posexplode("parameters").alias("at", "p"))
+        unnest(_callables(files, languages), [*KEYS, "owner", "name"], "parameters", "p", "at")
         .select(
             *KEYS,
             "owner",
-            "callable",
+            F.col("name").alias("callable"),
             F.col("at").cast("bigint").alias("param_position"),
             F.col("p.name").alias("name"),
             F.col("p.type").alias("type"),
@@ -166,10 +165,7 @@ def facts_docstring(files: DataFrame, languages=None) -> DataFrame:
             )
         ),
     )
-    return (
-        every.select(*KEYS, F.explode(F.filter(listed, lambda x: x["docstring"].isNotNull())).alias("d"))
-        .select(*KEYS, "d.*")
-    )
+    return unnest(every, KEYS, F.filter(listed, lambda x: x["docstring"].isNotNull()), "d").select(*KEYS, "d.*")
 
 
 def params_kept(params: DataFrame) -> DataFrame:
@@ -210,7 +206,7 @@ def all_facts(files: DataFrame, languages=None) -> DataFrame:
         F.transform("variables", lambda v: entry(v["kind"], nobody, v["name"])),
         F.transform("enums", lambda e: entry(F.lit("enum"), nobody, e["name"])),
     )
-    return every.select(*KEYS, F.explode(listed).alias("x")).select(*KEYS, "x.*")
+    return unnest(every, KEYS, listed, "x").select(*KEYS, "x.*")
 
 
 def union_facts(*tables: DataFrame) -> DataFrame:

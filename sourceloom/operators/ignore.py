@@ -54,7 +54,7 @@ def ignore_match(files: DataFrame, patterns: DataFrame) -> DataFrame:
     repository are joined by repository, spread over salts.
     """
     def test(rule: Column) -> Column:
-        return F.coalesce((rule != "") & F.col("path").rlike(rule), F.lit(False))
+        return F.coalesce((rule != "") & F.regexp_like("path", rule), F.lit(False))
 
     if "repo" in patterns.columns:
         joined = salted_join(files, rules(patterns, ["repo"]), "repo", ["path"], "left")

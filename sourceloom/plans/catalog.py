@@ -14,7 +14,7 @@ from sourceloom.operators import changes as C
 from sourceloom.operators import classify, completions, facts, ignore, prompts
 from sourceloom.operators import kb as K
 from sourceloom.operators.extract import javascript, julia
-from sourceloom.operators.extract.analyze import analyze
+from sourceloom.operators.extract.analyze import analyze, unnest
 from sourceloom.plans.workflows import KnowledgeBase, category_report
 from sourceloom.session import shared_dir
 from sourceloom.sources import corpus
@@ -152,7 +152,7 @@ def py_classes(spark, sf):
         F.transform("classes", lambda c: row(c, _bases(c["bases"]), False)),
         F.transform("enums", lambda e: row(e, F.lit(None).cast("string"), True)),
     )
-    return both.select("file_id", F.explode(listed).alias("x")).select("file_id", "x.*")
+    return unnest(both, ["file_id"], listed, "x").select("file_id", "x.*")
 
 
 def _methods(spark, sf, language):
@@ -420,13 +420,11 @@ def triage(spark, sf):
 
 
 def _fallback(files: DataFrame) -> DataFrame:
-    listed = F.concat(
-        *[
-            F.transform(julia.fallback_names(F.col("content"), k), lambda n, k=k: F.struct(F.lit(k).alias("kind"), n.alias("name")))
-            for k in julia.FALLBACK
-        ]
-    )
-    return files.select("file_id", F.inline(listed))
+    def rows(kind: str) -> Column:
+        names = julia.fallback_names(F.col("content"), kind)
+        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+    return files.select("file_id", F.inline(F.concat(*[rows(k) for k in julia.FALLBACK])))
 
 
 @query
@@ -440,10 +438,10 @@ def jl_merge(spark, sf):
     rows = _of(spark, sf, "julia")
     lines = analyze(rows, ["julia"]).where(~F.col("recovered"))
     primary = facts.union_facts(
-        lines.select("file_id", F.explode("functions").alias("x")).select("file_id", F.lit("function").alias("kind"), "x.name"),
-        lines.select("file_id", F.explode("classes").alias("x")).select("file_id", F.lit("struct").alias("kind"), "x.name"),
-        lines.select("file_id", F.explode("variables").alias("x")).select("file_id", F.lit("constant").alias("kind"), "x.name"),
-        lines.select("file_id", F.explode("imports").alias("x")).select("file_id", F.lit("import").alias("kind"), F.col("x.source").alias("name")),
+        unnest(lines, ["file_id"], "functions", "x").select("file_id", F.lit("function").alias("kind"), "x.name"),
+        unnest(lines, ["file_id"], "classes", "x").select("file_id", F.lit("struct").alias("kind"), "x.name"),
+        unnest(lines, ["file_id"], "variables", "x").select("file_id", F.lit("constant").alias("kind"), "x.name"),
+        unnest(lines, ["file_id"], "imports", "x").select("file_id", F.lit("import").alias("kind"), F.col("x.source").alias("name")),
     ).withColumn("origin", F.lit("primary"))
     kind = F.when(F.col("kind") == "macro", F.lit("function")).otherwise(F.col("kind"))
     fallback = _fallback(rows).withColumn("kind", kind).withColumn("origin", F.lit("fallback"))
@@ -459,7 +457,7 @@ def _imported(spark, sf) -> DataFrame:
 
 @query
 def import_roots(spark, sf):
-    return _imported(spark, sf).select("file_id", F.explode(classify.import_roots(F.col("imports"))).alias("root"))
+    return unnest(_imported(spark, sf), ["file_id"], classify.import_roots(F.col("imports")), "root")
 
 
 @query
@@ -486,7 +484,7 @@ def category_counts(spark, sf):
 
 @query
 def imports_compact(spark, sf):
-    rows = _imported(spark, sf).select("file_id", F.explode("imports").alias("i"))
+    rows = unnest(_imported(spark, sf), ["file_id"], "imports", "i")
     return rows.select("file_id", K.compact_import(F.col("i")).alias("compact"))
 
 
