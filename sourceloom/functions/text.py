@@ -84,6 +84,15 @@ def find(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def starts(text: Column, pattern: str) -> Column:
+    """Does a pattern anchored at the start match?
+
+    The empty alternative ends the search at the first character; a plain regular
+    expression test would retry at every position of the text before it gives up.
+    """
+    return F.regexp_extract(text, f"(?:{pattern})|^", 0) != ""
+
+
 def pick(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of one group, NULL when there is none or it is empty."""
     return no_empty(F.regexp_extract(text, pattern, group))

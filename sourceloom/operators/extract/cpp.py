@@ -93,7 +93,7 @@ def prepare(content: Column) -> Column:
     return T.protect(
         content,
         TOKEN,
-        is_string=lambda t: t.rlike(r"^[ \t]*+#") | ((F.length(t) > 1) & t.rlike("^R?[\"']")),
+        is_string=lambda t: T.starts(t, r"^[ \t]*+#") | ((F.length(t) > 1) & T.starts(t, "^R?[\"']")),
         is_comment=lambda t: t.startswith("//") | t.startswith("/*"),
         keep_comments=True,
     )
@@ -149,7 +149,7 @@ def documented(lines: Column) -> Column:
         )
         # A template is a level of its own, so comments before it do not reach its content.
         return F.struct(
-            F.regexp_replace(code, TEMPLATE, "").alias("line"), F.when(~code.rlike(TEMPLATE), doc).alias("doc")
+            F.regexp_replace(code, TEMPLATE, "").alias("line"), F.when(~T.starts(code, TEMPLATE), doc).alias("doc")
         )
 
     runs = T.find(F.array_join(lines, "\n"), f"(?m)^(?:{T.COMMENT}\n)*+[^{T.C_OPEN}\n][^\n]*+")
@@ -161,7 +161,7 @@ def _hidden(chars: str) -> str:
 
 
 def imports(lines: Column) -> Column:
-    include = F.filter(lines, lambda x: x.rlike(f"^{T.S_OPEN}[ \t]*+{_HASH}[ \t]*+include"))
+    include = F.filter(lines, lambda x: T.starts(x, f"^{T.S_OPEN}[ \t]*+{_HASH}[ \t]*+include"))
 
     def one(x: Column) -> Column:
         path = T.pick(T.restore(x), r"^\s*+#\s*+include\s*+[<\"]([^>\"]*+)[>\"]", 1)
@@ -200,7 +200,7 @@ def parameters(group: Column) -> Column:
 def bases(line: Column) -> Column:
     default = F.when(F.regexp_extract(line, CLASS, 1) == "class", F.lit("private")).otherwise(F.lit("public"))
     listed = F.filter(
-        F.transform(T.find(F.regexp_extract(line, CLASS, 3), ARGUMENT), T.trimmed), lambda b: b.rlike(BASE)
+        F.transform(T.find(F.regexp_extract(line, CLASS, 3), ARGUMENT), T.trimmed), lambda b: T.starts(b, BASE)
     )
     return F.transform(
         listed,
@@ -211,11 +211,11 @@ def bases(line: Column) -> Column:
 
 
 def _callable(line: Column) -> Column:
-    return line.rlike(CALLABLE) & ~line.rlike(NOT_DECLARATION)
+    return T.starts(line, CALLABLE) & ~T.starts(line, NOT_DECLARATION)
 
 
 def _variable(line: Column) -> Column:
-    return line.rlike(VARIABLE) & ~line.rlike(NOT_DECLARATION) & ~_callable(line)
+    return T.starts(line, VARIABLE) & ~T.starts(line, NOT_DECLARATION) & ~_callable(line)
 
 
 def _methods(found: Column) -> Column:
@@ -241,7 +241,7 @@ def _fields(found: Column) -> Column:
 def levels(lines: Column) -> Column:
     """Documented statements of the file and of all class bodies, however deeply nested."""
     def inner(found: Column) -> Column:
-        held = F.filter(found, lambda d: d.line.rlike(CLASS))
+        held = F.filter(found, lambda d: T.starts(d.line, CLASS))
         return F.flatten(F.transform(held, lambda d: documented(members(F.regexp_extract(d.line, CLASS, 4)))))
 
     def step(acc: Column, _: Column) -> Column:
@@ -271,7 +271,7 @@ def classes(lines: Column) -> Column:
             ),
         )
 
-    return F.transform(F.filter(levels(lines), lambda d: d.line.rlike(CLASS)), one)
+    return F.transform(F.filter(levels(lines), lambda d: T.starts(d.line, CLASS)), one)
 
 
 def functions(lines: Column) -> Column:
@@ -321,7 +321,7 @@ def enums(lines: Column) -> Column:
         bare = T.trimmed(F.regexp_replace(a, T.COMMENT, ""))
         shape = rf"^({NAME}){WS}*+(?:=([\s\S]++))?$"
         return F.when(
-            bare.rlike(shape),
+            T.starts(bare, shape),
             S.member_row(
                 F.regexp_extract(bare, shape, 1), T.no_empty(T.source_text(F.regexp_extract(bare, shape, 2)))
             ),
@@ -333,4 +333,4 @@ def enums(lines: Column) -> Column:
             F.regexp_extract(d.line, pattern, 1), T.empty_to_null(T.compact(F.transform(listed, member))), d.doc
         )
 
-    return F.transform(F.filter(levels(lines), lambda d: d.line.rlike(pattern)), one)
+    return F.transform(F.filter(levels(lines), lambda d: T.starts(d.line, pattern)), one)

@@ -65,7 +65,7 @@ def prepare(content: Column) -> Column:
     protected = T.protect(
         content,
         TOKEN,
-        is_string=lambda t: (F.length(t) > 1) & t.rlike("^[\"'`/]"),
+        is_string=lambda t: (F.length(t) > 1) & T.starts(t, "^[\"'`/]"),
         is_comment=lambda t: t.startswith("//") | t.startswith("/*"),
         keep_comments=True,
     )
@@ -148,7 +148,7 @@ def imported(lines: Column) -> Column:
 
         return T.let(_aliases(T.inside(F.regexp_extract(line, IMPORT, 3))), rows)
 
-    return F.transform(F.filter(lines, lambda x: x.rlike(IMPORT)), one)
+    return F.transform(F.filter(lines, lambda x: T.starts(x, IMPORT)), one)
 
 
 def exported(lines: Column) -> Column:
@@ -188,11 +188,11 @@ def exported(lines: Column) -> Column:
         rest = T.trimmed(F.regexp_replace(line, f"^export{WS}*+", ""))
         return T.let(
             rest,
-            lambda r: F.when(r.rlike(rf"^default\b"), default(T.trimmed(F.regexp_replace(r, "^default", ""))))
+            lambda r: F.when(T.starts(r, rf"^default\b"), default(T.trimmed(F.regexp_replace(r, "^default", ""))))
             .when(r.startswith("{"), clause(r))
             .when(r.startswith("*"), star(r))
             .when(
-                r.rlike(VARIABLE),
+                T.starts(r, VARIABLE),
                 F.transform(
                     _declared(r),
                     lambda v: S.import_row(v["name"], own, F.array(v["name"]), "export"),
@@ -201,7 +201,7 @@ def exported(lines: Column) -> Column:
             .otherwise(declared(r)),
         )
 
-    return F.flatten(F.transform(F.filter(lines, lambda x: x.rlike(rf"^export(?:{WS}|[{{*])")), one))
+    return F.flatten(F.transform(F.filter(lines, lambda x: T.starts(x, rf"^export(?:{WS}|[{{*])")), one))
 
 
 def imports(lines: Column) -> Column:
@@ -218,7 +218,7 @@ def parameters(group: Column) -> Column:
 
 
 def _methods(lines: Column) -> Column:
-    found = F.filter(documented(lines, METHOD_START), lambda d: d.line.rlike(METHOD))
+    found = F.filter(documented(lines, METHOD_START), lambda d: T.starts(d.line, METHOD))
     return F.transform(
         found,
         lambda d: S.method_row(
@@ -230,7 +230,7 @@ def _methods(lines: Column) -> Column:
 
 
 def _fields(lines: Column) -> Column:
-    found = F.filter(lines, lambda x: x.rlike(FIELD) & ~x.rlike(f"^{T.C_OPEN}"))
+    found = F.filter(lines, lambda x: T.starts(x, FIELD) & ~T.starts(x, f"^{T.C_OPEN}"))
     return F.transform(
         found,
         lambda x: S.attribute_row(
@@ -253,12 +253,12 @@ def classes(lines: Column) -> Column:
             ),
         )
 
-    return F.transform(F.filter(documented(lines, DECLARATION), lambda d: d.line.rlike(CLASS)), one)
+    return F.transform(F.filter(documented(lines, DECLARATION), lambda d: T.starts(d.line, CLASS)), one)
 
 
 def functions(lines: Column) -> Column:
     declared = F.transform(
-        F.filter(documented(lines, DECLARATION), lambda d: d.line.rlike(FUNCTION)),
+        F.filter(documented(lines, DECLARATION), lambda d: T.starts(d.line, FUNCTION)),
         lambda d: S.function_row(
             F.regexp_extract(d.line, FUNCTION, 1),
             T.empty_to_null(parameters(F.regexp_extract(d.line, FUNCTION, 2))),
@@ -267,7 +267,7 @@ def functions(lines: Column) -> Column:
     )
     # Only a bracketed list counts as parameters of an arrow, as in the declaration form.
     arrows = F.transform(
-        F.filter(lines, lambda x: x.rlike(ARROW)),
+        F.filter(lines, lambda x: T.starts(x, ARROW)),
         lambda x: S.function_row(
             F.regexp_extract(x, ARROW, 1),
             T.empty_to_null(parameters(T.pick(F.regexp_extract(x, ARROW, 2), r"^(\([\s\S]*+)$", 1))),
@@ -282,7 +282,7 @@ def _declared(line: Column) -> Column:
     kind = F.when(F.regexp_extract(line, VARIABLE, 1) == "const", F.lit("constant")).otherwise(
         F.lit("external_variable")
     )
-    found = F.filter(T.arguments(F.regexp_extract(line, VARIABLE, 2)), lambda a: a.rlike(DECLARATOR))
+    found = F.filter(T.arguments(F.regexp_extract(line, VARIABLE, 2)), lambda a: T.starts(a, DECLARATOR))
 
     def one(a: Column) -> Column:
         value = T.trimmed(F.regexp_extract(a, DECLARATOR, 2))
@@ -291,14 +291,14 @@ def _declared(line: Column) -> Column:
             T.source_text(F.regexp_extract(a, DECLARATOR, 1)),
             kind,
             S.null(),
-            F.when(a.rlike("="), F.when(value.rlike(f"^{T.STRING}$"), T.unquote(text, "\"'`")).otherwise(text)),
+            F.when(a.rlike("="), F.when(T.starts(value, f"^{T.STRING}$"), T.unquote(text, "\"'`")).otherwise(text)),
         )
 
     return F.transform(found, one)
 
 
 def variables(lines: Column) -> Column:
-    return F.flatten(F.transform(F.filter(lines, lambda x: x.rlike(VARIABLE)), _declared))
+    return F.flatten(F.transform(F.filter(lines, lambda x: T.starts(x, VARIABLE)), _declared))
 
 
 def enums(lines: Column) -> Column:

@@ -59,7 +59,7 @@ def prepare(content: Column) -> Column:
 
     def mark(t: Column) -> Column:
         opened = F.regexp_replace(t, f"{_PLAIN}{OPENERS}{_AFTER}", f"{T.B_OPEN}$1")
-        return F.when(t.rlike(r"^[(\[{]"), t).otherwise(
+        return F.when(T.starts(t, r"^[(\[{]"), t).otherwise(
             F.regexp_replace(opened, f"{_PLAIN}end{_AFTER}", f"end{T.B_CLOSE}")
         )
 
@@ -92,7 +92,7 @@ def documented(lines: Column) -> Column:
     def pairs(every: Column) -> Column:
         def one(line: Column, i: Column) -> Column:
             before = F.when(i > 0, F.get(every, i - 1))
-            raw = T.restore(F.when(before.rlike(f"^{T.STRING}$"), before))
+            raw = T.restore(F.when(T.starts(before, f"^{T.STRING}$"), before))
             return F.struct(line.alias("line"), T.strip(T.unquote_triple(raw)).alias("doc"))
 
         return F.transform(every, one)
@@ -102,12 +102,12 @@ def documented(lines: Column) -> Column:
 
 def modules(lines: Column) -> Column:
     """Names of the modules at file level."""
-    return F.transform(F.filter(lines, lambda x: x.rlike(MODULE)), lambda x: F.regexp_extract(x, MODULE, 1))
+    return F.transform(F.filter(lines, lambda x: T.starts(x, MODULE)), lambda x: F.regexp_extract(x, MODULE, 1))
 
 
 def module_lines(lines: Column) -> Column:
     """``struct(line, doc)`` of the lines directly inside file-level modules."""
-    return F.flatten(F.transform(F.filter(lines, lambda x: x.rlike(MODULE)), lambda x: documented(body(x))))
+    return F.flatten(F.transform(F.filter(lines, lambda x: T.starts(x, MODULE)), lambda x: documented(body(x))))
 
 
 def _with_modules(lines: Column) -> Column:
@@ -124,17 +124,17 @@ def module_members(lines: Column) -> Column:
                 return F.struct(name.alias("module"), F.lit(kind).alias("kind"), value.alias("name"))
 
             return (
-                F.when(line.rlike(IMPORT), row("import", F.regexp_extract(F.regexp_extract(line, IMPORT, 2), f"^({DOTTED})", 1)))
-                .when(line.rlike(FUNCTION), row("function", F.regexp_extract(line, FUNCTION, 1)))
-                .when(line.rlike(SHORT), row("function", F.regexp_extract(line, SHORT, 1)))
-                .when(line.rlike(STRUCT), row("struct", F.regexp_extract(line, STRUCT, 1)))
-                .when(line.rlike(CONST), row("constant", F.regexp_extract(line, CONST, 1)))
-                .when(line.rlike(VARIABLE), row("variable", F.regexp_extract(line, VARIABLE, 1)))
+                F.when(T.starts(line, IMPORT), row("import", F.regexp_extract(F.regexp_extract(line, IMPORT, 2), f"^({DOTTED})", 1)))
+                .when(T.starts(line, FUNCTION), row("function", F.regexp_extract(line, FUNCTION, 1)))
+                .when(T.starts(line, SHORT), row("function", F.regexp_extract(line, SHORT, 1)))
+                .when(T.starts(line, STRUCT), row("struct", F.regexp_extract(line, STRUCT, 1)))
+                .when(T.starts(line, CONST), row("constant", F.regexp_extract(line, CONST, 1)))
+                .when(T.starts(line, VARIABLE), row("variable", F.regexp_extract(line, VARIABLE, 1)))
             )
 
         return T.compact(F.transform(body(block), member))
 
-    return F.flatten(F.transform(F.filter(lines, lambda x: x.rlike(MODULE)), one))
+    return F.flatten(F.transform(F.filter(lines, lambda x: T.starts(x, MODULE)), one))
 
 
 def imports(lines: Column) -> Column:
@@ -142,21 +142,21 @@ def imports(lines: Column) -> Column:
         rest = F.regexp_extract(d.line, IMPORT, 2)
         source = T.pick(rest, f"^({DOTTED})", 1)
         selected = T.pick(rest, rf"^{DOTTED}{WS}*+:{WS}*+([\s\S]++)$", 1)
-        items = T.empty_to_null(F.filter(T.arguments(selected), lambda a: a.rlike(f"^{DOTTED}$")))
+        items = T.empty_to_null(F.filter(T.arguments(selected), lambda a: T.starts(a, f"^{DOTTED}$")))
         several = F.transform(
-            F.filter(T.arguments(rest), lambda a: a.rlike(f"^{DOTTED}(?:{WS}++as{WS}++{NAME})?$")),
+            F.filter(T.arguments(rest), lambda a: T.starts(a, f"^{DOTTED}(?:{WS}++as{WS}++{NAME})?$")),
             lambda a: S.import_row(S.null(), F.regexp_extract(a, f"^({DOTTED})", 1)),
         )
         return F.when(selected.isNotNull(), F.array(S.import_row(S.null(), source, items))).otherwise(several)
 
-    return F.flatten(F.transform(F.filter(_with_modules(lines), lambda d: d.line.rlike(IMPORT)), one))
+    return F.flatten(F.transform(F.filter(_with_modules(lines), lambda d: T.starts(d.line, IMPORT)), one))
 
 
 def parameters(group: Column) -> Column:
     """Positional, typed and keyword parameters; a type is kept if it is a plain name."""
     def one(arg: Column) -> Column:
         return F.when(
-            arg.rlike(PARAM),
+            T.starts(arg, PARAM),
             S.parameter_row(F.regexp_extract(arg, PARAM, 1), T.pick(T.trimmed(F.regexp_extract(arg, PARAM, 2)), f"^({NAME})$", 1)),
         )
 
@@ -178,21 +178,21 @@ def _callable(d: Column, pattern: str, origin: str, doc: bool = True, prefix: st
 def _function(d: Column, origin: str) -> Column:
     line = d["line"]
     return (
-        F.when(line.rlike(FUNCTION), _callable(d, FUNCTION, origin))
-        .when(line.rlike(SHORT), _callable(d, SHORT, origin, doc=False))
-        .when(line.rlike(MACRO), _callable(d, MACRO, origin, prefix="@"))
+        F.when(T.starts(line, FUNCTION), _callable(d, FUNCTION, origin))
+        .when(T.starts(line, SHORT), _callable(d, SHORT, origin, doc=False))
+        .when(T.starts(line, MACRO), _callable(d, MACRO, origin, prefix="@"))
     )
 
 
 def _is_function(line: Column) -> Column:
-    return line.rlike(FUNCTION) | line.rlike(SHORT) | line.rlike(MACRO)
+    return T.starts(line, FUNCTION) | T.starts(line, SHORT) | T.starts(line, MACRO)
 
 
 def nested(lines: Column) -> Column:
     """Functions, short forms and macros anywhere inside a function."""
     # Every inner line that may start a definition, with the brackets that follow it.
     piece = rf"(?:{T.B_OPEN}(?:function|macro){WS}++{NAME}{T.PAREN}|{NAME}{T.PAREN}[^\n{T.BRACKETS}=]*+=(?![=>]))"
-    holders = F.filter(lines, lambda x: F.contains(x, F.lit(f"{T.B_OPEN}function")) & ~x.rlike(SHORT))
+    holders = F.filter(lines, lambda x: F.contains(x, F.lit(f"{T.B_OPEN}function")) & ~T.starts(x, SHORT))
 
     def tops(x: Column) -> Column:
         """Outermost functions of a line, which may be a module, a struct or a block."""
@@ -219,7 +219,7 @@ def functions(lines: Column) -> Column:
         F.filter(documented(lines), lambda d: _is_function(d["line"])), lambda d: _function(d, "top")
     )
     held = F.transform(
-        F.filter(module_lines(lines), lambda d: d["line"].rlike(FUNCTION) | d["line"].rlike(SHORT)),
+        F.filter(module_lines(lines), lambda d: T.starts(d["line"], FUNCTION) | T.starts(d["line"], SHORT)),
         lambda d: _function(d, "module"),
     )
     return F.concat(top, held, nested(lines))
@@ -231,7 +231,7 @@ def classes(lines: Column) -> Column:
 
         def row(m: Column) -> Column:
             methods = F.transform(
-                F.filter(m, lambda x: x.rlike(SHORT)),
+                F.filter(m, lambda x: T.starts(x, SHORT)),
                 lambda x: S.method_row(
                     F.regexp_extract(x, SHORT, 1),
                     T.empty_to_null(parameters(F.regexp_extract(x, SHORT, 2))),
@@ -239,7 +239,7 @@ def classes(lines: Column) -> Column:
                 ),
             )
             fields = F.transform(
-                F.filter(m, lambda x: x.rlike(FIELD)),
+                F.filter(m, lambda x: T.starts(x, FIELD)),
                 lambda x: S.attribute_row(
                     F.regexp_extract(x, FIELD, 1), T.pick(T.trimmed(F.regexp_extract(x, FIELD, 2)), f"^({NAME})$", 1)
                 ),
@@ -254,18 +254,18 @@ def classes(lines: Column) -> Column:
 
         return T.let(body(d["line"]), row)
 
-    return F.transform(F.filter(_with_modules(lines), lambda d: d["line"].rlike(STRUCT)), one)
+    return F.transform(F.filter(_with_modules(lines), lambda d: T.starts(d["line"], STRUCT)), one)
 
 
 def variables(lines: Column) -> Column:
     def one(d: Column) -> Column:
         line = d["line"]
-        constant = line.rlike(CONST)
+        constant = T.starts(line, CONST)
         value = T.trimmed(F.when(constant, F.regexp_extract(line, CONST, 2)).otherwise(F.regexp_extract(line, VARIABLE, 2)))
         alias = F.lit(False)
         for prefix in CONTAINERS:
             alias = alias | F.contains(line, F.lit(prefix))
-        literal = value.rlike(LITERAL) | value.rlike(f"^{T.STRING}$") | (~constant & value.isin("true", "false"))
+        literal = T.starts(value, LITERAL) | T.starts(value, f"^{T.STRING}$") | (~constant & value.isin("true", "false"))
         return S.variable_row(
             F.when(constant, F.regexp_extract(line, CONST, 1)).otherwise(F.regexp_extract(line, VARIABLE, 1)),
             F.when(constant, F.lit("constant")).when(alias, F.lit("type_alias")).otherwise(F.lit("external_variable")),
@@ -273,7 +273,7 @@ def variables(lines: Column) -> Column:
             T.restore(F.when(literal, value)),
         )
 
-    found = F.filter(_with_modules(lines), lambda d: d["line"].rlike(CONST) | d["line"].rlike(VARIABLE))
+    found = F.filter(_with_modules(lines), lambda d: T.starts(d["line"], CONST) | T.starts(d["line"], VARIABLE))
     return F.transform(found, one)
 
 

@@ -92,7 +92,7 @@ def members(block: Column) -> Column:
 
 def docstring(member_blocks: Column) -> Column:
     first = F.get(member_blocks, F.lit(0))
-    raw = T.restore(F.when(first.rlike(LITERAL_STRING), first))
+    raw = T.restore(F.when(T.starts(first, LITERAL_STRING), first))
 
     def clean(s: Column) -> Column:
         bare = T.unquote_triple(s)
@@ -105,7 +105,7 @@ def docstring(member_blocks: Column) -> Column:
 def parameters(group: Column) -> Column:
     def one(arg: Column) -> Column:
         return F.when(
-            arg.rlike(PARAM),
+            T.starts(arg, PARAM),
             S.parameter_row(F.regexp_extract(arg, PARAM, 1), T.no_empty(T.source_text(F.regexp_extract(arg, PARAM, 2)))),
         )
 
@@ -133,7 +133,7 @@ def imports(top: Column) -> Column:
             F.array(S.import_row(source, source, listed)),
         ).otherwise(S.nothing(S.IMPORT))
 
-    found = F.filter(top, lambda b: b.rlike(r"^(?:import|from)[ \t]"))
+    found = F.filter(top, lambda b: T.starts(b, r"^(?:import|from)[ \t]"))
     return F.flatten(
         F.transform(found, lambda b: F.when(b.startswith("import"), plain(b)).otherwise(selected(b)))
     )
@@ -141,7 +141,7 @@ def imports(top: Column) -> Column:
 
 def bases(block: Column) -> Column:
     return F.transform(
-        F.filter(T.arguments(T.inside(F.regexp_extract(block, CLASS, 2))), lambda a: a.rlike(f"^{DOTTED}$")),
+        F.filter(T.arguments(T.inside(F.regexp_extract(block, CLASS, 2))), lambda a: T.starts(a, f"^{DOTTED}$")),
         lambda b: S.base_row(b),
     )
 
@@ -151,19 +151,19 @@ def is_enum(block: Column) -> Column:
 
 
 def _assigned(block: Column) -> Column:
-    return block.rlike(ASSIGN) & block.rlike(r"[:=]") & ~block.rlike(KEYWORD)
+    return T.starts(block, ASSIGN) & block.rlike(r"[:=]") & ~T.starts(block, KEYWORD)
 
 
 def _literal(value: Column) -> Column:
     plain = T.trimmed(value)
-    return F.when(plain.rlike(LITERAL_STRING), T.unquote_triple(T.restore(plain))).when(
-        plain.rlike(LITERAL_WORD), plain
+    return F.when(T.starts(plain, LITERAL_STRING), T.unquote_triple(T.restore(plain))).when(
+        T.starts(plain, LITERAL_WORD), plain
     )
 
 
 def _callables(found: Column, row) -> Column:
     return F.transform(
-        F.filter(found, lambda b: b.rlike(DEF)),
+        F.filter(found, lambda b: T.starts(b, DEF)),
         lambda b: row(
             F.regexp_extract(b, DEF, 1),
             T.empty_to_null(parameters(F.regexp_extract(b, DEF, 2))),
@@ -194,13 +194,13 @@ def classes(top: Column) -> Column:
             ),
         )
 
-    return F.transform(F.filter(top, lambda b: b.rlike(CLASS) & ~is_enum(b)), one)
+    return F.transform(F.filter(top, lambda b: T.starts(b, CLASS) & ~is_enum(b)), one)
 
 
 def enums(top: Column) -> Column:
     def member(block: Column) -> Column:
         value = F.regexp_extract(block, ASSIGN, 3)
-        call = T.trimmed(value).rlike(rf"^{DOTTED}{T.PAREN}$")
+        call = T.starts(T.trimmed(value), rf"^{DOTTED}{T.PAREN}$")
         return S.member_row(
             F.regexp_extract(block, ASSIGN, 1),
             F.when(call, T.source_text(value)).otherwise(_literal(value)),
@@ -216,7 +216,7 @@ def enums(top: Column) -> Column:
             ),
         )
 
-    return F.transform(F.filter(top, lambda b: b.rlike(CLASS) & is_enum(b)), one)
+    return F.transform(F.filter(top, lambda b: T.starts(b, CLASS) & is_enum(b)), one)
 
 
 def functions(top: Column) -> Column:

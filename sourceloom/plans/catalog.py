@@ -35,7 +35,7 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "source_files").select("file_id", "repo", "path", "content")
+    return corpus.spread(_t(spark, sf, "source_files").select("file_id", "repo", "path", "content"))
 
 
 def _paths(spark: SparkSession, sf: str) -> DataFrame:

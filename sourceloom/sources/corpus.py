@@ -36,6 +36,18 @@ def scan_corpus(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFram
     )
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Split a small input over all cores; an input with enough splits stays as it is.
+
+    Extraction is bound by processing, so a few large splits would leave cores idle.
+    ``file_id`` is unique, hence the parts are even and the same after a recomputation.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    if files.rdd.getNumPartitions() >= cores:
+        return files
+    return files.repartition(cores, "file_id")
+
+
 def load_patterns(lines: DataFrame) -> DataFrame:
     """Ignore-list lines without blanks and comments, stripped; order is ``line_no``."""
     stripped = lines.withColumn("pattern", T.strip(F.col("line"))).drop("line")
