@@ -37,7 +37,7 @@ _GLOB_TOKEN = r"\*|\?|\[!?\]?[^\]]*\]|[\s\S]"
 def glob_regex(glob: Column, *, within_part: bool) -> Column:
     """Regular expression of a glob with ``*``, ``?``, ``[seq]`` and ``[!seq]``.
 
-    With ``within_part`` the wildcards stay inside one path part, else they cross ``/``.
+    With ``within_part`` nothing matches ``/``, else the wildcards cross it.
     """
     one = "[^/]" if within_part else "(?s:.)"
     barred = "/" if within_part else ""
@@ -45,9 +45,10 @@ def glob_regex(glob: Column, *, within_part: bool) -> Column:
     def token(t: Column) -> Column:
         body = F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), r"([\[\]\\&^])", r"\\$1")
         negated = F.concat(F.lit("[^"), F.regexp_replace(body, "^!", ""), F.lit(f"{barred}]"))
-        listed = F.concat(F.lit("["), body, F.lit("]"))
+        listed = F.concat(F.lit("["), body, F.lit("&&[^/]]" if within_part else "]"))
         return (
-            F.when(t == "*", F.lit(f"{one}*"))
+            F.when((t == "/") & F.lit(within_part), F.lit("(?!)"))
+            .when(t == "*", F.lit(f"{one}*"))
             .when(t == "?", F.lit(one))
             .when((F.length(t) > 2) & t.startswith("[!"), negated)
             .when((F.length(t) > 2) & t.startswith("["), listed)

@@ -48,25 +48,28 @@ def commit_scope(paths: DataFrame) -> DataFrame:
     )
 
 
-def lookup_table(files: DataFrame, kept: DataFrame, kb: DataFrame) -> DataFrame:
+def lookup_table(files: DataFrame, answers: DataFrame) -> DataFrame:
     """What a lookup of each file answers: ``(file_id, path, kb_file_id, ..)``.
 
-    A path is answered by the survivor of its key, which may be another file. ``kb`` holds
-    ``file_id`` and the columns to attach. Joins are at the grain of files, before any
-    change is touched.
+    A path is answered by the survivor of its key, which may be another file. The join is
+    at the grain of files, before any change is touched.
     """
-    answered = kept.withColumnRenamed("file_id", "kb_file_id").join(
-        kb.withColumnRenamed("file_id", "kb_file_id"), "kb_file_id"
-    )
     keyed = files.select("file_id", "repo", "path", P.without_extension(F.col("path")).alias("kb_key"))
-    return keyed.join(answered, ["repo", "kb_key"], "left").drop("kb_key")
+    return keyed.join(answers, ["repo", "kb_key"], "left").drop("kb_key")
+
+
+def _path() -> Column:
+    return F.coalesce("path", F.concat(F.lit("missing/p_"), F.col("file_id").cast("string")))
+
+
+def with_paths(changes: DataFrame, files: DataFrame) -> DataFrame:
+    """Changes with the path of their file; a file that does not exist gets a made-up one."""
+    return changes.join(files.select("file_id", "path"), "file_id", "left").withColumn("path", _path())
 
 
 def change_context(changes: DataFrame, lookup: DataFrame) -> DataFrame:
     """Every change with what the knowledge base knows of its file, if anything."""
-    joined = changes.join(lookup, "file_id", "left")
-    missing = F.concat(F.lit("missing/p_"), F.col("file_id").cast("string"))
-    return joined.withColumn("path", F.coalesce("path", missing))
+    return changes.join(lookup, "file_id", "left").withColumn("path", _path())
 
 
 def unanalyzed(changes: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -91,12 +91,16 @@ def collisions(built: DataFrame) -> DataFrame:
     )
 
 
-def survivors(built: DataFrame) -> DataFrame:
-    """``(repo, kb_key, file_id)`` of the file that answers a lookup."""
+def survivors(rows: DataFrame, attach: tuple[str, ...] = ()) -> DataFrame:
+    """``(repo, kb_key, kb_file_id, ..)``: the file that answers a lookup, with columns of it.
+
+    The columns ride along in the aggregate, so the extraction behind them runs once, and
+    versions of a much-repeated path are reduced before the shuffle.
+    """
     return (
-        built.groupBy("repo", _key(F.col("path")).alias("kb_key"))
-        .agg(F.max(F.struct("path", "file_id")).alias("kept"))
-        .select("repo", "kb_key", F.col("kept.file_id").alias("file_id"))
+        rows.groupBy("repo", _key(F.col("path")).alias("kb_key"))
+        .agg(F.max(F.struct("path", "file_id", *attach)).alias("kept"))
+        .select("repo", "kb_key", F.col("kept.file_id").alias("kb_file_id"), *[F.col(f"kept.{c}").alias(c) for c in attach])
     )
 
 

@@ -15,7 +15,7 @@ from sourceloom.operators import classify, completions, facts, ignore, prompts
 from sourceloom.operators import kb as K
 from sourceloom.operators.extract import javascript, julia
 from sourceloom.operators.extract.analyze import analyze, unnest
-from sourceloom.plans.workflows import KnowledgeBase, category_report
+from sourceloom.plans.workflows import KnowledgeBase, category_report, draft_prompts
 from sourceloom.session import shared_dir
 from sourceloom.sources import corpus
 from sourceloom.sources.sinks import json_documents
@@ -562,7 +562,8 @@ def change_count(spark, sf):
 
 def _lookup(spark, sf) -> DataFrame:
     kb = _kb(spark, sf)
-    return kb.lookup(kb.good.select("file_id", "category", F.col("path").alias("kb_path")))
+    rows = kb.good.select("file_id", "repo", "path", "category", F.col("path").alias("kb_path"))
+    return C.lookup_table(kb.files, K.survivors(rows, ("category", "kb_path")))
 
 
 def _changed(spark, sf) -> DataFrame:
@@ -581,9 +582,7 @@ def unanalyzed_changes(spark, sf):
 
 @query
 def commit_scope(spark, sf):
-    paths = _t(spark, sf, "changes").join(_files(spark, sf).select("file_id", "path"), "file_id", "left")
-    named = F.coalesce("path", F.concat(F.lit("missing/p_"), F.col("file_id").cast("string")))
-    return C.commit_scope(paths.withColumn("path", named))
+    return C.commit_scope(C.with_paths(_t(spark, sf, "changes"), _files(spark, sf)))
 
 
 @query
@@ -603,9 +602,8 @@ def context_text(spark, sf):
 
 @query
 def prompt_render(spark, sf):
-    rows = _contexts(spark, sf)
     diffs = corpus.nonempty_diffs(_t(spark, sf, "diffs"))
-    return prompts.render_prompts(diffs, prompts.context_text(rows), C.commit_scope(rows))
+    return draft_prompts(_kb(spark, sf), _t(spark, sf, "changes"), diffs)
 
 
 # --- completions -------------------------------------------------------------------

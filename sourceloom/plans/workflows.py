@@ -33,17 +33,13 @@ class KnowledgeBase:
     def good(self) -> DataFrame:
         return K.quarantine(self.built)[0]
 
-    def lookup(self, kb_columns: DataFrame | None = None) -> DataFrame:
-        """Per file what a lookup answers, with ``block`` or the given columns.
-
-        Survivors come from the paths of analysed files, so that this side carries no content.
-        """
-        good = self.good
-        kb = R.file_block(good) if kb_columns is None else kb_columns
-        return C.lookup_table(self.files, K.survivors(good), kb)
+    def lookup(self) -> DataFrame:
+        """Per file the context block that a lookup of its path answers."""
+        return C.lookup_table(self.files, K.survivors(R.file_block(self.good), ("block",)))
 
 
 def draft_prompts(kb: KnowledgeBase, changes: DataFrame, diffs: DataFrame) -> DataFrame:
     """Prompts per commit: lookup, scope, context and diff."""
     context = C.change_context(R.with_parts(changes), kb.lookup())
-    return R.render_prompts(diffs, R.context_text(context), C.commit_scope(context))
+    scopes = C.commit_scope(C.with_paths(changes, kb.files))
+    return R.render_prompts(diffs, R.context_text(context), scopes)

@@ -19,8 +19,7 @@ def scan_corpus(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFram
     path, before their content is decoded.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    relative = F.substring_index(F.col("path"), base, -1)
+    relative = F.substring_index("path", root.rstrip("/") + "/", -1)
     level = "/".join(["[^/]+"] * repo_depth)
     return (
         raw.select("content", relative.alias("relative"))
