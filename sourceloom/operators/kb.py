@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from sourceloom.functions import text as T
 from sourceloom.operators import classify
 from sourceloom.operators.extract.analyze import analyze
 from sourceloom.operators.extract.registry import LANGUAGES
+from sourceloom.operators.extract.shapes import ARRAYS
 from sourceloom.operators.ignore import default_ignored, ignore_match, quiet
 from sourceloom.sources.corpus import language_of, supported, with_language
 
@@ -33,14 +36,19 @@ def candidates(files: DataFrame, patterns: DataFrame) -> DataFrame:
     return sift(files, patterns).where(F.col("skipped").isNull()).drop("skipped")
 
 
-def build(files: DataFrame) -> DataFrame:
-    """Analyse files: arrays, ``analyzer``, ``category`` and ``failure``. Map-only."""
+def build(files: DataFrame, kinds: Iterable[str] = tuple(ARRAYS)) -> DataFrame:
+    """Analyse files: arrays, ``analyzer``, ``failure`` and, if imports are asked for, ``category``.
+
+    Map-only. Naming the arrays a job needs keeps its plan small.
+    """
     known = files if "language" in files.columns else with_language(files)
-    rows = analyze(known)
     names = [F.lit(v) for g in LANGUAGES.values() for v in (g.name, g.analyzer)]
-    return rows.withColumn(
+    rows = analyze(known, kinds=kinds).withColumn(
         "analyzer", F.coalesce(F.try_element_at(F.create_map(*names), F.col("language")), F.lit("unknown"))
-    ).withColumn("category", classify.file_category(F.col("imports"), F.col("path")))
+    )
+    if "imports" not in kinds:
+        return rows
+    return rows.withColumn("category", classify.file_category(F.col("imports"), F.col("path")))
 
 
 def quarantine(built: DataFrame) -> tuple[DataFrame, DataFrame]:

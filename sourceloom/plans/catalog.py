@@ -15,6 +15,7 @@ from sourceloom.operators import classify, completions, facts, ignore, prompts
 from sourceloom.operators import kb as K
 from sourceloom.operators.extract import javascript, julia
 from sourceloom.operators.extract.analyze import analyze, unnest
+from sourceloom.operators.extract.shapes import ARRAYS
 from sourceloom.plans.workflows import KnowledgeBase, category_report, draft_prompts
 from sourceloom.session import shared_dir
 from sourceloom.sources import corpus
@@ -51,8 +52,8 @@ def _of(spark: SparkSession, sf: str, language: str) -> DataFrame:
     return corpus.with_language(_files(spark, sf)).where(F.col("language") == language)
 
 
-def _kb(spark: SparkSession, sf: str) -> KnowledgeBase:
-    return KnowledgeBase(_files(spark, sf), _patterns(spark, sf))
+def _kb(spark: SparkSession, sf: str, kinds: tuple[str, ...] = tuple(ARRAYS)) -> KnowledgeBase:
+    return KnowledgeBase(_files(spark, sf), _patterns(spark, sf), kinds)
 
 
 def _names(items: Column) -> Column:
@@ -473,8 +474,7 @@ def category_path(spark, sf):
 
 @query
 def file_category(spark, sf):
-    good, _ = K.quarantine(K.build(K.candidates(_files(spark, sf), _patterns(spark, sf))))
-    return good.select("file_id", "repo", "path", "category")
+    return _kb(spark, sf, ("imports",)).good.select("file_id", "repo", "path", "category")
 
 
 @query
@@ -508,7 +508,7 @@ def all_facts(spark, sf):
 
 @query
 def quarantine(spark, sf):
-    _, failed = K.quarantine(K.build(corpus.with_language(_files(spark, sf)).where(corpus.supported(F.col("path")))))
+    _, failed = K.quarantine(K.build(_files(spark, sf).where(corpus.supported(F.col("path"))), ()))
     return failed.select("file_id", "repo", "path", "reason")
 
 
@@ -539,12 +539,12 @@ def kb_compact(spark, sf):
 
 @query
 def kb_export(spark, sf):
-    return K.export(_kb(spark, sf).built).select("file_id", "repo", "path", "analyzed", "reason")
+    return K.export(_kb(spark, sf, ()).built).select("file_id", "repo", "path", "analyzed", "reason")
 
 
 @query
 def kb_collisions(spark, sf):
-    return K.collisions(_kb(spark, sf).good)
+    return K.collisions(_kb(spark, sf, ()).good)
 
 
 @query
@@ -561,7 +561,7 @@ def change_count(spark, sf):
 
 
 def _lookup(spark, sf) -> DataFrame:
-    kb = _kb(spark, sf)
+    kb = _kb(spark, sf, ("imports",))
     rows = kb.good.select("file_id", "repo", "path", "category", F.col("path").alias("kb_path"))
     return C.lookup_table(kb.files, K.survivors(rows, ("category", "kb_path")))
 
@@ -592,7 +592,8 @@ def kb_staleness(spark, sf):
 
 def _contexts(spark, sf) -> DataFrame:
     changes = prompts.with_parts(_t(spark, sf, "changes"))
-    return C.change_context(changes, _kb(spark, sf).lookup())
+    kb = _kb(spark, sf, ("imports", "classes", "functions"))
+    return C.change_context(changes, kb.lookup())
 
 
 @query
@@ -603,7 +604,8 @@ def context_text(spark, sf):
 @query
 def prompt_render(spark, sf):
     diffs = corpus.nonempty_diffs(_t(spark, sf, "diffs"))
-    return draft_prompts(_kb(spark, sf), _t(spark, sf, "changes"), diffs)
+    kb = _kb(spark, sf, ("imports", "classes", "functions"))
+    return draft_prompts(kb, _t(spark, sf, "changes"), diffs)
 
 
 # --- completions -------------------------------------------------------------------

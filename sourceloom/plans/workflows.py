@@ -10,24 +10,29 @@ from pyspark.sql import functions as F
 from sourceloom.operators import changes as C
 from sourceloom.operators import kb as K
 from sourceloom.operators import prompts as R
+from sourceloom.operators.extract.shapes import ARRAYS
 
 
 def category_report(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """Analysed files per repository and category."""
-    good, _ = K.quarantine(K.build(K.candidates(files, patterns)))
+    good, _ = K.quarantine(K.build(K.candidates(files, patterns), ["imports"]))
     return good.groupBy("repo", "category").agg(F.count("*").alias("n_files"))
 
 
 @dataclass
 class KnowledgeBase:
-    """The tables of one build; ``built`` should be written or cached before wide reuse."""
+    """The tables of one build; ``built`` should be written before wide reuse.
+
+    ``kinds`` names the arrays to extract, all by default.
+    """
 
     files: DataFrame
     patterns: DataFrame
+    kinds: tuple[str, ...] = tuple(ARRAYS)
 
     @property
     def built(self) -> DataFrame:
-        return K.build(K.candidates(self.files, self.patterns))
+        return K.build(K.candidates(self.files, self.patterns), self.kinds)
 
     @property
     def good(self) -> DataFrame:
