@@ -86,16 +86,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Se
     sample = sampled_texts(docs, bounded_ids(ids, "doc_id", settings.max_rows), "doc_id", "text", settings.max_chars)
     bits = settings.bits
 
-    @F.pandas_udf("at array<int>, x array<float>")
+    @F.pandas_udf("at binary, x binary")
     def vectors(texts: pd.Series) -> pd.DataFrame:
         found = [features(t, bits) for t in texts]
-        return pd.DataFrame({"at": [a.astype(np.int32) for a, _ in found], "x": [x for _, x in found]})
+        return pd.DataFrame({"at": [a.astype("<i4").tobytes() for a, _ in found], "x": [x.tobytes() for _, x in found]})
 
-    rows = sample.select("sample_id", "label", vectors("sample_text").alias("v")).select("sample_id", "label", "v.*")
-    got = rows.toPandas()
-    order = np.argsort(mixed(got["sample_id"].to_numpy(np.int64).view(np.uint64)), kind="stable") if len(got) else []
-    pairs = [(np.asarray(got["at"].iloc[i], np.int64), np.asarray(got["x"].iloc[i])) for i in order]
-    y = np.array([float(got["label"].iloc[i]) for i in order])
+    got = sample.select("sample_id", "label", vectors("sample_text").alias("v")).select("sample_id", "label", "v.*").toArrow()
+    ids = got["sample_id"].to_numpy().astype(np.int64)
+    order = np.argsort(mixed(ids.view(np.uint64)), kind="stable")
+    pairs = [(np.frombuffer(got["at"][i].as_buffer(), "<i4"), np.frombuffer(got["x"][i].as_buffer(), "<f4")) for i in order]
+    y = got["label"].to_numpy().astype(float)[order]
     return fit_ftrl(pairs, y, settings)
 
 
