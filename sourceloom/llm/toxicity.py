@@ -34,8 +34,8 @@ TOKEN = re.compile(r"\w+")
 @dataclass(frozen=True)
 class Settings:
     bits: int = 20
-    max_positives: int = 3000  # bounds of the two fitted samples
-    max_unlabelled: int = 6000
+    max_positives: int = 2000  # bounds of the two fitted samples
+    max_unlabelled: int = 4000
     max_chars: int = 200_000
     min_texts: int = 8  # texts of the sample that must have a word
     steps: tuple[int, int] = (120, 400)  # of the choosing and of the fitting descent
@@ -102,15 +102,16 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, s: Sett
     prior = min(prior, 0.99)
     rows = pos + unl
     hashed = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     is_pos = np.arange(len(rows)) < len(pos)
     used = np.flatnonzero(np.bincount(hashed, minlength=2**s.bits) >= s.min_texts)
     bias = 0.0
     for l1, steps in zip(s.l1, s.steps, strict=True):
-        place = np.full(2**s.bits, -1)
+        place = np.full(2**s.bits, -1, np.int32)
         place[used] = np.arange(len(used))
-        at = place[hashed]
-        w, bias = descend(at[at >= 0], row[at >= 0], is_pos, len(used), prior, l1, steps, s)
+        known = place[hashed] >= 0
+        hashed, row = hashed[known], row[known]
+        w, bias = descend(place[hashed], row, is_pos, len(used), prior, l1, steps, s)
         used, w = used[w != 0], w[w != 0]
     weights[used] = w
     return weights, bias
@@ -126,19 +127,19 @@ def fit(docs: DataFrame, labels: DataFrame, draw: DataFrame, s: Settings = Setti
     ids = ids.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.min("positive").alias("least"))
     bits = s.bits
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def words(texts: pd.Series) -> pd.Series:
-        return pd.Series([presence(t, bits).astype(np.int32) for t in texts])
+        return pd.Series([presence(t, bits).astype("<i4").tobytes() for t in texts])
 
     got = (
         sampled_texts(docs, ids, "doc_id", "text", s.max_chars)
         .select("sample_id", "positive", "least", words("sample_text").alias("at"))
-        .toPandas()
-        .sort_values("sample_id")
+        .toArrow()
+        .sort_by("sample_id")
     )
-    arrays = [np.asarray(a, np.int64) for a in got["at"]]
-    pos = [a for a, p in zip(arrays, got["positive"], strict=True) if p == 1]
-    unl = [a for a, p in zip(arrays, got["least"], strict=True) if p == 0]
+    arrays = [np.frombuffer(a.as_buffer(), "<i4") for a in got["at"]]
+    pos = [a for a, p in zip(arrays, got["positive"].to_pylist(), strict=True) if p == 1]
+    unl = [a for a, p in zip(arrays, got["least"].to_pylist(), strict=True) if p == 0]
     return fit_nnpu(pos, unl, float(prior), s)
 
 
