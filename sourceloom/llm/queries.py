@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from sourceloom.llm.language_id import op1_language_id
+from sourceloom.llm.ngram_join import op8_ngram_join
+from sourceloom.llm.packing import op3_best_fit_packing
 from sourceloom.llm.quality_classifier import op10_quality_classifier
 from sourceloom.llm.toxicity import op4_toxicity
+from sourceloom.llm.url_filter import op6_url_filter
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
+    "op6_url_filter": op6_url_filter,
+    "op8_ngram_join": op8_ngram_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
