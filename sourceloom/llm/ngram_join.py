@@ -329,10 +329,13 @@ def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def representatives(docs: DataFrame, s: Settings) -> DataFrame:
-    """Rows of ``docs`` that stand for their group: those whose id names it (one row of equal ids)."""
+    """Rows of ``docs`` that stand for their group: those whose id names it.
+
+    Rows of equal ids count as one document; rows without an id name nothing and all stay.
+    """
     kept = grouped(docs, s).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("kept_id")).drop("kept_id")
-    return rows.dropDuplicates(["doc_id"])
+    rows = docs.join(kept, F.col("doc_id") == F.col("kept_id")).drop("kept_id").dropDuplicates(["doc_id"])
+    return rows.unionAll(docs.where("doc_id is null"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
