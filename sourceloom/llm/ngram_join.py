@@ -12,9 +12,15 @@ A text is the set of its shingles (runs of ``words`` words, hashed to 64 bits);
    there than they have others between them: some two shared ones then follow each other in both orders, so
    neighbouring frequent shingles are indexed as pairs. (If linked sets share no rare shingle in
    their prefixes, both hold every rare shingle they have in the prefix, so all they share is frequent.)
-3. Star rounds: in every index bucket, nodes are compared with one centre, not with each other, and links
-   merge groups; a bucket whose nodes are all in one group is done. A few rounds with other centres leave little.
-4. Whatever pairs of different groups are left in any bucket are then all compared. Nothing is capped, so every link between groups is found.
+3. Every index entry tells how many shingles of its node come before all that the entry can stand for: its own place
+   for a single one, the number of rare ones for a pair of frequent ones. Linked sets share so many that none of the two
+   can have more than ``n - required overlap`` before, so entries meet only under that condition (and fitting sizes).
+   Buckets of pairs with the same nodes are the same, and one of them is kept.
+4. Star rounds: in every bucket, nodes are compared with one centre (that with the fewest rare shingles,
+   which is the least edited of near copies), not with each other, and links merge groups; a bucket whose nodes are all in
+   one group is done. A few rounds with other centres leave little.
+5. Whatever pairs of different groups are left in any bucket are then all compared. Nothing is capped, so every link
+   between groups is found.
 
 Sets are compared exactly, on 64-bit shingle hashes. Groups come from alternating star contraction,
 each round written to the shared folder.
@@ -35,7 +41,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.llm.common import CACHE_WORDS, forget, mixed, settle, ship, table, without
@@ -186,7 +192,7 @@ def common_shingles(docs: DataFrame, emitted: int, s: Settings) -> DataFrame:
 
 
 def index(common: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """(key, node, n): every bucket a node stands in. ``nodes``: (node, n, low)."""
+    """(key, pair, node, n, before): every bucket a node stands in. ``nodes``: (node, n, low)."""
     listed = common.groupBy("node").agg(
         F.collect_list(F.struct("df", F.col("token").bitwiseXOR(F.lit(-(2**63))).alias("place"))).alias("all")
     )
@@ -194,9 +200,11 @@ def index(common: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     prefix = n - F.ceil(n * s.num / F.lit(float(s.den)) - 1e-9) + 1
     longest = F.floor(n * (s.den - s.num) / s.den) + F.floor(n * (s.den - s.num) / s.num) + 3
     rows = listed.join(nodes, "node").select("node", "n", "low", F.sort_array("all").alias("all"))
-    alone = F.col("low") - F.size(F.filter(t, lambda x: x["df"] < LAST))
-    rows = rows.withColumns({"head": (prefix - alone).cast("int"), "reached": (longest - alone).cast("int")}).where("head > 0")
-    rows = rows.withColumn("first", F.slice("all", F.lit(1), F.col("head")))
+    alone = F.col("low") - F.size(F.filter(t, lambda x: x["df"] < LAST))  # of this node only: they come first
+    rows = rows.withColumn("alone", alone.cast("int"))
+    rows = rows.withColumns({"head": (prefix - F.col("alone")).cast("int"), "reached": (longest - F.col("alone")).cast("int")})
+    rows = rows.where("head > 0").withColumn("first", F.slice("all", F.lit(1), F.col("head")))
+    rows = rows.withColumn("rare", F.col("alone") + F.size(F.filter(t, lambda x: x["df"] < s.rare)))
     rows = rows.withColumn(
         "tail",
         F.when(
@@ -204,17 +212,40 @@ def index(common: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
             F.filter(F.slice("all", F.lit(1), F.col("reached")), lambda x: x["df"] >= s.rare),
         ).otherwise(F.expr("array()").cast(rows.schema["all"].dataType)),
     )
-    single = F.transform(F.filter("first", lambda x: x["df"] < s.rare), lambda x: F.xxhash64(F.lit(1), x["place"]))
+
+    def entry(key, pair: bool, before) -> Column:
+        return F.struct(key.alias("key"), F.lit(pair).alias("pair"), before.cast("int").alias("before"))
+
+    single = F.transform(
+        F.filter("first", lambda x: x["df"] < s.rare),  # rare ones come first, so places count on
+        lambda x, i: entry(F.xxhash64(F.lit(1), x["place"]), False, F.col("alone") + i),
+    )
     pairs = F.transform(
         F.slice("tail", F.lit(2), F.greatest(F.size("tail") - 1, F.lit(0))),
-        lambda x, i: F.xxhash64(F.lit(2), F.get("tail", i)["place"], x["place"]),
+        lambda x, i: entry(F.xxhash64(F.lit(2), F.get("tail", i)["place"], x["place"]), True, F.col("rare")),
     )
-    return rows.select(F.explode(F.array_distinct(F.concat(single, pairs))).alias("key"), "node", "n")
+    return rows.select(F.explode(F.concat(single, pairs)).alias("e"), "node", "n").select("e.*", "node", "n")
 
 
-def fitting(a: str, b: str, s: Settings):
-    """Sizes that allow a link."""
-    return F.least(a, b) * s.den >= F.greatest(a, b) * s.num
+def shared_buckets(postings: DataFrame) -> DataFrame:
+    """Postings of buckets with several nodes; of pair buckets with the same nodes only one."""
+    sizes = postings.groupBy("key", "pair").agg(
+        F.count(F.lit(1)).alias("nodes"), F.sum(F.xxhash64("node") % F.lit(2**40)).alias("one"), F.sum(F.xxhash64("node", F.lit(1)) % F.lit(2**40)).alias("two")
+    )
+    sizes = sizes.where("nodes > 1")
+    pairs = sizes.where("pair").groupBy("nodes", "one", "two").agg(F.min("key").alias("key")).select("key")
+    return postings.join(sizes.where("not pair").select("key").unionAll(pairs), "key", "left_semi").drop("pair")
+
+
+def fitting(a: str, b: str, before_a: str, before_b: str, s: Settings) -> Column:
+    """Sizes and places that allow a link."""
+    a, b = F.col(a), F.col(b)
+    need = (a + b) * s.num
+    return (
+        (F.least(a, b) * s.den >= F.greatest(a, b) * s.num)
+        & ((a - F.col(before_a)) * (s.num + s.den) >= need)
+        & ((b - F.col(before_b)) * (s.num + s.den) >= need)
+    )
 
 
 def linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -262,30 +293,65 @@ def placed(postings: DataFrame, groups: DataFrame | None) -> DataFrame:
     else:
         rows = postings.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_keys = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-    return rows.join(mixed_keys, "key", "left_semi").select("key", "node", "n", "label")
+    return rows.join(mixed_keys, "key", "left_semi").select("key", "node", "n", "before", "label")
 
 
 def star(rows: DataFrame, turn: int, s: Settings) -> DataFrame:
     """Pairs of each bucket's centre with its nodes of other labels; each turn has another centre."""
-    place = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n", "label")
-    centre = rows.groupBy("key").agg(F.min(place).alias("c"))
-    centre = centre.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.label").alias("centre_label"))
-    met = rows.join(centre, "key").where((F.col("label") != F.col("centre_label")) & fitting("n", "m", s))
-    return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    rank = F.col("before") if turn < 2 else F.lit(0)
+    place = F.struct(rank.alias("rank"), F.xxhash64(F.lit(turn), "node").alias("hash"), "node", "n", "before", "label")
+    centre = rows.groupBy("key").agg(F.min(place).alias("c")).select(
+        "key", *[F.col(f"c.{x}").alias(f"{x}_c") for x in ("node", "n", "before", "label")]
+    )
+    met = rows.join(centre, "key").where((F.col("label") != F.col("label_c")) & fitting("n", "n_c", "before", "before_c", s))
+    return met.select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b")).distinct()
 
 
 def remaining(rows: DataFrame, s: Settings) -> DataFrame:
     """All pairs of nodes that share a bucket and differ in label; pairs within a label are never made."""
-    labels = rows.select("key", "label").distinct()
-    first = labels.withColumnRenamed("label", "label_a")
-    second = labels.withColumnRenamed("label", "label_b")
-    met = first.join(second, "key").where("label_a < label_b")
-    left = rows.select("key", F.col("label").alias("label_a"), F.col("node").alias("node_a"), F.col("n").alias("n_a"))
-    right = rows.select("key", F.col("label").alias("label_b"), F.col("node").alias("node_b"), F.col("n").alias("n_b"))
-    pairs = met.join(left, ["key", "label_a"]).join(right, ["key", "label_b"]).where(fitting("n_a", "n_b", s))
+    spread = F.struct(*[F.max(F.col("n") - F.col("before")).alias("most"), F.min("n").alias("least"), F.max("n").alias("largest")])
+    labels = rows.groupBy("key", "label").agg(spread.alias("s")).select("key", "label", "s.*")
+    first = labels.select("key", *[F.col(c).alias(f"{c}_a") for c in ("label", "most", "least", "largest")])
+    second = labels.select("key", *[F.col(c).alias(f"{c}_b") for c in ("label", "most", "least", "largest")])
+    # some nodes of the two labels may fit: bounds of what ``fitting`` asks of each pair
+    possible = (
+        (F.col("label_a") < F.col("label_b"))
+        & (F.col("largest_a") * s.den >= F.col("least_b") * s.num)
+        & (F.col("largest_b") * s.den >= F.col("least_a") * s.num)
+        & (F.least("most_a", "most_b") * (s.num + s.den) >= (F.col("least_a") + F.col("least_b")) * s.num)
+    )
+    met = first.join(second, "key").where(possible).select("key", "label_a", "label_b")
+    left = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("label", "node", "n", "before")])
+    right = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("label", "node", "n", "before")])
+    pairs = met.join(left, ["key", "label_a"]).join(right, ["key", "label_b"])
+    pairs = pairs.where(fitting("n_a", "n_b", "before_a", "before_b", s))
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
+def likely(docs: DataFrame, wanted: DataFrame, ids: str) -> DataFrame:
+    """Rows of ``docs`` whose id may be in ``wanted``, by a bitmap of 2**25 hashed ids: bounded, and it loses none.
+
+    It spares a shuffle of all texts before the exact join; where it fills up it merely passes more.
+    """
+    bit = F.pmod(F.xxhash64(F.col(ids).cast("long")), F.lit(2**25))
+    parts = wanted.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
+    )
+    bitmap = np.zeros(2**25 // 8, np.uint8)
+    for row in parts.collect():  # at most 1,024 rows of 4 KB; Spark's buckets and bits count from 1
+        part = np.frombuffer(row["bits"], np.uint8)
+        start = (row["bucket"] - 1) * 4096
+        bitmap[start : start + len(part)] = part[: max(0, len(bitmap) - start)]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def may_hold(bits: pd.Series) -> pd.Series:
+        at = bits.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1 == 1)
+
+    return docs.where(may_hold(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2**25))))
+
+
 def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``."""
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -298,18 +364,17 @@ def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     found = settle(common_shingles(base, emitted, s))
     forget()
     postings = settle(index(found, nodes.select("node", "n", "low"), s))
-    many = postings.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("key")
-    postings = settle(postings.join(many, "key", "left_semi"))
-    wanted = postings.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    texts = base.join(wanted.select(F.col("rep").alias("doc_id"), "node"), "doc_id")
-
-    @F.pandas_udf("node long, tokens binary")
-    def tokens(column: pd.Series) -> pd.DataFrame:
-        made = [shingles(t, s.words) for t in column]
-        return pd.DataFrame({"node": [node_of(m) for m in made], "tokens": [m.tobytes() for m in made]})
-
-    sets = texts.select("node", tokens("text").alias("made")).where("node = made.node").select("node", "made.tokens")
-    sets = settle(sets.dropDuplicates(["node"]))
+    postings = settle(shared_buckets(postings))
+    wanted = settle(postings.select("node").distinct().join(nodes.select("node", "rep"), "node"))
+    texts = likely(base, wanted, "rep").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingles(t.as_py(), s.words) for t in batch["text"]]
+            columns = [pa.array([node_of(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "tokens"])
+
+    sets = settle(texts.select("text").mapInArrow(tokens, "node long, tokens binary").dropDuplicates(["node"]))
     forget()
     groups: DataFrame | None = None
     for turn in range(s.rounds + 1):
