@@ -25,6 +25,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,70 +47,87 @@ class Settings:
     size: int = 2048
     end_id: int = 0
     words: int = 400_000  # of a worker's cache; it starts anew when full
-    bucket_rows: int = 50_000
+    bucket_rows: int = 4_000
     block: int = 4096  # ranks per block of the join with the plan
 
 
+class Numbers(dict):
+    """Numbers words in the order they are met, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordIds:
     """Token ids of each word met, as slices of one growing array."""
 
-    #: The tokenizer's own split pattern, for words of ASCII alone.
-    ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-
     def __init__(self, path: str, words: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_file(path), words
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.at, self.pieces = Numbers(), {}
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(words)
-        whole = []
-        for i, word in enumerate(words):
-            if word.isascii() and "<|" not in word:
-                ids: list[int] = []
-                for piece in self.ASCII_PIECE.findall(word.lower()):
-                    found = self.pieces.get(piece)
-                    if found is None:
-                        found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece)]
-                    ids += found
-                out[i] = ids
-            else:
-                whole.append(i)
-        if whole:
-            made = self.tokenizer.encode_batch_fast([words[i] for i in whole], add_special_tokens=False)
-            for i, encoding in zip(whole, made, strict=True):
-                out[i] = encoding.ids
-        return out
-
-    def learn(self, words: list[str]) -> None:
-        for word, ids in zip(words, self.encode(words), strict=True):
-            k, n = len(self.at), len(ids)
-            self.at[word] = k
-            if k == len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * k), np.resize(self.length, 2 * k)
-            while self.used + n > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.start[k], self.length[k] = self.used, n
-            self.flat[self.used : self.used + n] = ids
-            self.used += n
+    #: The tokenizer's own split pattern for ASCII, and the white space its normalizer drops.
+    ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    #: Python takes these for white space too, the tokenizer does not.
+    SEPARATORS = re.compile("[\x1c-\x1f]")
+
+    def encode(self, word: str) -> list[int]:
+        """The tokenizer's own steps one by one, so that pieces that many words share are looked up."""
+        if "<|" in word and any(t in word for t in self.special):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        if word.isascii() and word.isprintable():
+            split = self.ASCII_PIECE.findall(word.lower())
+        else:
+            split = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))]
+        ids: list[int] = []
+        for piece in split:
+            found = self.pieces.get(piece)
+            if found is None:
+                found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece)]
+            ids += found
+        return ids
+
+    def learn(self) -> None:
+        made = [self.encode(word) for word in self.at.fresh]
+        if not made:
+            return
+        self.at.fresh = []
+        last = len(self.at)
+        first = last - len(made)
+        lengths = np.fromiter(map(len, made), np.int64, len(made))
+        end = self.used + int(lengths.sum())
+        if last > len(self.start):
+            more = np.zeros(max(last, 2 * len(self.start)) - len(self.start), np.int64)
+            self.start, self.length = np.append(self.start, more), np.append(self.length, more)
+        if end > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros(max(end, 2 * len(self.flat)) - len(self.flat), np.uint32))
+        self.start[first:last] = self.used + np.cumsum(lengths) - lengths
+        self.length[first:last] = lengths
+        self.flat[self.used : end] = np.fromiter(chain.from_iterable(made), np.uint32, end - self.used)
+        self.used = end
 
     def ids(self, text: str) -> np.ndarray:
-        words = text.split()
+        words = self.WORD.findall(text) if self.SEPARATORS.search(text) else text.split()
         if not words:
             return np.empty(0, np.uint32)
         if len(self.at) > self.words:
             self.clear()
-        at = self.at
-        if fresh := set(words).difference(at):
-            self.learn(list(fresh))
-        index = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        index = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        self.learn()
         length = self.length[index]
         shift = self.start[index] - (np.cumsum(length) - length)
         return self.flat[np.repeat(shift, length) + np.arange(int(length.sum()))]
