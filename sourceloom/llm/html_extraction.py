@@ -59,14 +59,14 @@ BOILERPLATE = frozenset(
 
 @dataclass(frozen=True)
 class Settings:
-    max_rows: int = 150  # pages that are fitted, the first by hash of the id
+    max_rows: int = 240  # pages that are fitted, the first by hash of the id
     max_chars: int = 100_000
-    path: int = 64  # sizes of the hashed vectors
+    path: int = 96  # sizes of the hashed vectors
     words: int = 16
     hidden: int = 12
-    epochs: int = 7
+    epochs: int = 10
     rate: float = 0.02
-    dressed: int = 3  # copies of each page in new dress
+    dressed: int = 4  # copies of each page in new dress
     chunk: int = 48  # blocks of a training sequence
     batch: int = 32
 
