@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import CACHE_WORDS, forget, mixed, settle, ship, table, without
+from sourceloom.llm.common import forget, mixed, settle, ship, small_batches, table
 
 LAST = 2**40  # df of shingles outside the low share: they come last, by hash
 
@@ -57,6 +57,9 @@ class Settings:
     rare: int = 64
     rounds: int = 3
     range_rows: int = 400_000  # emissions per hash range
+    batch: int = 500  # rows that a Python worker gets at once: two sets of a few thousand shingles each
+    cache: int = 100_000  # words, and digests, that a worker remembers
+    flush: int = 400_000  # emissions that a worker gathers before it hands them on
 
     @property
     def reach(self) -> float:
@@ -75,7 +78,7 @@ class LongHashes(dict):
     """Word (bytes) -> 64-bit hash, emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= Settings.cache:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -161,12 +164,12 @@ def common_shingles(docs: DataFrame, emitted: int, s: Settings) -> DataFrame:
                 node = node_of(found)
                 if not len(found) or node in seen:
                     continue
-                if len(seen) < CACHE_WORDS:
+                if len(seen) < s.cache:
                     seen.add(node)  # copies in one task; others meet in the range
                 take = max(int(np.searchsorted(found, end)), s.longest(len(found)))
                 held.append((found[:take], node))
                 rows += min(take, len(found))
-                if rows >= 1_000_000:
+                if rows >= s.flush:
                     yield flush()
                     held, rows = [], 0
         if held:
@@ -354,6 +357,11 @@ def likely(docs: DataFrame, wanted: DataFrame, ids: str) -> DataFrame:
 
 def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``."""
+    with small_batches(docs.sparkSession, s.batch):
+        return joined(docs, s)
+
+
+def joined(docs: DataFrame, s: Settings) -> DataFrame:
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     info = settle(measured(base, s))
     emitted = info.agg(F.sum(F.greatest("low", F.lit(3)))).first()[0] or 0
