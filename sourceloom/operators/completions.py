@@ -17,6 +17,7 @@ TOP_P = (0.01, 0.95)
 REGENERATE_STEP = 0.05
 REGENERATE_MIN = 0.1
 
+# Patterns of the JSON object in a completion, fenced or bare.
 FENCED = r"(?i)```(?:json)?\s*(\{[\s\S]*?\})\s*```"
 # The last opening brace up to the next closing one.
 LAST_OBJECT = r"(\{[^{}]*\})[^{]*$"

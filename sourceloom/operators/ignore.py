@@ -23,6 +23,21 @@ def default_ignored(path: Column) -> Column:
     return path.rlike(f"(?:^|/)(?:{names})/")
 
 
+def outside(path: Column) -> Column:
+    """Does the path leave its repository? Absolute paths do, and those with more steps up than down."""
+    depth = F.aggregate(
+        F.split(path, "/"),
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")),
+        lambda a, x: F.struct(
+            (a["now"] + F.when(x == "..", -1).when(x.isin("", "."), 0).otherwise(1)).alias("now"),
+            F.least(a["least"], a["now"] + F.when(x == "..", -1).otherwise(0)).alias("least"),
+        ),
+    )
+    # the running sum is only needed where a path has a step up at all
+    climbs = F.when(path.contains(".."), depth["least"] < 0).otherwise(F.lit(False))
+    return F.coalesce(path.startswith("/") | path.rlike("^[A-Za-z]:[/\\\\]") | climbs, F.lit(False))
+
+
 def quiet(path: Column) -> Column:
     name = P.file_name(path)
     return P.ends_with_any(name, QUIET_EXTENSIONS) | name.startswith(".")
@@ -54,7 +69,8 @@ def ignore_match(files: DataFrame, patterns: DataFrame) -> DataFrame:
     repository are joined by repository, spread over salts.
     """
     def test(rule: Column) -> Column:
-        return F.coalesce((rule != "") & F.regexp_like("path", rule), F.lit(False))
+        # counting keeps the compiled rule from row to row, which a plain test of a rule column does not
+        return outside(F.col("path")) | F.coalesce((rule != "") & (F.regexp_count("path", rule) > 0), F.lit(False))
 
     if "repo" in patterns.columns:
         joined = salted_join(files, rules(patterns, ["repo"]), "repo", ["path"], "left")

@@ -43,8 +43,8 @@ class KnowledgeBase:
         return C.lookup_table(self.files, K.survivors(R.file_block(self.good), ("block",)))
 
 
-def draft_prompts(kb: KnowledgeBase, changes: DataFrame, diffs: DataFrame) -> DataFrame:
-    """Prompts per commit: lookup, scope, context and diff."""
+def draft_prompts(kb: KnowledgeBase, changes: DataFrame, diffs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """Prompts per commit: lookup, scope, context and diff; ``extra`` has ``commit_id, additional_context``."""
     context = C.change_context(R.with_parts(changes), kb.lookup())
     scopes = C.commit_scope(C.with_paths(changes, kb.files))
-    return R.render_prompts(diffs, R.context_text(context), scopes)
+    return R.render_prompts(diffs, R.context_text(context), scopes, extra)

@@ -15,7 +15,7 @@ from sourceloom.operators import kb as K
 
 
 def start(versions: DataFrame, patterns: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """``versions`` is a stream of source files; a higher ``file_id`` is a newer version."""
+    """``versions`` is a stream of source files; a higher ``version``, or ``file_id`` where there is none, is newer."""
     def write(batch: DataFrame, batch_id: int) -> None:
         built = K.build(K.candidates(batch, patterns))
         built.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
@@ -31,13 +31,13 @@ def start(versions: DataFrame, patterns: DataFrame, table: str, checkpoint: str)
 def newest(spark: SparkSession, table: str) -> DataFrame:
     """The current rows: newest version per repository and path.
 
-    The winner per path is found on three narrow columns with partial aggregation; the
-    wide rows are then picked by ``file_id``, which no hot path can crowd.
+    The winner per path is found on narrow columns with partial aggregation; the
+    wide rows are then picked by its key, which no hot path can crowd.
     """
     rows = spark.read.parquet(table)
-    winners = rows.groupBy("repo", "path").agg(F.max(F.struct("file_id", "batch_id")).alias("w"))
-    picked = winners.select(F.col("w.file_id").alias("file_id"), F.col("w.batch_id").alias("batch_id"))
-    return rows.join(picked, ["file_id", "batch_id"], "left_semi")
+    key = [c for c in ("version", "file_id", "batch_id") if c in rows.columns]
+    winners = rows.groupBy("repo", "path").agg(F.max(F.struct(*key)).alias("w"))
+    return rows.join(winners.select(*[F.col(f"w.{c}").alias(c) for c in key]), key, "left_semi")
 
 
 def merge(spark: SparkSession, table: str, target: str) -> None:

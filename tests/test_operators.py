@@ -19,7 +19,7 @@ from sourceloom.operators.extract import registry
 from sourceloom.operators.skew import salted_join
 from sourceloom.plans.workflows import KnowledgeBase, draft_prompts
 from sourceloom.sources import corpus
-from sourceloom.sources.sinks import json_documents, write_json, write_kb, write_snapshots
+from sourceloom.sources.sinks import json_documents, write_json, write_kb, write_snapshots, write_summary
 
 
 def ignored_by_walk(path: str, patterns: list[str]) -> bool:
@@ -191,8 +191,8 @@ def test_context_and_prompt(spark, small_kb):
     diffs = spark.createDataFrame([(1, "+x", None), (2, "+y", None), (3, "+z", None), (4, None, "none")], "commit_id long, diff string, reason string")
     looked = C.change_context(prompts.with_parts(changes), small_kb.lookup())
     text = {r.commit_id: r.context for r in prompts.context_text(looked).collect()}
-    block = "File 'src/a.py' (purposeCategory: web_framework, imports: [flask]):\n"
-    rest = "The following unanalyzed files were also part of this change: [docs/n.md, src/b.py, missing/p_-9]\n"
+    block = "File 'src/a.py' (purpose: web_framework, imports: [flask]):\n"
+    rest = "Files of this change without an analysis: [docs/n.md, src/b.py, missing/p_-9]\n"
     assert text == {1: prompts.BEGIN + block + rest + prompts.END, 2: prompts.BEGIN + block + prompts.END}
     out = {r.commit_id: r.prompt for r in draft_prompts(small_kb, changes, diffs.where("diff is not null")).collect()}
     assert set(out) == {1, 2, 3}
@@ -202,7 +202,7 @@ def test_context_and_prompt(spark, small_kb):
 
 
 def test_large_commits_are_cut_into_whole_parts(spark):
-    changes = spark.range(1000).select(F.lit(1).alias("commit_id"), F.col("id").alias("file_id"), F.lit(1).alias("seq"), F.concat(F.lit("p"), F.col("id")).alias("path"))
+    changes = spark.range(1000).select(F.lit(1).alias("commit_id"), F.col("id").alias("file_id"), F.col("id").alias("seq"), F.concat(F.lit("p"), F.col("id")).alias("path"))
     parts = prompts.with_parts(changes, part_files=100).withColumn("block", F.concat("path", F.lit("\n")))
     rows = prompts.context_text(parts).collect()
     assert len(rows) == 10
@@ -247,3 +247,48 @@ def test_a_language_can_be_added(spark):
         assert K.build(df).first()["imports"][0]["source"] == "os"
     finally:
         del registry.LANGUAGES["mini"]
+
+
+def test_scan_keeps_every_file_in_one_table_or_the_other(spark, tmp_path):
+    root = tmp_path / "src"
+    files = {"one/src/b.py": b"import os\n", "one/a.PY": b"# caf\xe9\nimport sys\n", "two/node_modules/c.py": b"x", "two/d.md": b"text", "two/e.jl": b"using A\n"}
+    for rel, data in files.items():
+        f = root / rel
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(data)
+    rows = {(r.repo, r.path): r for r in corpus.scan_corpus(spark, str(root) + "/").collect()}
+    assert set(rows) == {("one", "src/b.py"), ("one", "a.PY"), ("two", "e.jl")}
+    assert rows["one", "a.PY"].reason == "not UTF-8" and rows["one", "a.PY"].content == "# caf\ufffd\nimport sys\n"
+    assert rows["one", "src/b.py"].reason is None and rows["one", "src/b.py"].version > 0
+    listed = {(r.repo, r.path): r.status for r in corpus.list_corpus(spark, str(root)).collect()}
+    assert listed == {("one", "src/b.py"): None, ("one", "a.PY"): None, ("two", "e.jl"): None, ("two", "node_modules/c.py"): "ignored", ("two", "d.md"): "unsupported"}
+    plan = corpus.list_corpus(spark, str(root))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[-1]
+
+
+def test_paths_outside_the_repository_are_ignored(spark):
+    files = spark.createDataFrame([(p,) for p in ("a/b.py", "../x.py", "/abs/x.py", "a/../../x.py", "a/..b/x.py", "..", "C:/x.py")], "path string")
+    got = {r.path: r.ignored for r in ignore.ignore_match(files, spark.createDataFrame([("*.md",)], "pattern string")).collect()}
+    assert got == {"a/b.py": False, "../x.py": True, "/abs/x.py": True, "a/../../x.py": True, "a/..b/x.py": False, "..": True, "C:/x.py": True}
+
+
+def test_parts_follow_the_change_list(spark):
+    changes = spark.range(2500).select(F.lit(1).alias("commit_id"), F.col("id").alias("seq"), F.col("id").alias("file_id"))
+    rows = prompts.with_parts(changes).withColumns({"path": F.concat(F.lit("f"), "seq"), "block": F.concat(F.lit("f"), "seq", F.lit("\n"))})
+    parts = prompts.context_text(rows).orderBy("part_no").collect()
+    assert [r.part_no for r in parts] == [0, 1, 2]
+    inner = "".join(r.context.removeprefix(prompts.BEGIN).removesuffix(prompts.END) for r in parts)
+    assert inner == "".join(f"f{i}\n" for i in range(2500))
+
+
+def test_extra_instructions_reach_the_prompt(spark, small_kb):
+    changes = spark.createDataFrame([(1, 1, 2), (2, 2, 1)], "commit_id long, file_id long, seq int")
+    diffs = spark.createDataFrame([(1, "+x"), (2, "+y")], "commit_id long, diff string")
+    extra = spark.createDataFrame([(1, "Mention the ticket."), (2, "")], "commit_id long, additional_context string")
+    out = {r.commit_id: r.prompt for r in draft_prompts(small_kb, changes, diffs, extra).collect()}
+    assert "\n\nMention the ticket.\nScope for the commit:" in out[1] and "Mention" not in out[2]
+
+
+def test_summary_is_written(spark, tmp_path):
+    write_summary(spark.createDataFrame([("analyzed", 3)], "status string, n_files long"), str(tmp_path / "log"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "log")).select("status", "n_files").collect()] == [("analyzed", 3)]

@@ -51,3 +51,34 @@ def test_a_replayed_batch_changes_nothing(spark):
     one = staleness.next_state(before, batch).collect()
     assert one == staleness.next_state(before, batch).collect()
     assert one[0].behind == 3
+
+
+def test_batches_in_any_order_give_one_result(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    t0 = datetime.datetime(2024, 1, 1)
+    hours = [("purchase", 10), ("purchase", 11), ("signup", 5), ("purchase", 3), ("signup", 2), ("purchase", 12), ("purchase", 1)]
+    rows = [(i, t0 + datetime.timedelta(hours=h), 3, k) for i, (k, h) in enumerate(hours)]
+    for turn, order in enumerate(([0, 1, 2, 3, 4, 5, 6], [6, 5, 4, 3, 2, 1, 0], [2, 0, 6, 1, 4, 5, 3])):
+        source, table, state = (str(tmp_path / f"{n}{turn}") for n in "its")
+        for i in range(0, 7, 2):
+            part = [rows[j] for j in order[i : i + 2]] + [rows[order[0]]]
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+            stream = staleness.commit_events(spark.readStream.schema(schema).parquet(source))
+            staleness.start(stream, table, state).awaitTermination()
+        assert [(r.repo, r.behind, r.stale) for r in staleness.report(spark, table).collect()] == [("repo_src3", 3, False)]
+
+
+def test_late_events_are_kept_apart(spark, tmp_path):
+    source, table, state = (str(tmp_path / n) for n in "its")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    t0 = datetime.datetime(2024, 1, 10)
+    steps = [[(1, 0, "purchase"), (2, 1, "purchase")], [(3, 100, "purchase")], [(4, 10, "purchase"), (5, 110, "purchase")], [(6, 105, "signup")]]
+    for step in steps:
+        part = [(i, t0 + datetime.timedelta(hours=h), 3, k) for i, h, k in step]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = staleness.commit_events(spark.readStream.schema(schema).parquet(source))
+        staleness.start(stream, table, state).awaitTermination()
+    assert [r.event_id for r in staleness.late_events(spark, table).collect()] == [4]
+    assert [(r.behind, r.stale) for r in staleness.report(spark, table).collect()] == [(1, False)]
+    counts = [r.behind for r in spark.read.parquet(table).orderBy("batch_id").collect()]
+    assert counts == [2, 3, 4, 1]
