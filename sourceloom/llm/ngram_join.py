@@ -251,6 +251,30 @@ def fitting(a: str, b: str, before_a: str, before_b: str, s: Settings) -> Column
     )
 
 
+def likely(rows: DataFrame, column: str, wanted: DataFrame, ids: str) -> DataFrame:
+    """Rows whose ``column`` may be among ``ids`` of ``wanted``, by a bitmap of 2**25 hashed numbers: bounded, and it loses none.
+
+    It spares a shuffle of all wide rows before the exact join; where it fills up it merely passes more.
+    """
+    hashed = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(2**25))
+    parts = wanted.select((hashed(ids) + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
+    )
+    bitmap = np.zeros(2**25 // 8, np.uint8)
+    for row in parts.collect():  # at most 1,024 rows of 4 KB; Spark's buckets and bits count from 1
+        part = np.frombuffer(row["bits"], np.uint8)
+        start = (row["bucket"] - 1) * 4096
+        bitmap[start : start + len(part)] = part[: max(0, len(bitmap) - start)]
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def may_hold(bits: pd.Series) -> pd.Series:
+        at = bits.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1 == 1)
+
+    return rows.where(may_hold(hashed(column)))
+
+
 def linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """The ``pairs`` (a, b) whose sets link, by exact comparison."""
 
@@ -265,8 +289,9 @@ def linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
             out.append(s.den * shared >= s.num * (len(both) - shared))
         return pd.Series(out, dtype=bool)
 
-    one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
+    pairs = settle(pairs)
+    one = likely(sets, "node", pairs, "a").select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
+    two = likely(sets, "node", pairs, "b").select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
     return pairs.join(one, "a").join(two, "b").where(similar("tokens_a", "tokens_b")).select("a", "b")
 
 
@@ -331,30 +356,6 @@ def remaining(rows: DataFrame, s: Settings) -> DataFrame:
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def likely(docs: DataFrame, wanted: DataFrame, ids: str) -> DataFrame:
-    """Rows of ``docs`` whose id may be in ``wanted``, by a bitmap of 2**25 hashed ids: bounded, and it loses none.
-
-    It spares a shuffle of all texts before the exact join; where it fills up it merely passes more.
-    """
-    bit = F.pmod(F.xxhash64(F.col(ids).cast("long")), F.lit(2**25))
-    parts = wanted.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
-    )
-    bitmap = np.zeros(2**25 // 8, np.uint8)
-    for row in parts.collect():  # at most 1,024 rows of 4 KB; Spark's buckets and bits count from 1
-        part = np.frombuffer(row["bits"], np.uint8)
-        start = (row["bucket"] - 1) * 4096
-        bitmap[start : start + len(part)] = part[: max(0, len(bitmap) - start)]
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def may_hold(bits: pd.Series) -> pd.Series:
-        at = bits.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1 == 1)
-
-    return docs.where(may_hold(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2**25))))
-
-
 def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``."""
     with small_batches(docs.sparkSession, s.batch):
@@ -374,7 +375,8 @@ def joined(docs: DataFrame, s: Settings) -> DataFrame:
     postings = settle(index(found, nodes.select("node", "n", "low"), s))
     postings = settle(shared_buckets(postings))
     wanted = settle(postings.select("node").distinct().join(nodes.select("node", "rep"), "node"))
-    texts = likely(base, wanted, "rep").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = likely(base, "doc_id", wanted, "rep").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "text"])  # repeated rows, where the join has left them
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,7 +384,7 @@ def joined(docs: DataFrame, s: Settings) -> DataFrame:
             columns = [pa.array([node_of(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "tokens"])
 
-    sets = settle(texts.select("text").mapInArrow(tokens, "node long, tokens binary").dropDuplicates(["node"]))
+    sets = settle(texts.select("text").mapInArrow(tokens, "node long, tokens binary"))
     forget()
     groups: DataFrame | None = None
     for turn in range(s.rounds + 1):
