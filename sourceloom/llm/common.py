@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = r"[\x20\x09-\x0D]+"
 #: Words that a worker's cache holds before it is emptied.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

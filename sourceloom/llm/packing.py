@@ -46,7 +46,7 @@ def tokenizer_path() -> str:
 class Settings:
     size: int = 2048
     end_id: int = 0
-    words: int = 400_000  # of a worker's cache; it starts anew when full
+    words: int = 200_000  # of a worker's cache; it starts anew when full
     bucket_rows: int = 4_000
     block: int = 4096  # ranks per block of the join with the plan
 
