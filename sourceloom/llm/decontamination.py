@@ -3,8 +3,8 @@
 Words are lower-cased and stripped of what is not a letter or digit at their ends; words that
 vanish are skipped. Every item has a 64-bit SimHash of its words. In a document, windows as long as
 items (each word count that items have) get theirs from running sums of word bits, at every offset
-that can matter: a window without any shingle of any item has similarity 0, so only windows that
-touch such a shingle are made. ``radius + 1`` blocks of the 64 bits are indexed: two fingerprints
+that can matter: with similarity s a window and an item of m shingles share 2 s m / (1 + s) of them,
+so only windows that hold as many shingles of items at all are made. ``radius + 1`` blocks of the 64 bits are indexed: two fingerprints
 within ``radius`` differ in at most ``radius`` bits, so they agree in one block at least, and the
 search loses none within the radius. Candidates are verified: sum of minima over sum of maxima of
 the shingle counts of window and item (five words a shingle) must reach ``similarity``.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from dataclasses import dataclass
 
@@ -53,7 +54,9 @@ class NormalHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        normal = EDGES.sub("", word.lower())
+        normal = word.lower().strip(string.punctuation)
+        if not normal.isalnum():
+            normal = EDGES.sub("", normal)
         h = self[word] = (xxhash.xxh3_64_intdigest(normal.encode("utf-8", "surrogatepass")) or 1) if normal else 0
         return h
 
@@ -137,25 +140,25 @@ class Items:
     def search(self, text: str | None) -> list[tuple[object, float, int, int]]:
         """(item, similarity, first character, end) of the passages of a whole text that match."""
         h = words_of(text)
-        hits = np.zeros(len(h), bool)
+        seen = {}  # running counts of shingles of any item, by words of a shingle
         for n in [self.s.words, *self.short]:
-            if n <= len(h):
+            if n <= len(h) and len(self.known):
                 grams = shingles(h, n)
                 place = np.searchsorted(self.known, grams)
                 place[place == len(self.known)] = 0
-                hits[: len(grams)] |= self.known[place] == grams if len(self.known) else False
-        if not hits.any():
+                seen[n] = np.append(0, np.cumsum(self.known[place] == grams))
+        if not any(c[-1] for c in seen.values()):
             return []
-        spots = np.flatnonzero(hits)
         sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(h), axis=0, dtype=np.int32)])
         matches = []
         for length in self.index:
             if length > len(h):
                 continue
-            edge = np.zeros(len(h) + 1, np.int64)  # windows [start, start + length) that hold a spot's shingle
-            np.add.at(edge, np.maximum(spots - length + 1, 0), 1)
-            np.add.at(edge, spots + 1, -1)
-            starts = np.flatnonzero(np.cumsum(edge)[: len(h) - length + 1] > 0)
+            n = min(self.s.words, length)
+            grams = length - n + 1
+            need = math.ceil(2 * self.s.similarity / (1 + self.s.similarity) * grams - 1e-9)
+            count = seen[n][grams:] - seen[n][: len(seen[n]) - grams]
+            starts = np.flatnonzero(count >= need)
             for a in range(0, len(starts), 8192):
                 part = starts[a : a + 8192]
                 for w, item in self.near(length, fingerprints(sums[part + length] - sums[part])):
