@@ -1,7 +1,6 @@
 """Benchmark decontamination: SimHash windows of item size, multi-index Hamming search, exact check.
 
-Words are lower-cased and stripped of what is not a letter or digit at their ends; words that
-vanish are skipped. Every item has a 64-bit SimHash of its words. In a document, windows as long as
+Words are lower-cased runs of letters and digits. Every item has a 64-bit SimHash of its words. In a document, windows as long as
 items (each word count that items have) get theirs from running sums of word bits, at every offset
 that can matter: with similarity s a window and an item of m shingles share 2 s m / (1 + s) of them,
 so only windows that hold as many shingles of items at all are made. ``radius + 1`` blocks of the 64 bits are indexed: two fingerprints
@@ -23,7 +22,6 @@ from __future__ import annotations
 
 import math
 import re
-import string
 from collections import Counter
 from dataclasses import dataclass
 
@@ -45,19 +43,16 @@ class Settings:
     block_items: int = 20_000
 
 
-EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+WORD = re.compile(r"[^\W_]+")
 
 
 class NormalHashes(dict):
-    """Word -> 64-bit hash of its normal form; 0 for words that vanish; emptied when full."""
+    """Word -> 64-bit hash of it in lower case; emptied when full."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        normal = word.lower().strip(string.punctuation)
-        if not normal.isalnum():
-            normal = EDGES.sub("", normal)
-        h = self[word] = (xxhash.xxh3_64_intdigest(normal.encode("utf-8", "surrogatepass")) or 1) if normal else 0
+        h = self[word] = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
         return h
 
 
@@ -67,9 +62,8 @@ BITS = np.arange(64, dtype=np.uint64)
 
 
 def words_of(text: str | None) -> np.ndarray:
-    raw = (text or "").split()
-    h = np.fromiter(map(HASHES.__getitem__, raw), np.uint64, len(raw))
-    return h[h != 0]
+    raw = WORD.findall(text or "")
+    return np.fromiter(map(HASHES.__getitem__, raw), np.uint64, len(raw))
 
 
 def shingles(h: np.ndarray, words: int) -> np.ndarray:
@@ -105,6 +99,11 @@ class Items:
         self.words = [words_of(t) for t in texts]
         self.grams = [shingles(h, s.words) for h in self.words]
         self.known = np.unique(np.concatenate([np.empty(0, np.uint64), *self.grams]))
+        #: Word counts of the items that have each known shingle.
+        self.lengths_of: list[set[int]] = [set() for _ in self.known]
+        for h, grams in zip(self.words, self.grams, strict=True):
+            for i in np.searchsorted(self.known, grams).tolist():
+                self.lengths_of[i].add(len(h))
         #: Lengths of items shorter than a shingle; their only shingle has that many words.
         self.short = sorted({len(h) for h in self.words if 0 < len(h) < s.words})
         by_length: dict[int, list[int]] = {}
@@ -141,17 +140,20 @@ class Items:
         """(item, similarity, first character, end) of the passages of a whole text that match."""
         h = words_of(text)
         seen = {}  # running counts of shingles of any item, by words of a shingle
+        lengths: set[int] = set()  # of the items that have a shingle here; no other can match
         for n in [self.s.words, *self.short]:
             if n <= len(h) and len(self.known):
                 grams = shingles(h, n)
                 place = np.searchsorted(self.known, grams)
                 place[place == len(self.known)] = 0
-                seen[n] = np.append(0, np.cumsum(self.known[place] == grams))
-        if not any(c[-1] for c in seen.values()):
+                hit = self.known[place] == grams
+                seen[n] = np.append(0, np.cumsum(hit))
+                lengths.update(*(self.lengths_of[i] for i in np.unique(place[hit]).tolist()))
+        if not lengths:
             return []
         sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(h), axis=0, dtype=np.int32)])
         matches = []
-        for length in self.index:
+        for length in sorted(lengths):
             if length > len(h):
                 continue
             n = min(self.s.words, length)
@@ -172,7 +174,7 @@ class Items:
         """Of overlapping windows of one item the most similar one, the first of equals."""
         if not matches:
             return []
-        spans = [m.span() for m in re.finditer(r"\S+", text) if HASHES[m[0]]]
+        spans = [m.span() for m in WORD.finditer(text)]
         taken: dict[int, list[tuple[int, int]]] = {}
         out = []
         for similarity, start, length, item in sorted(matches):
