@@ -51,6 +51,16 @@ class Settings:
     block: int = 4096  # ranks per block of the join with the plan
 
 
+def byte_level() -> dict[int, str]:
+    """Latin-1 letters as the byte-level alphabet writes their UTF-8: printable bytes stand for themselves, others move up."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+    return {c: "".join(chr(moved.get(b, b)) for b in chr(c).encode()) for c in range(128, 256)}
+
+
+BYTE_LEVEL = byte_level()
+
+
 class Numbers(dict):
     """Numbers words in the order they are met, and lists the new ones."""
 
@@ -71,16 +81,21 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_file(path), words
+        self.pieces: dict[str, list[int]] = {}  # outlives the words, since many share them
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.pieces = Numbers(), {}
+        self.at = Numbers()
+        if len(self.pieces) > self.words:
+            self.pieces.clear()
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    #: The tokenizer's own split pattern for ASCII, and the white space its normalizer drops.
-    ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    #: The tokenizer's own split pattern for Latin-1, and the white space its normalizer drops.
+    PIECE = re.compile(
+        r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
+    )
     WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
     #: Python takes these for white space too, the tokenizer does not.
     SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -89,12 +104,17 @@ class WordIds:
         """The tokenizer's own steps one by one, so that pieces that many words share are looked up."""
         if "<|" in word and any(t in word for t in self.special):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        if word.isascii() and word.isprintable():
-            split = self.ASCII_PIECE.findall(word.lower())
+        if (word.isascii() or max(word) < "\u0100") and word.isprintable():
+            # Latin-1 is composed already and has one lower-case letter each
+            split = self.PIECE.findall(word.lower())
+            known = True
         else:
+            known = False
             split = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))]
         ids: list[int] = []
         for piece in split:
+            if known and not piece.isascii():
+                piece = piece.translate(BYTE_LEVEL)
             found = self.pieces.get(piece)
             if found is None:
                 found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece)]
