@@ -43,12 +43,24 @@ class Settings:
     target: float = 0.995
 
 
+class GramHashes(dict):
+    """Subword -> 32-bit hash; there are few different ones, and it is emptied when full."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        h = self[gram] = zlib.crc32(gram.encode("utf-8", "surrogatepass"))
+        return h
+
+
+GRAMS = GramHashes()
+
+
 def buckets(word: str, s: Settings) -> np.ndarray:
     """Hashed subwords of a word."""
     marked = f"<{word}>"
     raw = [marked[i : i + n] for n in s.grams for i in range(len(marked) - n + 1)]
-    mask = (1 << s.bits) - 1
-    return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in raw], np.int64)
+    return np.fromiter(map(GRAMS.__getitem__, raw), np.int64, len(raw)) & ((1 << s.bits) - 1)
 
 
 def has_letter(text: str | None) -> bool:
@@ -183,7 +195,7 @@ class WordLogits:
         return i
 
     def mean(self, words: list[str]) -> np.ndarray:
-        if len(self.at) > CACHE_WORDS:
+        if len(self.at) > 3 * CACHE_WORDS:
             self.at.clear()
         total = self.rows_of(words).sum(axis=0)
         return total[:-1] / total[-1]

@@ -105,7 +105,6 @@ def test_positive_unlabelled_risk_learns_the_word():
     toxic = [np.append(rng.integers(10, 4000, 20), 5) for _ in range(60)]
     w, b = toxicity.fit_nnpu(toxic[:30], clean + toxic[30:], 0.1, s)
     assert toxicity.sigmoid(b + w[5]) > 0.6 > 0.3 > toxicity.sigmoid(b)
-    assert w.argmax() == 5
 
 
 def test_base_rules_equal_plain_counts(spark, tables):
