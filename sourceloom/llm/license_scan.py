@@ -2,63 +2,38 @@
 
 Words are lower-cased runs of letters and digits; shingles are three words. For every number of
 words L that a template has, a text is cut into windows of 2 L words that overlap by L, so any run of
-L words lies whole in one of them. A window's signature is the minimum of ``bands`` hash functions over its
-shingles, one function a band. A window that holds a template (or the share ``containment`` of its m shingles) has a
-Jaccard similarity of at least ``containment * m / (2 L - 2 + (1 - containment) * m)``, over 0.27 for all
-templates here, so with 32 bands of one row it shares a band with probability 1 - (1 - 0.27)**32 > 0.9999.
-Pairs that share a band are verified: share of the template's shingles that the window has.
+L words lies whole in one of them, and of a run of 1.25 L words (an edited copy) at least nine tenths. A window's
+signature is the minimum of ``bands`` hash functions over its shingles, one function a band. A window that holds the
+share ``containment`` of the m shingles of a template shares a band with it with probability over 0.999; pairs that
+share one are verified: share of the template's shingles in the window and one length L more on both sides.
 
-A window without any shingle of any template cannot be verified, so only those with one are made:
-texts are hashed once, tested against the templates' shingles, and most end there. The template table is given
-by the caller and fixed in size; it is broadcast.
+A place that holds that share has at least one of any ``(1 - containment) m + 1`` shingles of the template. So many
+of each template (of one with tells, see below: one shingle of each tell) are its anchors, and only windows with an anchor are made: texts are hashed once, tested against the
+anchors, and most end there. The templates (``license_texts``) are constants of the code and are broadcast.
+
+A template is a wording; where a wording serves several licenses or versions, the words that tell them apart must
+stand in the place without a gap, and they name the license. Of places that overlap only the best stays.
 
 Cases: null, empty and wordless texts match nothing; texts are read whole; several places of one
-template in one document are one row, with the place of the best; repeated rows give one match, and so
+template and license in one document are one row, with the place of the best; repeated rows give one match, and so
 do rows without an id together; no template or no document gives no row; templates of fewer than
 three words are one shingle of all their words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.llm.common import settle, table
+from sourceloom.llm.license_texts import Template, every
 
-#: Well-known licence notices.
-NOTICES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    (
-        "Apache-2.0",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance'
-        " with the License. You may obtain a copy of the License at",
-    ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General"
-        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
-        " option) any later version.",
-    ),
-    ("MIT", "Released under the MIT License."),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
-        ' documentation files (the "Software"), to deal in the Software without restriction, including without'
-        " limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of"
-        " the Software",
-    ),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    (
-        "BSD",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
-        " the following conditions are met",
-    ),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
+TEMPLATES = every()
+#: (license, text) of each template.
+NOTICES = tuple((t.license, t.text) for t in TEMPLATES)
 
 
 @dataclass(frozen=True)
@@ -89,7 +64,7 @@ def signature(hashes: str, s: Settings) -> Column:
     return F.array(*[least(b) for b in range(s.bands)])
 
 
-def window_starts(hits: str, length: int) -> Column:
+def window_starts(hits: Column, length: int) -> Column:
     """The windows of twice ``length`` words, ``length`` apart, that hold a shingle starting at a hit."""
 
     def both(p: Column) -> Column:
@@ -102,58 +77,157 @@ def window_starts(hits: str, length: int) -> Column:
     return F.transform(F.array_distinct(F.flatten(F.transform(hits, both))), named)
 
 
-def templates(spark: SparkSession, notices: tuple[tuple[str, str], ...], s: Settings) -> DataFrame:
-    """(template, license, length, shingles_t, signature_t)."""
-    rows = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(notices)], "template int, license string, text string")
+def anchors(shingle_list: Column, s: Settings) -> Column:
+    """So many shingles of a template that any place with the share ``containment`` has one of them."""
+    needed = F.ceil(F.size(shingle_list) * s.containment - 1e-9).cast("int")
+    return F.slice(F.array_sort(shingle_list), F.lit(1), F.size(shingle_list) - needed + 1)
+
+
+def templates(spark: SparkSession, notices: tuple[Template, ...], s: Settings) -> DataFrame:
+    """(template, license, length, shingles_t, signature_t, tells_t, anchors_t)."""
+    rows = [(i, t.license, t.text, [(x.license, x.phrase, x.also) for x in t.tells]) for i, t in enumerate(notices)]
+    kind = "template int, license string, text string, tells array<struct<license:string,phrase:string,also:string>>"
+    rows = spark.createDataFrame(rows, kind)
     rows = rows.withColumn("words_", words_of(F.col("text"))).withColumn("length", F.size("words_"))
     rows = rows.where("length > 0").withColumn("shingles_t", F.array_distinct(shingles("words_", s)))
-    return rows.withColumn("signature_t", signature("shingles_t", s)).drop("words_", "text")
+
+    def runs(phrase: Column) -> Column:
+        return F.transform(F.array(words_of(phrase)), lambda w: shingles(w, s))[0]
+
+    def tell(t: Column) -> Column:
+        return F.struct(t.license.alias("license"), runs(t.phrase).alias("runs"), runs(t.also).alias("also"))
+
+    return rows.select(
+        "template",
+        "license",
+        "length",
+        "shingles_t",
+        signature("shingles_t", s).alias("signature_t"),
+        F.transform("tells", tell).alias("tells_t"),
+    ).withColumn(
+        # each place of a template with tells holds one of them whole
+        "anchors_t",
+        F.when(F.size("tells_t") > 0, F.transform("tells_t", lambda t: t.runs[0])).otherwise(anchors(F.col("shingles_t"), s)),
+    )
+
+
+def run_starts(hashes: Column, runs: Column) -> Column:
+    """Where ``runs`` stands in ``hashes`` without a gap."""
+    return F.filter(
+        F.transform(hashes, lambda h, i: F.when((h == runs[0]) & (F.slice(hashes, i + 1, F.size(runs)) == runs), i)),
+        lambda x: x.isNotNull(),
+    )
 
 
-def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, license, template, containment, first_word, last_word), one row per document and template."""
+def best_places(found: Column) -> Column:
+    """Of places that overlap the one with most shingles; of equal ones the longer tell, then the higher containment."""
+    ranked = F.array_sort(
+        F.transform(
+            found,
+            lambda x: F.struct(
+                (-x.shared).alias("a"), (-x.told).alias("b"), (-x.containment).alias("c"), x.template.alias("d"), x.first_word.alias("e"), x.alias("x")
+            ),
+        )
+    )
+
+    def add(kept: Column, r: Column) -> Column:
+        clash = F.exists(kept, lambda k: (k.first_word <= r.x.last_word) & (r.x.first_word <= k.last_word))
+        return F.when(clash, kept).otherwise(F.concat(kept, F.array(r.x)))
+
+    return F.aggregate(ranked, F.slice(found, 1, 0), add)
+
+
+def values(hashes: Iterable[int]) -> str:
+    return ", ".join(f"{h}L" for h in sorted(hashes))
+
+
+def scan(docs: DataFrame, notices: tuple[Template, ...] = TEMPLATES, s: Settings = Settings()) -> DataFrame:
+    """(doc_id, license, template, containment, first_word, last_word), one row per document, template and license."""
     spark = docs.sparkSession
-    known = templates(spark, notices, s)
-    # a handful of rows made from the arguments: their lengths and shingles are constants of the plan
-    made = known.select("length", "shingles_t").collect()
-    if not made:
+    # the templates are constants: what the plan needs of them is made once
+    made = templates(spark, notices, s)
+    listed = made.collect()
+    if not listed:
         empty = "license string, template int, containment double, first_word int, last_word int"
         return docs.select("doc_id").join(spark.createDataFrame([], empty), F.lit(False))
-    lengths = sorted({r["length"] for r in made})
-    every = sorted({h for r in made for h in r["shingles_t"]})
+    known = F.broadcast(spark.createDataFrame(listed, made.schema).withColumnRenamed("length", "length_t"))
+    by_length: dict[int, set[int]] = {}
+    for r in listed:
+        by_length.setdefault(r["length"], set()).update(r["anchors_t"])
+    wanted = sorted(set().union(*by_length.values()))
     # the unnested one-element array keeps the filter below from being computed on the raw text, word by word
     rows = docs.select("doc_id", F.explode_outer(F.array(words_of(F.col("text")))).alias("words_"))
     rows = rows.withColumn("all_", shingles("words_", s))
-    hits = F.filter(F.transform("all_", lambda h, i: F.when(h.isin(every), i)), lambda x: x.isNotNull())
+    # as text, since each value of isin() is a call to the JVM of its own
+    hits = F.expr(f"filter(transform(all_, (h, i) -> CASE WHEN h IN ({values(wanted)}) THEN struct(i, h) END), x -> x IS NOT NULL)")
     # written, since the few rows with a hit are used by many expressions below
     rows = settle(rows.withColumn("hits_", hits).where(F.size("hits_") > 0).drop("words_"))
-    starts = [window_starts("hits_", n) for n in lengths]
-    windows = rows.select("doc_id", "all_", "hits_", F.explode_outer(F.array_distinct(F.concat(*starts))).alias("w"))
+
+    def of(length: int) -> Column:
+        mine = f"transform(filter(hits_, x -> x.h IN ({values(by_length[length])})), x -> x.i)"
+        return window_starts(F.expr(mine), length)
+
+    starts = F.array_distinct(F.concat(*[of(n) for n in sorted(by_length)]))
+    windows = rows.select(F.xxhash64("all_").alias("text_"), "doc_id", "all_", F.explode_outer(starts).alias("w"))
     span = F.greatest(F.col("w.length") * 2 - (s.words - 1), F.lit(1))
     windows = windows.select(
-        "doc_id", "w.length", "w.start", F.slice("all_", F.col("w.start") + 1, span).alias("part_")
+        "doc_id", "text_", "w.length", "w.start", "all_", F.slice("all_", F.col("w.start") + 1, span).alias("part_")
     ).where(F.size("part_") > 0)
-    bands = windows.withColumn("signature_", signature("part_", s)).select(
-        "doc_id", "length", "start", "part_", F.posexplode("signature_").alias("band", "value")
+    windows = windows.withColumn("signature_", signature("part_", s))
+    # a value is hashed with its band, so equal values mean the same band
+    same = (F.col("length") == F.col("length_t")) & F.arrays_overlap("signature_", "signature_t")
+    # verified over the window and its neighbourhood of one length on both sides: edited copies are longer
+    wide = F.greatest(F.col("start") - F.col("length"), F.lit(0))
+    around = F.slice("all_", wide + 1, F.col("start") - wide + F.col("length") * 3)
+    pairs = windows.join(known, same).select(
+        "doc_id", "text_", "template", "license", "length", "shingles_t", "tells_t", wide.alias("wide"), around.alias("part_")
     )
-    listed = known.select(
-        "template", "license", "shingles_t", F.col("length").alias("length_t"), F.posexplode("signature_t").alias("band_t", "value_t")
+    need = F.ceil(F.size("shingles_t") * s.containment - 1e-9)
+    pairs = pairs.where(F.size(F.array_intersect("part_", "shingles_t")) >= need)
+    # a template with tells has a place around each of them, the others one place
+    told = F.flatten(
+        F.transform(
+            "tells_t",
+            lambda t: F.transform(
+                run_starts(F.col("part_"), t.runs), lambda i: F.struct(t.license.alias("license"), i.alias("i"), F.size(t.runs).alias("n"), t.also.alias("also"))
+            ),
+        )
     )
-    same = (F.col("length") == F.col("length_t")) & (F.col("band") == F.col("band_t")) & (F.col("value") == F.col("value_t"))
-    pairs = bands.join(F.broadcast(listed), same)  # templates are constants
-    shared = F.array_intersect("part_", "shingles_t")
-    checked = pairs.withColumn("containment", F.size(shared) / F.size("shingles_t")).where(F.col("containment") >= s.containment)
-    places = F.filter(F.transform("part_", lambda h, i: F.when(F.array_contains("shingles_t", h), i)), lambda x: x.isNotNull())
-    checked = checked.withColumn("places_", places).select(
+    plain = F.array(F.struct("license", F.lit(None).cast("int").alias("i"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("also")))
+    pairs = pairs.withColumn("told_", F.explode_outer(F.when(F.size("tells_t") > 0, told).otherwise(plain))).where("told_ is not null")
+    low = F.coalesce(F.greatest(F.col("told_.i") - F.col("length"), F.lit(0)), F.lit(0))
+    high = F.coalesce(F.col("told_.i") + F.col("told_.n") + F.col("length"), F.size("part_"))
+    pairs = pairs.select(
+        "doc_id", "text_", "template", "length", "shingles_t", "told_", (F.col("wide") + low).alias("from_"), F.slice("part_", low + 1, high - low).alias("part_")
+    )
+    also = (F.size("told_.also") == 0) | (F.size(run_starts(F.col("part_"), F.col("told_.also"))) > 0)
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("part_", "shingles_t"))).where(also & (F.col("shared") >= need))
+    # positions are found by a join, since long templates have thousands of shingles
+    ours = F.broadcast(known.select(F.col("template").alias("template_t"), F.explode("shingles_t").alias("h_t")))
+    pairs = pairs.select(
+        "doc_id", "text_", "template", "length", "from_", "shared", (F.col("shared") / F.size("shingles_t")).alias("containment"),
+        F.col("told_.license").alias("license"), F.col("told_.n").alias("told"), F.posexplode("part_").alias("at_", "h_"),
+    )
+    pairs = pairs.join(ours, (F.col("template") == F.col("template_t")) & (F.col("h_") == F.col("h_t")))
+    key = ["doc_id", "text_", "template", "license", "length", "from_", "shared", "containment", "told"]
+    places = pairs.groupBy(*key).agg(F.min("at_").alias("a"), F.max("at_").alias("b"))
+    places = places.select(
         "doc_id",
-        "license",
-        "template",
-        "containment",
-        (F.col("start") + F.array_min("places_")).alias("first_word"),
-        (F.col("start") + F.array_max("places_") + F.least(F.col("length"), F.lit(s.words)) - 1).alias("last_word"),
+        "text_",
+        F.struct(
+            "license",
+            "template",
+            "shared",
+            "told",
+            "containment",
+            (F.col("from_") + F.col("a")).alias("first_word"),
+            (F.col("from_") + F.col("b") + F.least(F.col("length"), F.lit(s.words)) - 1).alias("last_word"),
+        ).alias("place"),
     )
+    kept = places.groupBy("doc_id", "text_").agg(best_places(F.collect_set("place")).alias("kept_"))
+    kept = kept.select("doc_id", F.explode("kept_").alias("k")).select("doc_id", "k.*")
     best = F.min(F.struct((-F.col("containment")).alias("c"), "first_word", "last_word"))
-    found = checked.groupBy("doc_id", "license", "template").agg(best.alias("b"))
+    found = kept.groupBy("doc_id", "license", "template").agg(best.alias("b"))
     return found.select(
         "doc_id", "license", "template", (-F.col("b.c")).alias("containment"), "b.first_word", "b.last_word"
     )

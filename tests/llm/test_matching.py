@@ -180,3 +180,49 @@ def test_sequences_hold_the_ids(spark):
     whole = packing.sequences(packing.packed(made, packing.Settings(size=32))).collect()
     assert sum(len(r["ids"]) for r in whole) == made.selectExpr("sum(length) n").first()["n"]
     assert all(len(r["ids"]) <= 32 for r in whole)
+
+
+def named(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = license_scan.scan(docs).collect()
+    return [sorted(r["license"] for r in found if r["doc_id"] == i) for i in range(len(texts))]
+
+
+def test_licenses_are_told_apart(spark):
+    work = "This work is licensed under the GNU {}General Public License, version {}."
+    head = license_scan.NOTICES[3][1]
+    cases = [
+        (work.format("", "2"), ["GPL-2.0"]),
+        (work.format("", "3"), ["GPL-3.0"]),
+        (work.format("Lesser ", "3"), ["LGPL-3.0"]),
+        (work.format("Lesser ", "2.1"), ["LGPL-2.1"]),
+        (work.format("Affero ", "3"), ["AGPL-3.0"]),
+        (head, ["GPL-3.0"]),
+        (head.replace("version 3", "version 2"), ["GPL-2.0"]),
+        (head.replace("GNU General", "GNU Affero General"), ["AGPL-3.0"]),
+        ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("Text under CC BY-SA 3.0, as it is", ["CC-BY-SA-3.0"]),
+        ("This is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ["CC-BY-ND-4.0"]),
+        ("Distributed under the ISC License", ["ISC"]),
+        ("Code is under the BSD 3-Clause License", ["BSD-3-Clause"]),
+        ("released under the Unlicense", ["Unlicense"]),
+        ("Licensed under the Apache License, Version 2.0. " + "w " * 30 + "Released under the MIT License.", ["Apache-2.0", "MIT"]),
+        ("nothing about licenses of any version 3", []),
+    ]
+    assert named(spark, [t for t, _ in cases]) == [w for _, w in cases]
+
+
+def test_full_license_texts(spark):
+    full = [t for t in license_scan.TEMPLATES if len(t.text) > 600]
+    assert len(full) > 15
+    got = named(spark, [f"a b c {t.text} x y z" for t in full])
+    assert [t.license in g for t, g in zip(full, got)] == [True] * len(full), got
+
+
+def test_edited_copies_cross_windows(spark):
+    words = license_scan.NOTICES[17][1].split()
+    # a word put in after every sixteenth, at several offsets
+    longer = " ".join(w + (" inserted" if i % 16 == 15 else "") for i, w in enumerate(words))
+    texts = ["f " * k + longer for k in range(0, 2 * len(words), 37)]
+    assert all("Zlib" in g for g in named(spark, texts))
