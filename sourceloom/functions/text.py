@@ -32,6 +32,7 @@ S_OPEN, S_CLOSE = "\ufde8", "\ufde9"  # around a string token
 C_OPEN, C_CLOSE = "\ufdea", "\ufdeb"  # around a comment token
 B_OPEN, B_CLOSE = "\ufdec", "\ufded"  # around a keyword block (``function .. end``)
 LINE = "\ufdee"  # a line end inside brackets
+A_OPEN, A_CLOSE = "\ufde4", "\ufde5"  # an angle bracket too deep for the patterns
 
 STRING = f"{S_OPEN}[^{S_CLOSE}]*+{S_CLOSE}"
 COMMENT = f"{C_OPEN}[^{C_CLOSE}]*+{C_CLOSE}"
@@ -118,7 +119,7 @@ def protect(content: Column, token: str, is_string: Callable[[Column], Column],
 
 def restore(text: Column) -> Column:
     """Original text of a prepared piece."""
-    return F.translate(text, STAND_IN + LINE + S_OPEN + S_CLOSE + C_OPEN + C_CLOSE + B_OPEN + B_CLOSE, SPECIAL + "\n")
+    return F.translate(text, STAND_IN + LINE + A_OPEN + A_CLOSE + S_OPEN + S_CLOSE + C_OPEN + C_CLOSE + B_OPEN + B_CLOSE, SPECIAL + "\n<>")
 
 
 def trimmed(text: Column) -> Column:

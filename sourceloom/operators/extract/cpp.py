@@ -28,7 +28,8 @@ STRAY = '"'
 NAME = f"[A-Za-z_\u0080-\ufdcf][{T.WORD}]*+"
 WS = f"[ \t\n{T.LINE}]"
 ANGLE = "<[^<>;{}]*+>"
-for _ in range(8):
+MAX_ANGLES = 8  # deeper ones are hidden from the patterns
+for _ in range(MAX_ANGLES):
     ANGLE = f"<(?:[^<>;{{}}]++|{ANGLE})*+>"
 ARGUMENT = f"(?:[^,<{T.BRACKETS}]++|{T.GROUP}|{ANGLE}|<)++"
 
@@ -89,7 +90,49 @@ PARAM = (
 )
 
 
+def shallow_angles(prepared: Column) -> Column:
+    """Text whose template arguments of any depth nest at most ``MAX_ANGLES`` times; inner brackets get stand-ins."""
+    many = f"(?:<[^<;{{}}]*+){{{MAX_ANGLES + 1}}}"
+
+    def paired(part: Column) -> Column:
+        # as many rounds as there are brackets; those after the last change cost nothing
+        def step(acc: Column, _: Column) -> Column:
+            def once(t: Column) -> Column:
+                new = F.regexp_replace(t, "<([^<>]*+)>", f"{T.A_OPEN}$1{T.A_CLOSE}")
+                return T.let(new, lambda n: F.struct(n.alias("text"), (n != t).alias("more")))
+
+            return F.when(acc["more"], once(acc["text"])).otherwise(acc)
+
+        rounds = F.sequence(F.lit(1), F.length(part) - F.length(F.translate(part, "<", "")))
+        return F.aggregate(rounds, F.struct(part.alias("text"), F.lit(True).alias("more")), step)["text"]
+
+    def shown(marked: Column) -> Column:
+        # the pairs down to the depth of the patterns become brackets again
+        tokens = T.find(marked, f"[{T.A_OPEN}{T.A_CLOSE}]|[^{T.A_OPEN}{T.A_CLOSE}]++")
+
+        def step(acc: Column, t: Column) -> Column:
+            depth = acc["depth"] + F.when(t == T.A_OPEN, 1).otherwise(0)
+            seen = F.when(depth <= MAX_ANGLES, F.translate(t, T.A_OPEN + T.A_CLOSE, "<>")).otherwise(t)
+            return F.struct(
+                F.concat(acc["text"], seen).alias("text"), (depth - F.when(t == T.A_CLOSE, 1).otherwise(0)).alias("depth")
+            )
+
+        return F.aggregate(tokens, F.struct(F.lit("").alias("text"), F.lit(0).alias("depth")), step)["text"]
+
+    def part(p: Column) -> Column:
+        return F.when(p.rlike(many), T.let(paired(p), shown)).otherwise(p)
+
+    return T.let(
+        prepared,
+        lambda x: F.when(x.rlike(many), F.array_join(F.transform(T.find(x, "[^;{}]++|[;{}]"), part), "")).otherwise(x),
+    )
+
+
 def prepare(content: Column) -> Column:
+    return shallow_angles(_protected(content))
+
+
+def _protected(content: Column) -> Column:
     return T.protect(
         content,
         TOKEN,

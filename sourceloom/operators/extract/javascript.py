@@ -21,9 +21,11 @@ TOKEN = (
     r'|"(?:[^"\\\n]++|\\[\s\S])*+"'
     r"|'(?:[^'\\\n]++|\\[\s\S])*+'"
     r"|`(?:[^`\\]++|\\[\s\S])*+`"
-    # A slash after an operator or an opening bracket starts a pattern literal.
-    r"|(?<=[=(,:!&|?\[][ \t]{0,4}|\breturn )/(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
-    r"|[^\"'`/]++|[\s\S]"
+    # A slash after an operator or an opening bracket starts a pattern literal, whatever blanks lie between: plain
+    # text stops after the operator, and the literal takes the blanks.
+    r"|(?<=[=(,:!&|?\[]|\breturn)[ \t]*+/(?![/*])(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
+    r"|return(?=[ \t]*+/)"
+    r"|(?:[^\"'`/=(,:!&|?\[r]++|r(?!eturn[ \t]*+/)|[=(,:!&|?\[](?![ \t]*+/))++|[\s\S]"
 )
 STRAY = "`"
 
@@ -65,10 +67,12 @@ def prepare(content: Column) -> Column:
     protected = T.protect(
         content,
         TOKEN,
-        is_string=lambda t: (F.length(t) > 1) & T.starts(t, "^[\"'`/]"),
+        is_string=lambda t: (F.length(t) > 1) & T.starts(t, "^[ \t]*+[\"'`/]"),
         is_comment=lambda t: t.startswith("//") | t.startswith("/*"),
         keep_comments=True,
     )
+    # The blanks before a pattern literal are not part of it.
+    protected = F.regexp_replace(protected, f"{T.S_OPEN}([ \t]++)", f"$1{T.S_OPEN}")
     # A statement goes on over a line end after an operator or before a member access.
     joined = F.regexp_replace(protected, r"(?<=[=,+*&|?:])[ \t]*+\n(?=[ \t\n]*+[^ \t\n])", T.LINE)
     return F.regexp_replace(joined, r"\n(?=[ \t]*+[.?&|+,])", T.LINE)

@@ -374,3 +374,25 @@ def test_unicode_and_line_ends(analysed):
     assert r["imports"][0]["source"] == "ö"
     assert r["variables"][0]["value"] == "é🙂"
     assert (r["functions"][0]["name"], r["functions"][0]["docstring"]) == ("größe", "Länge")
+
+
+def test_template_arguments_of_any_depth(analysed):
+    def deep(n):
+        return "A<" * n + "int, B<char>" + ">" * n
+
+    code = f"int first(std::vector<int> v);\nstruct S {{\n  {deep(9)} nine;\n  {deep(10)} ten;\n  {deep(40)} forty;\n}};\nint run({deep(10)} x, {deep(25)} y, int z);\n"
+    r = analysed(("a.cpp", code))["a.cpp"]
+    assert r["failure"] is None
+    (cls,) = r["classes"]
+    assert [(a["name"], a["type"]) for a in cls["attributes"]] == [("nine", deep(9)), ("ten", deep(10)), ("forty", deep(40))]
+    first, run = r["functions"]
+    assert params(first) == [("v", "std::vector<int>")]
+    assert params(run) == [("x", deep(10)), ("y", deep(25)), ("z", "int")]
+
+
+def test_pattern_literals_after_any_blanks(analysed):
+    code = "const r =          /[(]/;\nconst s =\t \t  \t /\"/g;\nfunction f(a) {\n  return      /[{]'/;\n}\nlet half = a    /  2;\nconst n =      3; // ( note\n"
+    r = analysed(("a.js", code))["a.js"]
+    assert r["failure"] is None
+    assert [f["name"] for f in r["functions"]] == ["f"]
+    assert [v["name"] for v in r["variables"]] == ["r", "s", "half", "n"]
