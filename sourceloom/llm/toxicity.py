@@ -119,6 +119,8 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, s: Sett
 
 def fit(docs: DataFrame, labels: DataFrame, draw: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
     """``labels``: doc_id and toxic of the rows to learn from; ``draw``: the documents that may be unlabelled ones."""
+    # labels of documents that an earlier stage removed belong to another population than ``draw``
+    labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
     positives = bounded_ids(known.where("toxic = 1").select("doc_id"), "doc_id", s.max_positives)

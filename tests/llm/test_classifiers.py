@@ -143,3 +143,13 @@ def test_log_ratio_equals_counts_by_hand(spark):
     raw, good = np.bincount(cells[1] + cells[2], minlength=64), np.bincount(cells[1], minlength=64)
     want = np.log((good + 1) / (good.sum() + 64)) - np.log((raw + 1) / (raw.sum() + 64))
     assert np.allclose(weights, want)
+
+
+def test_labels_without_document_do_not_count(spark):
+    docs = spark.createDataFrame([(i, "bad word" if i % 4 == 0 else f"good word {i % 3}") for i in range(40)], "doc_id long, text string")
+    rows = [(i, int(i % 4 == 0)) for i in range(40)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    more = spark.createDataFrame(rows + [(i, 1) for i in range(100, 400)], "doc_id long, toxic int")
+    s = toxicity.Settings(bits=10, min_texts=2, max_positives=8)
+    (w, b), (w_more, b_more) = toxicity.fit(docs, labels, docs, s), toxicity.fit(docs, more, docs, s)
+    assert b == b_more and np.array_equal(w, w_more)
