@@ -363,7 +363,7 @@ def repeated_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, mark, spans): the removed bytes of rows that have any, as sorted overlapping (start, end). ``docs``: (doc_id, text, mark)."""
     ship(docs.sparkSession)
     frequent = bitmap(settle(frequent_grams(docs, s)), s)
-    made = settle(repeated_segments(docs, frequent, s))
+    made = settle(repeated_segments(docs, frequent, s), "zstd")
     forget()
     level, links, done = made.where("n is not null").select(*FIELDS), [], []
     while True:
