@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
-import uuid
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
@@ -16,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourceloom.session import shared_dir
+
 #: A word of the contracts: everything between white space of ASCII.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = r"[\x20\x09-\x0D]+"
@@ -45,12 +46,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; only where that is unset, a local one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="sourceloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder name under ``spark.checkpoint.dir``; only a local master without that setting gets a temporary one."""
+    return shared_dir(spark, "llm")
 
 
 def settle(df: DataFrame, codec: str = "snappy") -> DataFrame:
@@ -58,7 +55,17 @@ def settle(df: DataFrame, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete settled tables that nothing reads any more: all that was made from them is settled itself."""
+    for path in {getattr(t, "settled_at", None) for t in tables} - {None}:
+        spark = SparkSession.getActiveSession()
+        name = spark._jvm.org.apache.hadoop.fs.Path(path)
+        name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
 
 
 @contextmanager

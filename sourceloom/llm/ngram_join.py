@@ -19,8 +19,12 @@ A text is the set of its shingles (runs of ``words`` words, hashed to 64 bits);
 4. Star rounds: in every bucket, nodes are compared with one centre (that with the fewest rare shingles,
    which is the least edited of near copies), not with each other, and links merge groups; a bucket whose nodes are all in
    one group is done. A few rounds with other centres leave little.
-5. Whatever pairs of different groups are left in any bucket are then all compared. Nothing is capped, so every link
-   between groups is found.
+5. What is left in a small bucket is compared pair by pair. A bucket of more than ``small`` nodes is searched through its centre
+   c: with x the number of shingles that a node has more or less than c, two linked nodes a and b differ in at most
+   ``r (|a| + |b|)`` shingles, r = (1 - t) / (1 + t), so they share at least ``(x_a + x_b - r (|a| + |b|)) / 2`` of these
+   differences. Where that is not positive, both link with c and are in its group already. So nodes are indexed by their
+   differences, rarest first, and only as far as that many shared ones leave room: texts that share a passage, or that were
+   edited in different ways, do not meet. Nothing is capped, so every link between groups is found.
 
 Sets are compared exactly, on 64-bit shingle hashes. Groups come from alternating star contraction,
 each round written to the shared folder.
@@ -44,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import forget, mixed, settle, ship, small_batches, table
+from sourceloom.llm.common import forget, mixed, release, settle, ship, small_batches, table
 
 LAST = 2**40  # df of shingles outside the low share: they come last, by hash
 
@@ -56,6 +60,7 @@ class Settings:
     den: int = 100
     rare: int = 64
     rounds: int = 3
+    small: int = 32  # nodes of a bucket that are compared pair by pair
     range_rows: int = 400_000  # emissions per hash range
     batch: int = 500  # rows that a Python worker gets at once: two sets of a few thousand shingles each
     cache: int = 100_000  # words, and digests, that a worker remembers
@@ -298,7 +303,7 @@ def linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable from each node that has an edge (a, b)."""
     edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    before = None  # the state one round ago
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
@@ -306,7 +311,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.unionAll(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = settle(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
+        old, edges = edges, settle(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
+        release(old)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(2**40))).first()
         if state == before or not state[0]:
             break
@@ -335,25 +341,90 @@ def star(rows: DataFrame, turn: int, s: Settings) -> DataFrame:
     return met.select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b")).distinct()
 
 
-def remaining(rows: DataFrame, s: Settings) -> DataFrame:
-    """All pairs of nodes that share a bucket and differ in label; pairs within a label are never made."""
-    spread = F.struct(*[F.max(F.col("n") - F.col("before")).alias("most"), F.min("n").alias("least"), F.max("n").alias("largest")])
-    labels = rows.groupBy("key", "label").agg(spread.alias("s")).select("key", "label", "s.*")
-    first = labels.select("key", *[F.col(c).alias(f"{c}_a") for c in ("label", "most", "least", "largest")])
-    second = labels.select("key", *[F.col(c).alias(f"{c}_b") for c in ("label", "most", "least", "largest")])
-    # some nodes of the two labels may fit: bounds of what ``fitting`` asks of each pair
-    possible = (
-        (F.col("label_a") < F.col("label_b"))
-        & (F.col("largest_a") * s.den >= F.col("least_b") * s.num)
-        & (F.col("largest_b") * s.den >= F.col("least_a") * s.num)
-        & (F.least("most_a", "most_b") * (s.num + s.den) >= (F.col("least_a") + F.col("least_b")) * s.num)
+def sided(rows: DataFrame, keys: list[str], side: str) -> DataFrame:
+    return rows.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c not in keys])
+
+
+def pairs_of(met: DataFrame) -> DataFrame:
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def within_small(rows: DataFrame, s: Settings) -> DataFrame:
+    """All pairs of nodes of different labels that share a small bucket and fit."""
+    met = sided(rows, ["key"], "a").join(sided(rows, ["key"], "b"), "key").where(F.col("label_a") < F.col("label_b"))
+    return pairs_of(met.where(fitting("n_a", "n_b", "before_a", "before_b", s)))
+
+
+def differences(around: DataFrame, sets: DataFrame) -> DataFrame:
+    """(centre, token, df, node, n, n_c, label, x, i) per shingle that a node has more or less than its centre, ``i``: its rank, rarest first."""
+    own = sets.select("node", F.col("tokens").alias("own"))
+    theirs = sets.select(F.col("node").alias("centre"), F.col("tokens").alias("theirs"))
+
+    @F.pandas_udf("array<long>")
+    def differ(left: pd.Series, right: pd.Series) -> pd.Series:
+        made = zip(left, right, strict=True)
+        return pd.Series([np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), True) for x, y in made], dtype=object)
+
+    rows = around.join(own, "node").join(theirs, "centre").withColumn("d", differ("own", "theirs")).drop("own", "theirs")
+    rows = settle(rows.select("centre", "node", "n", "n_c", "label", F.size("d").alias("x"), F.explode("d").alias("token")))
+    counts = rows.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = rows.join(counts, ["centre", "token"]).groupBy("centre", "node").agg(
+        *[F.first(c).alias(c) for c in ("n", "n_c", "label", "x")], F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all")
     )
-    met = first.join(second, "key").where(possible).select("key", "label_a", "label_b")
-    left = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("label", "node", "n", "before")])
-    right = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("label", "node", "n", "before")])
-    pairs = met.join(left, ["key", "label_a"]).join(right, ["key", "label_b"])
-    pairs = pairs.where(fitting("n_a", "n_b", "before_a", "before_b", s))
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return ranked.select("centre", "node", "n", "n_c", "label", "x", F.posexplode("all").alias("i", "e")).select("*", "e.df", "e.token").drop("e")
+
+
+def across_centre(around: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of nodes of different labels that can link although not both link with their centre."""
+    rate = (s.den - s.num) / (s.den + s.num)
+    rows = differences(around, sets).where("df > 1").drop("df")
+    rows = settle(rows)
+    # the one with fewer differences needs its rarer half: the other, or itself, does not link with the centre
+    room = F.greatest(F.col("n") * (s.den / s.num) - F.col("n_c"), F.lit(0.0)) * rate
+    fewer = rows.where(F.col("i") <= (F.col("x") + room) / 2 + 1e-6)
+    more = rows.where(F.col("i") <= (F.col("x") + F.col("n") * (1 + s.den / s.num) * rate) / 2 + 1e-6)
+    keys = ["centre", "token"]
+    met = sided(fewer.drop("n_c"), keys, "a").join(sided(more.drop("n_c"), keys, "b"), keys)
+    differ = (F.col("n_a") + F.col("n_b")) * rate
+    met = met.where(
+        (F.col("label_a") != F.col("label_b"))
+        & (F.struct("x_a", "node_a") < F.struct("x_b", "node_b"))
+        & (F.least("n_a", "n_b") * s.den >= F.greatest("n_a", "n_b") * s.num)
+        & (2 * F.col("i_a") <= F.col("x_a") - F.col("x_b") + differ + 1e-6)
+        & (2 * F.col("i_b") <= F.col("x_b") - F.col("x_a") + differ + 1e-6)
+    )
+    return pairs_of(met)
+
+
+def remaining(postings: DataFrame, groups: DataFrame | None, sets: DataFrame, s: Settings) -> DataFrame:
+    """The groups, once all pairs that the stars left are found: ``postings`` as in ``placed``."""
+    rows = settle(placed(postings, groups))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"))
+    small = rows.join(sizes.where(F.col("nodes") <= s.small).select("key"), "key", "left_semi")
+    large = rows.join(sizes.where(F.col("nodes") > s.small).select("key"), "key", "left_semi")
+    groups = merged(groups, linked(within_small(small, s), sets, s))
+    place = F.struct("before", F.xxhash64("node").alias("hash"), "node", "n")
+    centre = large.groupBy("key").agg(F.min(place).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("n_c"))
+    around = settle(large.join(centre, "key").select("centre", "n_c", "node", "n").distinct())
+    release(rows)
+    if not around.isEmpty():
+        near = around.where((F.col("centre") != F.col("node")) & (F.least("n", "n_c") * s.den >= F.greatest("n", "n_c") * s.num))
+        ends = near.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+        groups = merged(groups, linked(ends, sets, s))
+        named = around.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = named.groupBy("centre").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("centre")
+        named = settle(named.join(several, "centre", "left_semi"))
+        groups = merged(groups, linked(across_centre(named, sets, s), sets, s))
+    return groups
+
+
+def merged(groups: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The groups that new edges make of the groups before."""
+    if groups is not None:
+        edges = edges.unionAll(groups.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    found = components(edges)
+    forget()
+    return found
 
 
 def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -372,8 +443,9 @@ def joined(docs: DataFrame, s: Settings) -> DataFrame:
     nodes = settle(nodes)
     found = settle(common_shingles(base, emitted, s))
     forget()
-    postings = settle(index(found, nodes.select("node", "n", "low"), s))
-    postings = settle(shared_buckets(postings))
+    entries = settle(index(found, nodes.select("node", "n", "low"), s))
+    postings = settle(shared_buckets(entries))
+    release(found, entries)
     wanted = settle(postings.select("node").distinct().join(nodes.select("node", "rep"), "node"))
     texts = likely(base, "doc_id", wanted, "rep").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     texts = texts.dropDuplicates(["doc_id", "text"])  # repeated rows, where the join has left them
@@ -387,14 +459,12 @@ def joined(docs: DataFrame, s: Settings) -> DataFrame:
     sets = settle(texts.select("text").mapInArrow(tokens, "node long, tokens binary"))
     forget()
     groups: DataFrame | None = None
-    for turn in range(s.rounds + 1):
+    for turn in range(s.rounds):
         rows = settle(placed(postings, groups))
-        pairs = star(rows, turn, s) if turn < s.rounds else remaining(rows, s)
-        edges = linked(pairs, sets, s)
-        if groups is not None:
-            edges = edges.unionAll(groups.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        groups = components(edges)
-        forget()
+        before, groups = groups, merged(groups, linked(star(rows, turn, s), sets, s))
+        release(rows, before)
+    groups = remaining(postings, groups, sets, s)
+    release(postings, sets)
     labelled = nodes.select("node", "rep").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = settle(labelled.join(least, "label").select("node", "component_id"))

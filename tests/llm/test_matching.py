@@ -226,3 +226,22 @@ def test_edited_copies_cross_windows(spark):
     longer = " ".join(w + (" inserted" if i % 16 == 15 else "") for i, w in enumerate(words))
     texts = ["f " * k + longer for k in range(0, 2 * len(words), 37)]
     assert all("Zlib" in g for g in named(spark, texts))
+
+
+@pytest.mark.parametrize("settings", [{"rare": 4, "small": 4}, {"rare": 4, "small": 4, "rounds": 0}, {"rare": 2, "small": 2, "words": 2}])
+def test_large_group_that_shares_a_passage_and_does_not_link(spark, settings):
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(70)]
+    texts = {}
+    for i in range(90):  # edited in different ways, so most do not link with each other
+        words = list(passage)
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(12)}"
+        texts[len(texts)] = " ".join(words)
+    for i in range(60):
+        texts[len(texts)] = " ".join([*passage, *[f"o{i % 20}_{k}" for k in range(rng.randrange(16))]])
+    s = ngram_join.Settings(**settings)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.grouped(docs, s).collect()}
+    assert found == link_groups(texts, s.words, s.num, s.den)
+    assert len(set(found.values())) > 20
