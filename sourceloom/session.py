@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+#: Temporary folders of local applications that name no shared one, by application.
+LOCAL_ROOTS: dict[str, str] = {}
+
 
 def build_session(app: str = "sourceloom", cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; on a cluster the session is given."""
@@ -34,8 +37,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="sourceloom-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        if context.applicationId not in LOCAL_ROOTS:
+            LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="sourceloom-")
+        root = LOCAL_ROOTS[context.applicationId]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
