@@ -1,14 +1,17 @@
 r"""Text expressions shared by all extractors.
 
-Source text is prepared in three steps, each one expression over the ``content``
+Source text is prepared in four steps, each one expression over the ``content``
 column, so that extraction never shuffles and never leaves the JVM:
 
 1. ``protect``: strings and comments are found by one token pattern, and every
    character inside them that has a meaning for the later patterns is swapped for a
    stand-in (a Unicode noncharacter, which valid text never holds).
-2. ``bracket_state``: the remaining brackets are reduced pairwise. Files that do not
-   reduce to nothing are not parsed further but quarantined with a reason.
-3. ``logical_lines``: text is cut at line ends outside brackets.
+2. ``shallow``: brackets below the depth that patterns can pair are hidden like the
+   characters of strings, found by one fold over the brackets; ``deeper`` shows them again
+   where an extractor descends. Nesting of any depth is parsed with patterns of a few levels.
+3. ``bracket_state``: the remaining brackets are reduced pairwise, in as many rounds as
+   the text is deep. Files that do not reduce to nothing are quarantined with a reason.
+4. ``logical_lines``: text is cut at line ends outside brackets.
 
 ``restore`` swaps the stand-ins back, so every emitted value is the original text.
 
@@ -23,8 +26,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Deepest bracket nesting that is parsed; deeper files are quarantined, not cut.
-MAX_NESTING = 64
+# Levels of brackets that patterns pair; what lies deeper is hidden from them.
+VISIBLE = 12
 
 SPECIAL = "\n(){}[],;:=<>\"'`#*/"
 STAND_IN = "".join(chr(0xFDD0 + i) for i in range(len(SPECIAL)))
@@ -34,6 +37,11 @@ B_OPEN, B_CLOSE = "\ufdec", "\ufded"  # around a keyword block (``function .. en
 LINE = "\ufdee"  # a line end inside brackets
 A_OPEN, A_CLOSE = "\ufde4", "\ufde5"  # an angle bracket too deep for the patterns
 
+# Brackets below the visible levels, in the order of ``_ROUND`` and of the block marks.
+_ROUND = "()[]{}"
+HIDDEN = "\ufde3\ufde6\ufde7\ufdef\U0001fffe\U0001ffff"
+HIDDEN_BLOCK = "\ufffe\uffff"
+
 STRING = f"{S_OPEN}[^{S_CLOSE}]*+{S_CLOSE}"
 COMMENT = f"{C_OPEN}[^{C_CLOSE}]*+{C_CLOSE}"
 
@@ -42,7 +50,7 @@ _BRACKET_OUT = rf")\]}}{B_CLOSE}"
 BRACKETS = _BRACKET_IN + _BRACKET_OUT
 
 
-def nested(opening: str, closing: str, depth: int = MAX_NESTING) -> str:
+def nested(opening: str, closing: str, depth: int = VISIBLE) -> str:
     """Pattern of one balanced group whose brackets are any of the two classes."""
     pattern = f"[{opening}][^{opening}{closing}]*+[{closing}]"
     for _ in range(depth):
@@ -119,7 +127,8 @@ def protect(content: Column, token: str, is_string: Callable[[Column], Column],
 
 def restore(text: Column) -> Column:
     """Original text of a prepared piece."""
-    return F.translate(text, STAND_IN + LINE + A_OPEN + A_CLOSE + S_OPEN + S_CLOSE + C_OPEN + C_CLOSE + B_OPEN + B_CLOSE, SPECIAL + "\n<>")
+    marks = S_OPEN + S_CLOSE + C_OPEN + C_CLOSE + B_OPEN + B_CLOSE + HIDDEN_BLOCK
+    return F.translate(text, STAND_IN + LINE + A_OPEN + A_CLOSE + HIDDEN + marks, SPECIAL + "\n<>" + _ROUND)
 
 
 def trimmed(text: Column) -> Column:
@@ -131,21 +140,65 @@ def source_text(text: Column) -> Column:
     return restore(trimmed(text))
 
 
+_PAIR = rf"\(\)|\[\]|\{{\}}|{B_OPEN}{B_CLOSE}"
+
+
+def _skeleton(prepared: Column) -> Column:
+    return F.regexp_replace(prepared, f"[^{BRACKETS}]++", "")
+
+
+def _reduced(skeleton: Column, rounds: Column) -> Column:
+    """What is left of the brackets after so many rounds, each of which drops the innermost pairs."""
+    def step(acc: Column, _: Column) -> Column:
+        # rounds after the last change cost nothing
+        once = let(F.regexp_replace(acc["text"], _PAIR, ""), lambda n: F.struct(n.alias("text"), (n != acc["text"]).alias("more")))
+        return F.when(acc["more"], once).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), rounds), F.struct(skeleton.alias("text"), (skeleton != "").alias("more")), step)["text"]
+
+
+def _all_rounds(skeleton: Column) -> Column:
+    return F.floor(F.length(skeleton) / 2).cast("int") + 1
+
+
+def shallow(prepared: Column) -> Column:
+    """Hides the brackets below ``VISIBLE`` levels of a text whose brackets all pair up."""
+    tokens = f"[{BRACKETS}]|[^{BRACKETS}]++"
+    opening, closing = "([{" + B_OPEN, ")]}" + B_CLOSE
+
+    def step(acc: Column, t: Column) -> Column:
+        depth = acc["depth"] + F.when(t.isin(*opening), 1).otherwise(0)
+        seen = F.when(depth > VISIBLE, F.translate(t, _ROUND + B_OPEN + B_CLOSE, HIDDEN + HIDDEN_BLOCK)).otherwise(t)
+        return F.struct(
+            F.concat(acc["text"], seen).alias("text"), (depth - F.when(t.isin(*closing), 1).otherwise(0)).alias("depth")
+        )
+
+    def hidden(skeleton: Column) -> Column:
+        folded = F.aggregate(find(prepared, tokens), F.struct(F.lit("").alias("text"), F.lit(0).alias("depth")), step)["text"]
+        deep = _reduced(skeleton, F.lit(VISIBLE)) != ""
+        return F.when(deep & (_reduced(skeleton, _all_rounds(skeleton)) == ""), folded).otherwise(prepared)
+
+    # only text with that many openings in all can be deep; most pieces are told by it
+    many = f"(?:[{opening.replace('[', chr(92) + '[')}][^{opening.replace('[', chr(92) + '[')}]*+){{{VISIBLE + 1}}}"
+    return F.when(prepared.rlike(many), let(_skeleton(prepared), hidden)).otherwise(prepared)
+
+
+def revealed(text: Column) -> Column:
+    return F.translate(text, HIDDEN + HIDDEN_BLOCK, _ROUND + B_OPEN + B_CLOSE)
+
+
+def deeper(text: Column) -> Column:
+    """Text from inside a bracket group: shows the levels that its outer ones had hidden."""
+    return F.when(text.rlike(f"[{HIDDEN + HIDDEN_BLOCK}]"), let(revealed(text), shallow)).otherwise(text)
+
+
 def bracket_state(prepared: Column, stray: str = "") -> Column:
     """NULL when all brackets pair up, else the reason why the text is rejected.
 
     ``stray`` matches token fragments that only an unterminated string leaves behind.
     """
-    pair = rf"\(\)|\[\]|\{{\}}|{B_OPEN}{B_CLOSE}"
-    skeleton = F.regexp_replace(prepared, f"[^{BRACKETS}]++", "")
-    rest = F.aggregate(
-        F.sequence(F.lit(1), F.lit(MAX_NESTING)),
-        skeleton,
-        lambda acc, _: F.when(acc == "", acc).otherwise(F.regexp_replace(acc, pair, "")),
-    )
-    reason = let(rest, lambda r: F.when(r == "", F.lit(None).cast("string"))
-                 .when(r.rlike(pair), F.lit(f"syntax error: nesting deeper than {MAX_NESTING}"))
-                 .otherwise(F.lit("syntax error: unbalanced brackets")))
+    rest = let(_skeleton(prepared), lambda k: _reduced(k, _all_rounds(k)))
+    reason = F.when(rest != "", F.lit("syntax error: unbalanced brackets"))
     if stray:
         reason = F.when(prepared.rlike(stray), F.lit("syntax error: unterminated string")).otherwise(reason)
     return reason

@@ -129,7 +129,7 @@ def shallow_angles(prepared: Column) -> Column:
 
 
 def prepare(content: Column) -> Column:
-    return shallow_angles(_protected(content))
+    return T.let(shallow_angles(_protected(content)), T.shallow)
 
 
 def _protected(content: Column) -> Column:
@@ -149,13 +149,19 @@ def rejected(prepared: Column) -> Column:
 def opened(prepared: Column) -> Column:
     """Text with namespace and linkage blocks replaced by their content."""
     prepared = F.regexp_replace(prepared, rf"\bextern{WS}*+{T.STRING}{WS}*+(?!\{{)", "")
+
+    def step(acc: Column, _: Column) -> Column:
+        # rounds after the last change cost nothing
+        def once(t: Column) -> Column:
+            new = T.let(F.regexp_replace(t, NAMESPACE, "\n$1\n"), T.deeper)
+            return T.let(new, lambda n: F.struct(n.alias("text"), n.rlike(NAMESPACE).alias("more")))
+
+        return F.when(acc["more"], once(acc["text"])).otherwise(acc)
+
+    levels = F.size(F.split(T.revealed(prepared), r"\{"))  # no more than braces
     return F.when(
         prepared.rlike(NAMESPACE),
-        F.aggregate(
-            F.sequence(F.lit(1), F.lit(T.MAX_NESTING)),
-            prepared,
-            lambda acc, _: F.when(acc.rlike(NAMESPACE), F.regexp_replace(acc, NAMESPACE, "\n$1\n")).otherwise(acc),
-        ),
+        F.aggregate(F.sequence(F.lit(1), levels), F.struct(prepared.alias("text"), F.lit(True).alias("more")), step)["text"],
     ).otherwise(prepared)
 
 
@@ -168,7 +174,7 @@ def items(prepared: Column) -> Column:
 
 
 def members(body: Column) -> Column:
-    return _one_line(T.find(F.translate(T.inside(body), T.LINE, "\n"), STATEMENT))
+    return _one_line(T.find(T.let(F.translate(T.inside(body), T.LINE, "\n"), T.deeper), STATEMENT))
 
 
 def documented(lines: Column) -> Column:
@@ -295,7 +301,9 @@ def levels(lines: Column) -> Column:
     return T.let(
         documented(lines),
         lambda top: F.aggregate(
-            F.sequence(F.lit(1), F.lit(T.MAX_NESTING)), F.struct(top.alias("every"), top.alias("fresh")), step
+            F.sequence(F.lit(1), F.size(F.split(T.revealed(F.array_join(lines, "")), r"\{"))),  # no more levels than braces
+            F.struct(top.alias("every"), top.alias("fresh")),
+            step,
         )["every"],
     )
 

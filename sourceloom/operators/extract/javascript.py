@@ -75,7 +75,7 @@ def prepare(content: Column) -> Column:
     protected = F.regexp_replace(protected, f"{T.S_OPEN}([ \t]++)", f"$1{T.S_OPEN}")
     # A statement goes on over a line end after an operator or before a member access.
     joined = F.regexp_replace(protected, r"(?<=[=,+*&|?:])[ \t]*+\n(?=[ \t\n]*+[^ \t\n])", T.LINE)
-    return F.regexp_replace(joined, r"\n(?=[ \t]*+[.?&|+,])", T.LINE)
+    return T.let(F.regexp_replace(joined, r"\n(?=[ \t]*+[.?&|+,])", T.LINE), T.shallow)
 
 
 def rejected(prepared: Column) -> Column:
@@ -92,7 +92,7 @@ def items(prepared: Column) -> Column:
 
 
 def members(body: Column) -> Column:
-    return _one_line(T.find(F.translate(T.inside(body), T.LINE, "\n"), MEMBER))
+    return _one_line(T.find(T.let(F.translate(T.inside(body), T.LINE, "\n"), T.deeper), MEMBER))
 
 
 def documented(lines: Column, declaration: str) -> Column:

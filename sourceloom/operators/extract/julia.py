@@ -63,7 +63,8 @@ def prepare(content: Column) -> Column:
             F.regexp_replace(opened, f"{_PLAIN}end{_AFTER}", f"end{T.B_CLOSE}")
         )
 
-    return F.array_join(F.transform(T.find(protected, piece), mark), "")
+    marked = F.array_join(F.transform(T.find(T.let(protected, T.shallow), piece), mark), "")
+    return T.let(marked, T.shallow)
 
 
 def _plain_group() -> str:
@@ -84,7 +85,8 @@ def _lines(text: Column) -> Column:
 
 def body(block: Column) -> Column:
     """Logical lines inside a keyword block, without its first and last line part."""
-    return _lines(F.regexp_replace(F.translate(block, T.LINE, "\n"), rf"^[^{T.B_OPEN}]*+{T.B_OPEN}|end{T.B_CLOSE}$", ""))
+    bare = F.regexp_replace(F.translate(block, T.LINE, "\n"), rf"^[^{T.B_OPEN}]*+{T.B_OPEN}|end{T.B_CLOSE}$", "")
+    return _lines(T.let(bare, T.deeper))
 
 
 def documented(lines: Column) -> Column:
@@ -201,7 +203,7 @@ def nested(lines: Column) -> Column:
         return T.find(flat, block)
 
     def inner(block: Column) -> Column:
-        rest = F.regexp_replace(block, rf"^{T.B_OPEN}function[^\n]*+", "")
+        rest = T.revealed(F.regexp_replace(block, rf"^{T.B_OPEN}function[^\n]*+", ""))
         before = r"(?<=[\n;])[ \t]*+"
         found = T.find(rest, f"{before}{piece}")
         return F.transform(
@@ -293,7 +295,7 @@ def code_lines(content: Column) -> Column:
 
 def triage(content: Column) -> Column:
     """Why a file that failed is beyond recovery: three independent signs."""
-    closed = T.nested("(", ")")
+    closed = T.nested("(", ")", 64)
 
     def signs(code: Column) -> Column:
         structs = F.size(F.split(code, "struct", -1)) - 1

@@ -348,11 +348,39 @@ def test_damaged_files_give_a_reason(analysed):
     assert "syntax error" in r["d.jl"]["failure"]
     assert r["e.jl"]["failure"] is None and r["e.jl"]["recovered"]
     assert [f["name"] for f in r["e.jl"]["functions"]] == ["f"]
-    assert "nesting" in r["f.py"]["failure"]
+    assert r["f.py"]["failure"] is None and [v["name"] for v in r["f.py"]["variables"]] == ["x"]
     assert r["dir/.py"]["failure"] == "no supported suffix"
     assert r["g.py"]["failure"] is None and r["g.py"]["imports"] == []
 
 
+def test_nesting_of_any_depth(analysed):
+    n = 500
+    groups = "(" * n + "1, 2" + ")" * n
+    lists = "[" * n + "3" + "]" * n
+    r = analysed(
+        ("a.py", f"import os\nX = {lists}\ndef f(a={groups}, b: int = 2):\n    'doc'\nclass C:\n    y = {groups}\n    def m(self, z): return {lists}\n"),
+        ("a.js", f"import a from 'b';\nconst x = {lists};\nfunction f(p, q = {groups}) {{ {'if (p) { ' * n}{'}' * n} }}\nclass C {{ m(z) {{ {'{' * n}{'}' * n} }} }}\n"),
+        ("a.cpp", f"#include <map>\nint x = {groups};\nint f(int a) {{ {'{' * n}{'}' * n} return 1; }}\n" + "namespace n {\n" * 40 + "class C { int v; };\nint g(char c);\n" + "}\n" * 40 + "".join(f"struct S{i} {{ int v{i};\n" for i in range(30)) + "};\n" * 30),
+        ("a.jl", f"using A\nconst X = {lists}\nfunction f(a, b={groups})\n" + "  if a\n" * n + "  inner(x) = x + 1\n" + "  end\n" * n + "end\ng(y) = y\n"),
+        ("bad.py", "x = " + "(" * n + ")" * (n - 1)),
+    )
+    assert [r[p]["failure"] for p in ("a.py", "a.js", "a.cpp", "a.jl")] == [None] * 4
+    assert "unbalanced" in r["bad.py"]["failure"]
+    py = r["a.py"]
+    assert [v["name"] for v in py["variables"]] == ["X"]
+    assert [p["name"] for p in py["functions"][0]["parameters"]] == ["a", "b"] and py["functions"][0]["docstring"] == "doc"
+    assert [m["name"] for m in py["classes"][0]["methods"]] == ["m"] and py["classes"][0]["attributes"][0]["name"] == "y"
+    js = r["a.js"]
+    assert [f["name"] for f in js["functions"]] == ["f"] and [p["name"] for p in js["functions"][0]["parameters"]] == ["p", "q"]
+    assert [v["name"] for v in js["variables"]] == ["x"] and [m["name"] for m in js["classes"][0]["methods"]] == ["m"]
+    cpp = r["a.cpp"]
+    assert [i["name"] for i in cpp["imports"]] == ["map"] and [f["name"] for f in cpp["functions"]] == ["f", "g"]
+    assert [c["name"] for c in cpp["classes"]] == ["C", *[f"S{i}" for i in range(30)]]
+    assert [v["name"] for v in cpp["variables"]] == ["x"] and cpp["variables"][0]["value"] is None or groups in cpp["variables"][0]["value"]
+    jl = r["a.jl"]
+    assert [f["name"] for f in jl["functions"]] == ["f", "g", "inner"] and [p["name"] for p in jl["functions"][0]["parameters"]] == ["a", "b"]
+
+
 def test_long_files_do_not_exhaust_the_stack(analysed):
     n = 5000
     r = analysed(
