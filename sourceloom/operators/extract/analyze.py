@@ -13,6 +13,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourceloom.functions import text as T
 from sourceloom.operators.extract import shapes as S
 from sourceloom.operators.extract.registry import LANGUAGES, Language
 
@@ -61,7 +62,7 @@ def analyze(files: DataFrame, languages: Iterable[str] | None = None, kinds: Ite
             langs, lambda g: _once(g, part, lambda: getattr(g, part)(F.col(source))), kind
         )
 
-    prepared = files.withColumn("prepared", step("prepare", "content", "string"))
+    prepared = files.withColumn("prepared", T.let(step("prepare", "content", "string"), T.shallow))
     checked = prepared.withColumn("damage", step("rejected", "prepared", "string"))
     found = F.when(F.col("damage").isNull(), step("items", "prepared", "array<string>"))
     itemised = checked.withColumn("items", F.coalesce(found, F.array().cast("array<string>")))

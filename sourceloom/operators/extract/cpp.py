@@ -8,6 +8,8 @@ the declaration.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,7 +131,7 @@ def shallow_angles(prepared: Column) -> Column:
 
 
 def prepare(content: Column) -> Column:
-    return T.let(shallow_angles(_protected(content)), T.shallow)
+    return shallow_angles(_protected(content))
 
 
 def _protected(content: Column) -> Column:
@@ -173,8 +175,8 @@ def items(prepared: Column) -> Column:
     return _one_line(T.find(opened(prepared), STATEMENT))
 
 
-def members(body: Column) -> Column:
-    return _one_line(T.find(T.let(F.translate(T.inside(body), T.LINE, "\n"), T.deeper), STATEMENT))
+def members(body: Column, show: Callable[[Column], Column] = lambda t: t) -> Column:
+    return _one_line(T.find(show(F.translate(T.inside(body), T.LINE, "\n")), STATEMENT))
 
 
 def documented(lines: Column) -> Column:
@@ -291,7 +293,8 @@ def levels(lines: Column) -> Column:
     """Documented statements of the file and of all class bodies, however deeply nested."""
     def inner(found: Column) -> Column:
         held = F.filter(found, lambda d: T.starts(d.line, CLASS))
-        return F.flatten(F.transform(held, lambda d: documented(members(F.regexp_extract(d.line, CLASS, 4)))))
+        show = lambda t: T.let(t, T.deeper)
+        return F.flatten(F.transform(held, lambda d: documented(members(F.regexp_extract(d.line, CLASS, 4), show))))
 
     def step(acc: Column, _: Column) -> Column:
         return F.when(F.size(acc["fresh"]) == 0, acc).otherwise(

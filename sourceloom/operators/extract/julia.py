@@ -63,8 +63,7 @@ def prepare(content: Column) -> Column:
             F.regexp_replace(opened, f"{_PLAIN}end{_AFTER}", f"end{T.B_CLOSE}")
         )
 
-    marked = F.array_join(F.transform(T.find(T.let(protected, T.shallow), piece), mark), "")
-    return T.let(marked, T.shallow)
+    return F.array_join(F.transform(T.find(T.let(protected, T.shallow), piece), mark), "")
 
 
 def _plain_group() -> str:
@@ -85,8 +84,7 @@ def _lines(text: Column) -> Column:
 
 def body(block: Column) -> Column:
     """Logical lines inside a keyword block, without its first and last line part."""
-    bare = F.regexp_replace(F.translate(block, T.LINE, "\n"), rf"^[^{T.B_OPEN}]*+{T.B_OPEN}|end{T.B_CLOSE}$", "")
-    return _lines(T.let(bare, T.deeper))
+    return _lines(F.regexp_replace(F.translate(block, T.LINE, "\n"), rf"^[^{T.B_OPEN}]*+{T.B_OPEN}|end{T.B_CLOSE}$", ""))
 
 
 def documented(lines: Column) -> Column:

@@ -44,14 +44,13 @@ ENUM_BASES = ["Enum", "enum.Enum"]
 
 
 def prepare(content: Column) -> Column:
-    protected = T.protect(
+    return T.protect(
         content,
         TOKEN,
         is_string=lambda t: (F.length(t) > 1) & (t.startswith('"') | t.startswith("'")),
         is_comment=lambda t: t.startswith("#") | (t == "\\\n"),
         keep_comments=False,
     )
-    return T.let(protected, T.shallow)
 
 
 def rejected(prepared: Column) -> Column:
