@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import paths as P
 from sourceloom.functions import text as T
+from sourceloom.operators import ordered as O
 from sourceloom.operators.skew import salted_join
 
 # Fixed value: a knowledge base is stale when more commits than this lie after its marker.
@@ -79,10 +80,11 @@ def unanalyzed(changes: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def snapshot_head(commits: DataFrame) -> DataFrame:
-    """Newest commit per repository, as stored after a build."""
-    return commits.groupBy("repo").agg(
-        F.max(F.struct("commit_ts", "commit_id"))["commit_id"].alias("head_commit"), F.count("*").alias("n_commits")
-    )
+    """Newest commit per repository, as stored after a build; of equal times the greatest id."""
+    time = F.coalesce(F.unix_micros(F.col("commit_ts").cast("timestamp")), F.lit(-(2**62)))  # before all times
+    newest = O.joined_key(time, F.col("commit_id"))
+    found = commits.groupBy("repo").agg(F.max(newest).alias("newest"), F.count("*").alias("n_commits"))
+    return found.select("repo", O.low_part(F.col("newest")).alias("head_commit"), "n_commits")
 
 
 def staleness(snapshots: DataFrame, commits: DataFrame, threshold: int = STALE_AFTER) -> DataFrame:

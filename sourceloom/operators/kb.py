@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from sourceloom.functions import paths as P
 from sourceloom.functions import text as T
 from sourceloom.operators import classify
+from sourceloom.operators import ordered as O
 from sourceloom.operators.extract.analyze import analyze
-from sourceloom.operators.extract.registry import LANGUAGES
+from sourceloom.operators.extract.registry import LANGUAGES, extension_rows
 from sourceloom.operators.extract.shapes import ARRAYS
 from sourceloom.operators.ignore import default_ignored, ignore_match, quiet
 from sourceloom.sources.corpus import language_of, supported, with_language
 
+# Bytes of an extension that fit beside an id in one number.
+RANKED_BYTES = 7
+
+
 def sift(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """Adds ``language`` and ``skipped``: why a file is not analysed, NULL if it is.
 
@@ -85,31 +90,42 @@ def _key(path: Column) -> Column:
     return P.without_extension(path)
 
 
-def collisions(built: DataFrame) -> DataFrame:
-    """Files that share a path up to the extension, and the one that is kept.
+def _winners(rows: DataFrame) -> DataFrame:
+    """``(repo, kb_key, n_files, path, file_id)`` per path up to the extension: the greatest path, its greatest ``file_id``.
 
-    The greatest path survives, its newest version first. A plain aggregate: the copies
-    of a much-repeated path are reduced before the shuffle.
+    Paths of one key differ in their extension only, so extension and id make a number that is ordered as they are. Numbers are
+    aggregated in place, by hash and before the shuffle, which strings and structs are not. Extensions of more than
+    seven bytes, if a registered language has any, are compared as they are.
     """
-    return (
-        built.groupBy("repo", _key(F.col("path")).alias("kb_key"))
-        .agg(F.count("*").alias("n_files"), F.max(F.struct("path", "file_id")).alias("kept"))
-        .where("n_files > 1")
-        .select("repo", "kb_key", "n_files", F.col("kept.path").alias("path"), F.col("kept.file_id").alias("file_id"))
-    )
+    keyed = rows.select("repo", "path", "file_id", _key(F.col("path")).alias("kb_key"))
+    keyed = keyed.withColumn("suffix", F.substr("path", F.length("kb_key") + 1))
+    if max(len(e.encode()) for e, _ in extension_rows()) > RANKED_BYTES:
+        best = keyed.groupBy("repo", "kb_key").agg(F.count("*").alias("n_files"), F.max(F.struct("suffix", "file_id")).alias("kept"))
+        return best.select("repo", "kb_key", "n_files", F.concat("kb_key", "kept.suffix").alias("path"), F.col("kept.file_id").alias("file_id"))
+    hexed = F.rpad(F.hex(F.encode("suffix", "utf-8")), 2 * RANKED_BYTES, "0")
+    ranked = keyed.select("repo", "kb_key", O.joined_key(F.conv(hexed, 16, 10).cast("bigint"), F.col("file_id")).alias("rank"))
+    best = ranked.groupBy("repo", "kb_key").agg(F.count("*").alias("n_files"), F.max("rank").alias("rank"))
+    shown = F.rtrim(F.decode(F.unhex(F.lpad(F.conv(O.high_part(F.col("rank")).cast("string"), 10, 16), 2 * RANKED_BYTES, "0")), "utf-8"), F.lit("\0"))
+    return best.select("repo", "kb_key", "n_files", F.concat("kb_key", shown).alias("path"), O.low_part(F.col("rank")).alias("file_id"))
+
+
+def collisions(built: DataFrame) -> DataFrame:
+    """Files that share a path up to the extension, and the one that is kept: the greatest path, its newest version first."""
+    return _winners(built).where("n_files > 1")
 
 
 def survivors(rows: DataFrame, attach: tuple[str, ...] = ()) -> DataFrame:
     """``(repo, kb_key, kb_file_id, ..)``: the file that answers a lookup, with columns of it.
 
-    The columns ride along in the aggregate, so the extraction behind them runs once, and
-    versions of a much-repeated path are reduced before the shuffle.
+    The winners are found on paths and ids alone; wide columns are looked up for them by id.
     """
-    return (
-        rows.groupBy("repo", _key(F.col("path")).alias("kb_key"))
-        .agg(F.max(F.struct("path", "file_id", *attach)).alias("kept"))
-        .select("repo", "kb_key", F.col("kept.file_id").alias("kb_file_id"), *[F.col(f"kept.{c}").alias(c) for c in attach])
-    )
+    best = _winners(rows).select("repo", "kb_key", F.col("file_id").alias("kb_file_id"), F.col("path").alias("_path"))
+    if not attach:
+        return best.drop("_path")
+    others = [c for c in attach if c != "path"]
+    wide = rows.select(F.col("repo").alias("_repo"), F.col("path").alias("_own"), F.col("file_id").alias("_id"), *others)
+    same = (F.col("_id") == F.col("kb_file_id")) & (F.col("_own") == F.col("_path")) & (F.col("_repo") == F.col("repo"))
+    return best.join(wide, same).select("repo", "kb_key", "kb_file_id", *[F.col("_path").alias("path") if c == "path" else c for c in attach])
 
 
 def compact_import(i: Column) -> Column:

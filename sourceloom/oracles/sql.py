@@ -124,6 +124,23 @@ view(
 
 # --- sources and filters -----------------------------------------------------------
 
+view(
+    "tree",
+    r"""SELECT repo, concat('d', CAST(file_id AS STRING), '/', path) AS path, content FROM source_files
+ UNION ALL SELECT repo, concat('d', CAST(file_id AS STRING), '/', regexp_extract(path, '^(.*)/[^/]*$', 1), '/.', regexp_extract(path, '([^/]*)$', 1)), content FROM source_files WHERE file_id % 5 = 0""",
+)
+_EXCLUDED = r"(?:^|/)(?:\.git|\.hg|\.svn|\.vscode|node_modules|__pycache__|\.sourceloom)/"
+_SUPPORTED = r"(?i)\.(?:py|js|jsx|mjs|cjs|cpp|cc|cxx|hpp|hxx|jl)$"
+oracle(
+    "corpus_walk",
+    f"""SELECT repo, path, length(content) AS n_chars, '' AS reason FROM tree
+ WHERE NOT regexp_matches(path, '{_EXCLUDED}') AND regexp_matches(path, '{_SUPPORTED}')""",
+)
+oracle(
+    "corpus_list",
+    f"""SELECT repo, path, CASE WHEN regexp_matches(path, '{_SUPPORTED}') THEN '' ELSE 'unsupported' END AS status FROM tree WHERE NOT regexp_matches(path, '{_EXCLUDED}')
+ UNION ALL SELECT DISTINCT repo, regexp_extract(path, '^(.*?{_EXCLUDED})', 1), 'ignored' FROM tree WHERE regexp_matches(path, '{_EXCLUDED}')""",
+)
 oracle("corpus_scan", "SELECT file_id, repo, path, length(content) AS n_chars FROM source_files")
 view(
     "patterns",
@@ -623,6 +640,11 @@ oracle(
     """SELECT repo, concat(kb_key, '.json') AS json_path, n_imports, n_classes, n_functions, n_variables, nullif(category, 'unknown') AS category, true AS no_enums
  FROM keyed JOIN kb_counts USING (file_id)""",
 )
+oracle(
+    "kb_files",
+    """SELECT r.file_id, r.repo, concat(r.kb_key, '.json') AS json_path, 'written' AS status, r.path, n_functions
+ FROM kept_rows r JOIN kb_counts c USING (file_id)""",
+)
 oracle(
     "kb_incremental",
     """SELECT k.file_id, k.repo, k.path, k.category, c.n_imports FROM kb_rows k JOIN kb_counts c USING (file_id)

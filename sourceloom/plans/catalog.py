@@ -19,7 +19,8 @@ from sourceloom.operators.extract.shapes import ARRAYS
 from sourceloom.plans.workflows import KnowledgeBase, category_report, draft_prompts
 from sourceloom.session import shared_dir
 from sourceloom.sources import corpus
-from sourceloom.sources.sinks import json_documents
+from sourceloom.sources.sinks import json_documents, write_json
+from sourceloom.sources.tree import read_tree, write_files
 from sourceloom.streaming import incremental, staleness
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,35 @@ def corpus_scan(spark, sf):
     return files.select("file_id", "repo", "path", F.length("content").cast("bigint").alias("n_chars"))
 
 
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Source files as they lie in a raw tree: each below a directory of its own, every fifth with a dotted copy."""
+    files = _t(spark, sf, "source_files").select("file_id", "repo", "path", "content")
+    own = F.concat(F.lit("d"), F.col("file_id").cast("string"), F.lit("/"))
+    dotted = files.where("file_id % 5 = 0").select(
+        "repo", F.concat(own, P.directory(F.col("path")), F.lit("/."), P.file_name(F.col("path"))).alias("path"), "content"
+    )
+    return files.select("repo", F.concat(own, "path").alias("path"), "content").unionByName(dotted)
+
+
+@query
+def corpus_walk(spark, sf):
+    """Files written as a raw tree, then scanned from there."""
+    root = shared_dir(spark, "tree")
+    rows = _tree(spark, sf).select(F.concat("repo", F.lit("/"), "path").alias("target"), "content")
+    write_files(rows, root, "target", "content").write.format("noop").mode("overwrite").save()
+    found = corpus.scan_corpus(spark, root)
+    return found.select("repo", "path", F.length("content").cast("bigint").alias("n_chars"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query
+def corpus_list(spark, sf):
+    """Every file of the tree with what becomes of it; excluded directories as one row each."""
+    root = shared_dir(spark, "tree")
+    rows = _tree(spark, sf).select(F.concat("repo", F.lit("/"), "path").alias("target"), "content")
+    write_files(rows, root, "target", "content").write.format("noop").mode("overwrite").save()
+    return corpus.list_corpus(spark, root).select("repo", "path", F.coalesce("status", F.lit("")).alias("status"))
+
+
 @query
 def ignore_load(spark, sf):
     return _patterns(spark, sf).select(F.col("line_no").cast("bigint").alias("line_no"), "pattern")
@@ -537,6 +567,21 @@ def kb_compact(spark, sf):
     )
 
 
+@query
+def kb_files(spark, sf):
+    """One JSON file per path, read back from the tree they were written to."""
+    root = shared_dir(spark, "kb")
+    log = f"{shared_dir(spark, 'kb-log')}"
+    write_json(_kb(spark, sf).built, root).write.parquet(log)
+    found = read_tree(spark, root, [], 0, [".json"]).select(
+        F.substring_index("path", "/", 1).alias("repo"),
+        F.regexp_extract("path", "^[^/]*/(.*)$", 1).alias("json_path"),
+        F.get_json_object(F.col("content").cast("string"), "$.path").alias("path"),
+        F.coalesce(F.json_array_length(F.get_json_object(F.col("content").cast("string"), "$.functions")), F.lit(0)).cast("bigint").alias("n_functions"),
+    )
+    return spark.read.parquet(log).select("file_id", "repo", "json_path", "status").join(found, ["repo", "json_path"], "full")
+
+
 @query
 def kb_export(spark, sf):
     return K.export(_kb(spark, sf, ()).built).select("file_id", "repo", "path", "analyzed", "reason")

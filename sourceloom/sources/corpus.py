@@ -2,68 +2,45 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.functions import paths as P
 from sourceloom.functions import text as T
 from sourceloom.operators.extract.registry import extension_rows
-from sourceloom.operators.ignore import default_ignored
-
-
-def qualified(spark: SparkSession, root: str) -> str:
-    """The root as Spark lists it, with scheme and without a slash at the end."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return path.getFileSystem(conf).makeQualified(path).toString().rstrip("/")
+from sourceloom.operators.ignore import DEFAULT_DIRECTORIES
+from sourceloom.sources.tree import read_tree
 
 
-def _files(spark: SparkSession, root: str, repo_depth: int, names: str | None = None) -> DataFrame:
-    """``(repo, path, version, content)`` of the files under ``root``; ``content`` is only read where it is used."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if names:
-        reader = reader.option("pathGlobFilter", names)
-    base = re.sub("^file:/+", "file:/", qualified(spark, root))
-    # local files are listed as file:/x or file:///x; the known prefix is cut by its length, wherever its name recurs
-    relative = F.substr(F.regexp_replace("path", "^file:/+", "file:/"), F.lit(len(base) + 2))
+def _placed(rows: DataFrame, repo_depth: int) -> DataFrame:
+    """Splits paths below the root into repository and path."""
     level = "/".join(["[^/]+"] * repo_depth)
-    return reader.load(root).select(
-        F.regexp_extract(relative, f"^({level})/", 1).alias("repo"),
-        F.regexp_extract(relative, f"^{level}/(.*)$", 1).alias("path"),
-        F.unix_micros("modificationTime").alias("version"),
-        "content",
-    )
+    found = rows.withColumns({"repo": F.regexp_extract("path", f"^({level})/", 1), "path": F.regexp_extract("path", f"^{level}/(.*)$", 1)})
+    return found.where(F.col("path") != "")
 
 
 def list_corpus(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
     """Every file under ``root``: ``(file_id, repo, path, version, status)``; no content is read.
 
     The first ``repo_depth`` directories below the root name the repository. ``version`` is the time of the last change in
-    microseconds. ``status`` says why a file is passed over, and is NULL for those to be read. Spark's
-    file sources do not list names that begin with a dot or an underscore.
+    microseconds. ``status`` says why a file is passed over, and is NULL for those to be read. A directory that is never
+    entered has one row with its path and a slash; nothing below it is listed.
     """
-    path = F.col("path")
-    return _files(spark, root, repo_depth).select(
-        F.xxhash64("repo", "path").alias("file_id"),
-        "repo",
-        "path",
-        "version",
-        F.when(default_ignored(path), F.lit("ignored")).when(~supported(path), F.lit("unsupported")).alias("status"),
-    )
+    rows = _placed(read_tree(spark, root, DEFAULT_DIRECTORIES, repo_depth), repo_depth)
+    path = F.when(F.col("kind") == "excluded", F.concat("path", F.lit("/"))).otherwise(F.col("path"))
+    status = F.when(F.col("kind") == "excluded", F.lit("ignored")).when(~supported(F.col("path")), F.lit("unsupported"))
+    return rows.select(F.xxhash64("repo", path).alias("file_id"), "repo", path.alias("path"), "version", status.alias("status"))
 
 
 def scan_corpus(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
     """Raw trees under ``root``: ``(file_id, repo, path, content, version, reason)`` of the files to be analysed.
 
-    Only files with a supported extension are opened; the directories that are always excluded are
-    dropped on the path. A byte that is no UTF-8 becomes the replacement character, and ``reason``
-    says so. ``list_corpus`` has a row for every other file.
+    Only files with a supported extension are opened, whatever their names begin with; the directories that are always excluded
+    are never entered. A byte that is no UTF-8 becomes the replacement character, and ``reason`` says so; a file that
+    cannot be read has no content and a ``reason``. ``list_corpus`` has a row for every other file.
     """
-    either_case = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e, _ in extension_rows()]
-    rows = _files(spark, root, repo_depth, "{" + ",".join(f"*{e}" for e in either_case) + "}")
-    rows = rows.where(~default_ignored(F.col("path")) & supported(F.col("path")))
+    endings = [e for e, _ in extension_rows()]
+    rows = _placed(read_tree(spark, root, DEFAULT_DIRECTORIES, repo_depth, endings).where(F.col("kind") == "file"), repo_depth)
     text = F.col("content").cast("string")
     return rows.select(
         F.xxhash64("repo", "path").alias("file_id"),
@@ -71,7 +48,7 @@ def scan_corpus(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFram
         "path",
         F.make_valid_utf8(text).alias("content"),
         "version",
-        F.when(~F.is_valid_utf8(text), F.lit("not UTF-8")).alias("reason"),
+        F.coalesce("error", F.when(~F.is_valid_utf8(text), F.lit("not UTF-8"))).alias("reason"),
     )
 
 

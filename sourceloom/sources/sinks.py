@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions import paths as P
-from sourceloom.operators.kb import compact
+from sourceloom.operators.kb import compact, survivors
+from sourceloom.sources.tree import write_files
 
 
 def json_documents(built: DataFrame) -> DataFrame:
@@ -24,9 +25,20 @@ def write_kb(built: DataFrame, path: str, mode: str = "overwrite", by: tuple[str
     built.write.mode(mode).partitionBy(*by).parquet(path)
 
 
-def write_json(built: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The compact documents, one JSON line each, next to the path they stand for."""
-    json_documents(built).write.mode(mode).partitionBy("language").parquet(path)
+def write_json(built: DataFrame, root: str) -> DataFrame:
+    """One JSON file per path, ``<root>/<repo>/<path without extension>.json``: ``(file_id, repo, json_path, status, reason)``.
+
+    Of files that share a path up to the extension, the greatest path is written. A file that cannot be written has the status
+    ``write error``. Each evaluation of the result writes the files.
+    """
+    good = built.where(F.col("failure").isNull())
+    chosen = survivors(good.select("repo", "path", "file_id")).select("repo", F.col("kb_file_id").alias("file_id"))
+    documents = compact(good).select(
+        "file_id", "repo", F.concat(P.without_extension(F.col("path")), F.lit(".json")).alias("json_path"), "kb_json"
+    )
+    documents = documents.join(chosen, ["repo", "file_id"], "left_semi")
+    named = documents.withColumn("_target", F.concat("repo", F.lit("/"), "json_path"))
+    return write_files(named, root, "_target", "kb_json").drop("_target")
 
 
 def write_summary(summary: DataFrame, path: str) -> None:

@@ -20,6 +20,7 @@ from sourceloom.operators.skew import salted_join
 from sourceloom.plans.workflows import KnowledgeBase, draft_prompts
 from sourceloom.sources import corpus
 from sourceloom.sources.sinks import json_documents, write_json, write_kb, write_snapshots, write_summary
+from sourceloom.sources.tree import TreeReader, read_tree, write_files
 
 
 def ignored_by_walk(path: str, patterns: list[str]) -> bool:
@@ -231,8 +232,17 @@ def test_scan_of_a_raw_tree_and_sinks(spark, tmp_path):
     built = K.build(files)
     write_kb(built, str(tmp_path / "kb"))
     assert spark.read.parquet(str(tmp_path / "kb")).count() == 2
-    write_json(built, str(tmp_path / "json"))
-    assert {r.json_path for r in spark.read.parquet(str(tmp_path / "json")).collect()} == {"src/a.json", "c.json"}
+    log = write_json(built, str(tmp_path / "json")).collect()
+    assert {(r.repo, r.json_path, r.status) for r in log} == {("one", "src/a.json", "written"), ("two", "c.json", "written")}
+    documents = {r.json_path: r.kb_json for r in json_documents(built).collect()}
+    assert (tmp_path / "json/one/src/a.json").read_text() == documents["src/a.json"]
+    assert sorted(p.name for p in (tmp_path / "json").rglob("*") if p.is_file()) == ["a.json", "c.json"]
+    (tmp_path / "json2").mkdir()
+    (tmp_path / "json2/one").write_text("a file where a directory should be")
+    failed = {r.json_path: r.status for r in write_json(built, str(tmp_path / "json2")).collect()}
+    assert failed == {"src/a.json": "write error", "c.json": "written"}
+    clash = spark.createDataFrame([(1, "r", "x.js", "let a = 1;"), (2, "r", "x.py", "b = 2")], "file_id long, repo string, path string, content string")
+    assert [(r.file_id, r.json_path) for r in write_json(K.build(clash), str(tmp_path / "json3")).collect()] == [(2, "x.json")]
     heads = spark.createDataFrame([("one", 5, 1)], "repo string, head_commit long, n_commits long")
     write_snapshots(heads, str(tmp_path / "marks"))
     assert spark.read.parquet(str(tmp_path / "marks")).first().stored_commit == 5
@@ -261,9 +271,51 @@ def test_scan_keeps_every_file_in_one_table_or_the_other(spark, tmp_path):
     assert rows["one", "a.PY"].reason == "not UTF-8" and rows["one", "a.PY"].content == "# caf\ufffd\nimport sys\n"
     assert rows["one", "src/b.py"].reason is None and rows["one", "src/b.py"].version > 0
     listed = {(r.repo, r.path): r.status for r in corpus.list_corpus(spark, str(root)).collect()}
-    assert listed == {("one", "src/b.py"): None, ("one", "a.PY"): None, ("two", "e.jl"): None, ("two", "node_modules/c.py"): "ignored", ("two", "d.md"): "unsupported"}
-    plan = corpus.list_corpus(spark, str(root))._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[-1]
+    assert listed == {("one", "src/b.py"): None, ("one", "a.PY"): None, ("two", "e.jl"): None, ("two", "node_modules/"): "ignored", ("two", "d.md"): "unsupported"}
+
+
+def test_walk_of_all_names_without_entering_excluded_directories(spark, tmp_path):
+    root = tmp_path / "src"
+    names = ["a/__init__.py", "a/_x/__main__.py", "a/.hid/.y.py", "a/node_modules/p/q.py", "a/x/.git/h.py", "node_modules/z.py", "a/x/deep/er/_f.jl", "b/.env", "c.py"]
+    for rel in names:
+        (root / rel).parent.mkdir(parents=True, exist_ok=True)
+        (root / rel).write_text("x = 1\n")
+    locked = root / "a/node_modules"
+    locked.chmod(0)  # entering it would fail
+    try:
+        for shares in (1, 64):
+            rows = {(r.path, r.kind) for r in read_tree(spark, str(root), ["node_modules", ".git"], 1, None, shares).collect()}
+            assert rows == {(n, "file") for n in names if "/node_modules" not in n and "/.git/" not in n} | {("a/node_modules", "excluded"), ("a/x/.git", "excluded")}
+        found = {(r.repo, r.path) for r in corpus.scan_corpus(spark, f"file://{root}").collect()}
+    finally:
+        locked.chmod(0o755)
+    assert found == {("a", "__init__.py"), ("a", "_x/__main__.py"), ("a", ".hid/.y.py"), ("a", "x/deep/er/_f.jl"), ("node_modules", "z.py")}
+    tree = TreeReader({"path": str(root), "excluded": "node_modules/.git", "repo_depth": "1", "shares": "2"})
+    assert len(tree.partitions()) == 2
+    with pytest.raises(Exception, match="no directory"):
+        corpus.list_corpus(spark, str(tmp_path / "none")).collect()
+
+
+def test_greatest_pairs_by_hash_aggregates(spark):
+    edge = 2**63 - 1
+    rows = [("r", "2024-01-01 00:00:00", 5), ("r", "2024-01-01 00:00:00", 9), ("r", "1960-05-05 00:00:00", edge), ("s", "1960-01-01 00:00:00", -edge - 1), ("t", None, 3)]
+    commits = spark.createDataFrame(rows, "repo string, commit_ts string, commit_id long").withColumn("commit_ts", F.col("commit_ts").cast("timestamp"))
+    assert {r.repo: (r.head_commit, r.n_commits) for r in C.snapshot_head(commits).collect()} == {"r": (9, 3), "s": (-edge - 1, 1), "t": (3, 1)}
+    files = [(i, "r", p) for i, p in enumerate(["a.py", "a.js", "a.py", "b.PY", "b.py", "c.hpp", "c.hxx", "dir.x/d", "é.jl"])]
+    files = spark.createDataFrame([*files, (-5, "q", "a.cpp"), (edge, "q", "a.cc")], "file_id long, repo string, path string")
+    won = {(r.repo, r.kb_key): (r.kb_file_id, r.path) for r in K.survivors(files, ("path",)).collect()}
+    assert won == {("r", "a"): (2, "a.py"), ("r", "b"): (4, "b.py"), ("r", "c"): (6, "c.hxx"), ("r", "dir.x/d"): (7, "dir.x/d"), ("r", "é"): (8, "é.jl"), ("q", "a"): (-5, "a.cpp")}
+    clash = {(r.repo, r.kb_key): (r.n_files, r.path, r.file_id) for r in K.collisions(files).collect()}
+    assert clash == {("r", "a"): (3, "a.py", 2), ("r", "b"): (2, "b.py", 4), ("r", "c"): (2, "c.hxx", 6), ("q", "a"): (2, "a.cpp", -5)}
+    for df in (C.snapshot_head(commits), K.collisions(files), K.survivors(files, ("path",))):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_that_cannot_be_written_have_a_reason(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b", "x"), ("../c", "y"), (None, "z"), ("d", None)], "path string, text string")
+    got = {r.path: (r.status, r.reason) for r in write_files(rows, str(tmp_path), "path", "text").collect()}
+    assert got["a/b"] == ("written", None) and got["../c"][1] == "ValueError: path leaves the root"
+    assert got[None][0] == got["d"][0] == "write error" and [p.name for p in tmp_path.rglob("*") if p.is_file()] == ["b"]
 
 
 def test_paths_outside_the_repository_are_ignored(spark):
