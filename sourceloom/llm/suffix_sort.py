@@ -259,19 +259,34 @@ def sampled_order(t: np.ndarray, places: np.ndarray, scratch: Scratch, base: int
     return out
 
 
-def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int, width: int = 8) -> np.ndarray:
-    """Equal letters from places ``a`` and ``b`` on, at most ``limit``; a 0 equals nothing."""
-    out = np.zeros(len(a), np.int32)
-    active = np.arange(len(a))
-    steps = np.arange(width)
-    while len(active):
-        x = t[np.minimum(a[active, None] + out[active, None] + steps, len(t) - 1)]
-        y = t[np.minimum(b[active, None] + out[active, None] + steps, len(t) - 1)]
-        same = (x == y) & (x != 0)
-        equal = np.where(same.all(axis=1), width, np.argmin(same, axis=1))
-        out[active] += equal.astype(np.int32)
-        active = active[(equal == width) & (out[active] < limit)]
-    return np.minimum(out, limit)
+class Prefixes:
+    """Letters that two places have in common, at most ``limit``; a 0 equals nothing. Four letters are compared at once."""
+
+    def __init__(self, t: np.ndarray, limit: int, scratch: Scratch):
+        self.limit = limit
+        padded = scratch.array(len(t) + 4, np.uint16)
+        padded[: len(t)], padded[len(t) :] = t, 0
+        self.words = np.ndarray(len(t) + 1, np.uint64, padded, strides=(2,))
+        self.ends = np.concatenate([np.flatnonzero(t[a:b] == 0) + a for a, b in blocks(len(t), scratch.block)])
+
+    def room(self, places: np.ndarray) -> np.ndarray:
+        """Letters before the next 0."""
+        return self.ends[np.searchsorted(self.ends, places)] - places
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        most = np.minimum(np.minimum(self.room(a), self.room(b)), self.limit)
+        out = np.zeros(len(a), np.int64)
+        active = np.flatnonzero(most > 0)
+        while len(active):
+            differ = self.words[a[active] + out[active]] ^ self.words[b[active] + out[active]]
+            equal = np.full(len(active), 4)
+            some = np.flatnonzero(differ)
+            lowest = differ[some] & (~differ[some] + np.uint64(1))
+            equal[some] = np.log2(lowest.astype(np.float64)).astype(np.int64) // 16
+            out[active] += equal
+            active = active[(equal == 4) & (out[active] < most[active])]
+        return np.minimum(out, most).astype(np.int32)
 
 
 class Induction:
@@ -321,19 +336,20 @@ def blocks(n: int, size: int) -> Iterator[tuple[int, int]]:
 def suffix_order(t: np.ndarray, limit: int | None, scratch: Scratch, base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, common prefixes) of all suffixes but those of 0s, largest first, in batches.
 
-    A common prefix is that with the suffix before, at most ``limit``; with ``limit`` None they are not made.
+    A common prefix is that with the suffix before, at most ``limit``, for letters below 2**16; with ``limit`` None none are made.
     """
     n, letters = len(t), int(t.max()) + 1
     places = sampled_places(t, scratch)
     seeds = sampled_order(t, places, scratch, base)
     m = len(seeds)
     prefixes = scratch.array(m, np.int32)
+    shared = Prefixes(t, limit, scratch) if limit is not None else None
     for a, b in blocks(m, scratch.block // 8):
         part = seeds[a:b]
         if limit is None:
             prefixes[a:b] = 0
         else:
-            prefixes[a:b] = common(t, part, seeds[np.maximum(np.arange(a, b) - 1, 0)], limit)
+            prefixes[a:b] = shared.common(part, seeds[np.maximum(np.arange(a, b) - 1, 0)])
     prefixes[:1] = 0
     first = np.asarray(t[seeds]) if m <= scratch.block else None
     bounds = np.arange(letters + 1)
@@ -360,7 +376,7 @@ def suffix_order(t: np.ndarray, limit: int | None, scratch: Scratch, base: int)
         if a < b:
             if limit is not None:
                 mixed = large > large_start[letter]
-                prefixes[a] = common(t, large_place[large - 1 : large], seeds[a : a + 1], limit)[0] if mixed else 0
+                prefixes[a] = shared.common(large_place[large - 1 : large], seeds[a : a + 1])[0] if mixed else 0
             for c, d in blocks(b - a, scratch.block):
                 up.take(np.asarray(seeds[a + c : a + d]), np.asarray(prefixes[a + c : a + d]), letter, np.greater)
     large_start[letters] = large
@@ -385,6 +401,6 @@ def suffix_order(t: np.ndarray, limit: int | None, scratch: Scratch, base: int)
                 if end < b:
                     prefix[0] = large_prefix[end]
                 elif last is not None:
-                    prefix[0] = common(t, place[:1], last, limit)[0]
+                    prefix[0] = shared.common(place[:1], last)[0]
             down.take(place, prefix, letter, np.less)
             yield place, prefix
