@@ -47,7 +47,7 @@ class Settings:
     length: int = 200
     gram: int = 100
     block: int = 2**20  # windows of a text that are cut at once
-    shard: int = 6_000_000  # bytes of segments that a task sorts, about
+    shard: int = 900_000  # bytes of segments that a task sorts, about
     hot: int = 32_000_000  # bytes of segments of one gram beyond which it is split
     held: int = 16_000_000  # bytes of segments that a task gathers before it hands them on
     salt: int = 1_000_000  # rows of the join per salt
