@@ -217,7 +217,8 @@ def named(t: np.ndarray, places: np.ndarray, scratch: Scratch) -> np.ndarray:
             key = (key << bits) | letter
         active, shared = refined(rank, active, key, scratch)
         offset += per
-        active = active[shared & (length[active] > offset)]
+        # one that ends right here is still to be told from those that go on
+        active = active[shared & (length[active] >= offset)]
     return rank
 
 
