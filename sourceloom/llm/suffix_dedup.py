@@ -10,8 +10,8 @@
    are grouped anew. A few such steps end at whole windows, which are then equal. So no gram is too much for a task.
 4. The segments of a task are sorted as suffixes by external induced sorting (``suffix_sort``). A window repeats if the suffix
    there has ``length`` bytes in common with a neighbour, or if its segment was met twice.
-5. Spans go back to the segments they were split from, then to the texts by the segments' digests. The sides of that join with many
-   rows of one digest are those met twice; they are salted by the number of rows.
+5. Spans go back to the segments they were split from, then to the texts by the segments' digests. Digests of many rows are salted by
+   their own number of rows. A digest counts as such from a share of all rows, so that a bounded number of them is broadcast.
 
 A row is known by its id and the hash of its text; equal texts have equal spans, so repeated rows repeat their results. Digests
 have 128 bits. Bytes are those of UTF-8; what is left is binary, since cuts may fall inside a character.
@@ -50,7 +50,8 @@ class Settings:
     shard: int = 900_000  # bytes of segments that a task sorts, about
     hot: int = 32_000_000  # bytes of segments of one gram beyond which it is split
     held: int = 16_000_000  # bytes of segments that a task gathers before it hands them on
-    salt: int = 1_000_000  # rows of the join per salt
+    salt: int = 20_000  # rows of one digest from which the join to the texts is salted, at least
+    salted: int = 100_000  # digests that are salted, at most
     bits: int = 28  # of the bitmap, at most
     memory: int = 256_000_000  # bytes of a shard's arrays and queues beyond which they go to disk
     base: int = 8_000_000  # names that are told apart in memory
@@ -359,6 +360,14 @@ def segment_spans(contents: DataFrame, s: Settings) -> DataFrame:
     return sharded.mapInArrow(sort, "d1 long, d2 long, first long, last long")
 
 
+def salted_digests(made: DataFrame, s: Settings) -> DataFrame:
+    """(d1, salts): first halves of the digests that many rows share; at most ``salted`` of them, since each has that share of all."""
+    counted = made.where("n is not null").select("d1", "n")
+    least = max(s.salt, (counted.agg(F.sum("n")).first()[0] or 0) // s.salted)
+    found = counted.groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    return settle(found.select("d1", F.floor(F.col("n") / least + 1).cast("long").alias("salts")))
+
+
 def repeated_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, mark, spans): the removed bytes of rows that have any, as sorted overlapping (start, end). ``docs``: (doc_id, text, mark)."""
     ship(docs.sparkSession)
@@ -382,14 +391,16 @@ def repeated_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     for more in done[1:]:
         contents = contents.unionAll(more)
     spans = settle(segment_spans(contents, s))
+    forget()  # the shuffled contents
     for link in reversed(links):  # from parts to what they are parts of
         up = spans.join(link, ["d1", "d2"])
         up = up.select(F.col("p1").alias("d1"), F.col("p2").alias("d2"), *[(F.col(c) + F.col("offset")).alias(c) for c in ("first", "last")])
         spans = settle(spans.unionAll(up))
     members = made.where("start is not null").select("d1", "d2", "doc_id", "mark", "start")
-    salts = 1 + members.count() // s.salt
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark", "start"), F.lit(salts)).cast("int"))
-    spread = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = F.broadcast(salted_digests(made, s))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = members.join(hot, "d1", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark", "start"), salts).cast("int")).drop("salts")
+    spread = spans.join(hot, "d1", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int")))).drop("salts")
     found = salted.join(spread, ["d1", "d2", "salt"])
     one = F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + s.length - 1).alias("end"))
     return found.select("doc_id", "mark", one.alias("span")).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("span")).alias("spans"))
