@@ -287,14 +287,23 @@ WHERE back <= 10 AND back = g + 1
 COMPLETIONS = """
 SELECT conv_id, turn,
  CASE (conv_id + turn) % 6
- WHEN 0 THEN concat('Sure. ```json', chr(10), j, chr(10), '``` done') WHEN 1 THEN j WHEN 2 THEN concat('Here is it: ', j, ' hope it helps')
- WHEN 3 THEN concat('no json ', substr(text, 1, 20)) WHEN 4 THEN concat('{"type": "', ty, '", "desc') ELSE concat('```', j, '```') END AS completion
+ WHEN 0 THEN concat(text, chr(10), 'Sure. ```json', chr(10), j, chr(10), '``` done') WHEN 1 THEN j WHEN 2 THEN concat(text, ' Here is it: ', j, ' hope it helps')
+ WHEN 3 THEN concat('no json ', text) WHEN 4 THEN concat(text, '{"type": "', ty, '", "desc') ELSE concat('```', j, '```') END AS completion
 FROM (SELECT conv_id, turn, text, ty, concat('{"type": "', ty, '", "scope": ', CASE WHEN turn % 3 = 0 THEN 'null' ELSE '"core"' END,
-   ', "description": "', CASE WHEN conv_id % 11 = 0 THEN '  ' ELSE concat('change ', CAST(conv_id AS STRING)) END, '", "body": ', CASE WHEN turn % 2 = 0 THEN 'null' ELSE '" details "' END, '}') AS j
+   ', "description": "', CASE WHEN conv_id % 11 = 0 THEN '  ' ELSE concat('change ', CAST(conv_id AS STRING)) END, '", "body": ', CASE WHEN turn % 2 = 0 THEN 'null' ELSE concat('" ', translate(text, concat('"', chr(92), chr(10), chr(13), chr(9)), '     '), ' "') END, '}') AS j
   FROM (SELECT conv_id, turn, text, CASE conv_id % 9 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' WHEN 2 THEN 'docs' WHEN 3 THEN 'style' WHEN 4 THEN 'refactor' WHEN 5 THEN 'test' WHEN 6 THEN 'chore' ELSE 'perf' END AS ty
    FROM conversations WHERE role = 'assistant') a) b
 """
 
+# Answers of a second try: to some of the failed ones, to some that need none, some invalid again, some delivered twice.
+RETRY_ANSWERS = """
+SELECT conv_id, turn, CAST(1 AS BIGINT) AS attempt,
+ CASE WHEN conv_id % 4 = 1 THEN concat(text, chr(10), '{"type": 3, "description": "again"}')
+ ELSE concat(text, chr(10), '```json', chr(10), '{"type": "', CASE WHEN conv_id % 3 = 0 THEN 'docs' ELSE 'retry' END, '", "scope": null, "description": "again ', CAST(turn AS STRING), '", "body": null}', chr(10), '```') END AS completion
+FROM (SELECT conv_id, turn, text, role FROM conversations UNION ALL SELECT conv_id, turn, text, role FROM conversations WHERE conv_id % 7 = 0) c
+WHERE role = 'assistant' AND (conv_id + turn) % 6 IN (1, 3, 4) AND conv_id % 4 <> 0
+"""
+
 GEN_PARAMS = """
 SELECT event_id, value / 50.0 AS temperature, 1.2 - value / 100.0 AS top_p, CAST(event_id % 4 AS INT) - 1 AS num_return_sequences
 FROM events
@@ -325,6 +334,7 @@ DERIVED = {
     "changes": CHANGES,
     "kb_snapshots": KB_SNAPSHOTS,
     "completions": COMPLETIONS,
+    "retry_answers": RETRY_ANSWERS,
     "gen_params": GEN_PARAMS,
     "trailers": TRAILERS,
     "diffs": DIFFS,

@@ -74,6 +74,57 @@ def retry_queue(parsed: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     return failed.select("conv_id", "turn", "completion", "outcome", (F.col("attempt") + 1).alias("attempt"))
 
 
+def one_per_try(answers: DataFrame) -> DataFrame:
+    """Answers without repeated deliveries; of different texts for one try, the one of least hash counts.
+
+    Only numbers are aggregated, so wide texts are not sorted.
+    """
+    keys = ["conv_id", "turn", "attempt"]
+    marked = answers.select(*keys, "completion", F.xxhash64("completion").alias("mark")).distinct()
+    chosen = marked.groupBy(*keys).agg(F.min("mark").alias("mark"))
+    return marked.join(chosen, [*keys, "mark"]).drop("mark")
+
+
+def _finished(max_retries: int) -> Column:
+    return (F.col("outcome") == "parsed") | (F.col("attempt") >= max_retries)
+
+
+def next_round(ledger: DataFrame, answers: DataFrame, attempt: int, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """The ledger after the answers of one more try; requests that are final or got no answer stay as they are.
+
+    Answers are judged before they meet the ledger, and those that nobody waits for meet no row of it.
+    """
+    fields = ["completion", "json", "outcome", "attempt", "type", "scope", "description", "body"]
+    tries = one_per_try(answers.where(F.col("attempt") == attempt)).drop("attempt")
+    judged = parse_completion(extract_json(tries), attempt).select(
+        F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.struct(*fields).alias("_new")
+    )
+    waiting = ~F.col("final") & (F.col("attempt") == attempt - 1)
+    met = ledger.join(judged, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")) & waiting, "left")
+    answered = F.col("_new").isNotNull()
+    new = {c: F.when(answered, F.col("_new")[c]).otherwise(F.col(c)) for c in fields}
+    others = [c for c in ledger.columns if c not in (*fields, "final")]
+    return met.select(*others, *[v.alias(c) for c, v in new.items()]).withColumn("final", _finished(max_retries))
+
+
+def ledger(completions: DataFrame, answers: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """One row per request with its last judged try; ``final`` is false where a further answer is still to come.
+
+    ``answers`` (conv_id, turn, attempt, completion) holds all later tries that have arrived. A request is parsed by
+    its first valid answer; later ones do not count, nor do tries beyond ``max_retries``.
+    """
+    first = parse_completion(extract_json(completions))
+    out = first.withColumn("final", _finished(max_retries))
+    for attempt in range(1, max_retries + 1):
+        out = next_round(out, answers, attempt, max_retries)
+    return out
+
+
+def retried_messages(completions: DataFrame, answers: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """The whole chain with every try that arrived: message and outcome of each request's last try."""
+    return format_message(normalise_type(ledger(completions, answers, max_retries)))
+
+
 def normalise_type(parsed: DataFrame) -> DataFrame:
     kept = F.when(F.col("type").isin(ALLOWED_TYPES), F.col("type")).when(F.col("type").isNotNull(), F.lit(DEFAULT_TYPE))
     return parsed.withColumn("invalid_type", ~F.col("type").isin(ALLOWED_TYPES)).withColumn("type", kept)

@@ -687,11 +687,39 @@ view(
 oracle("completion_json", "SELECT conv_id, turn, json FROM json_rows")
 view(
     "record_rows",
-    """SELECT conv_id, turn, CASE WHEN json IS NULL THEN 'extraction failed' WHEN coalesce(json_type(json, '$.type') = 'VARCHAR' AND json_type(json, '$.description') = 'VARCHAR', false) THEN 'parsed' ELSE 'invalid record' END AS outcome,
+    """SELECT conv_id, turn, CASE WHEN json IS NULL THEN 'extraction failed' WHEN NOT json_valid(json) THEN 'invalid record' WHEN coalesce(json_type(json, '$.type') = 'VARCHAR' AND json_type(json, '$.description') = 'VARCHAR', false) THEN 'parsed' ELSE 'invalid record' END AS outcome,
  json_extract_string(json, '$.type') AS type, json_extract_string(json, '$.scope') AS scope, json_extract_string(json, '$.description') AS description, json_extract_string(json, '$.body') AS body FROM json_rows""",
 )
 oracle("completion_parsed", "SELECT conv_id, turn, outcome, CAST(0 AS BIGINT) AS attempt, type, scope, description, body FROM record_rows")
 oracle("completion_retries", "SELECT conv_id, turn, outcome, CAST(1 AS BIGINT) AS attempt FROM record_rows WHERE outcome <> 'parsed'")
+view(
+    "second_rows",
+    r"""SELECT conv_id, turn, CASE WHEN json IS NULL THEN 'extraction failed' WHEN json_type(json, '$.type') = 'VARCHAR' THEN 'parsed' ELSE 'invalid record' END AS outcome, json
+ FROM (SELECT DISTINCT conv_id, turn, nullif(regexp_extract(completion, '(\{[^{}]*\})[^{]*$', 1), '') AS json FROM retry_answers) s""",
+)
+view(
+    "ledger_rows",
+    """SELECT r.conv_id, r.turn, CASE WHEN s.conv_id IS NULL THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS attempt, coalesce(s.outcome, r.outcome) AS outcome,
+ r.outcome = 'parsed' OR s.conv_id IS NOT NULL AS final,
+ CASE WHEN s.conv_id IS NULL THEN r.type WHEN s.outcome = 'parsed' THEN json_extract_string(s.json, '$.type') END AS type,
+ CASE WHEN s.conv_id IS NULL THEN r.scope WHEN s.outcome = 'parsed' THEN json_extract_string(s.json, '$.scope') END AS scope,
+ CASE WHEN s.conv_id IS NULL THEN r.description WHEN s.outcome = 'parsed' THEN json_extract_string(s.json, '$.description') END AS description,
+ CASE WHEN s.conv_id IS NULL THEN r.body WHEN s.outcome = 'parsed' THEN json_extract_string(s.json, '$.body') END AS body
+ FROM record_rows r LEFT JOIN second_rows s ON r.outcome <> 'parsed' AND s.conv_id = r.conv_id AND s.turn = r.turn""",
+)
+oracle("completion_ledger", "SELECT conv_id, turn, attempt, outcome, final, type, scope, description, body FROM ledger_rows")
+view(
+    "retried_rows",
+    """SELECT conv_id, turn, attempt, type NOT IN ('feat', 'fix', 'docs', 'style', 'refactor', 'test', 'chore') AS invalid_type,
+ CASE WHEN outcome = 'parsed' AND trim(description) = '' THEN 'blank description' ELSE outcome END AS outcome,
+ CASE WHEN outcome = 'parsed' AND trim(description) <> '' THEN concat(CASE WHEN type IN ('feat', 'fix', 'docs', 'style', 'refactor', 'test', 'chore') THEN type ELSE 'feat' END, CASE WHEN scope <> '' THEN concat('(', scope, ')') ELSE '' END, ': ', trim(description),
+  CASE WHEN trim(body) <> '' THEN concat(chr(10), chr(10), trim(body)) ELSE '' END) END AS commit_message FROM ledger_rows""",
+)
+oracle("retry_messages", "SELECT conv_id, turn, attempt, outcome, commit_message FROM retried_rows")
+oracle(
+    "retry_outcomes",
+    "SELECT CASE WHEN outcome = 'parsed' AND invalid_type THEN 'parsed, type replaced' ELSE outcome END AS outcome, count(*) AS n FROM retried_rows GROUP BY 1",
+)
 view(
     "typed_rows",
     "SELECT *, type NOT IN ('feat', 'fix', 'docs', 'style', 'refactor', 'test', 'chore') AS invalid_type FROM record_rows",

@@ -679,6 +679,24 @@ def completion_retries(spark, sf):
     )
 
 
+@query
+def completion_ledger(spark, sf):
+    """Requests after all tries that have arrived."""
+    found = completions.ledger(_t(spark, sf, "completions"), _t(spark, sf, "retry_answers"))
+    return found.select("conv_id", "turn", "attempt", "outcome", "final", "type", "scope", "description", "body")
+
+
+@query
+def retry_messages(spark, sf):
+    found = completions.retried_messages(_t(spark, sf, "completions"), _t(spark, sf, "retry_answers"))
+    return found.select("conv_id", "turn", "attempt", "outcome", "commit_message")
+
+
+@query
+def retry_outcomes(spark, sf):
+    return completions.outcomes(completions.retried_messages(_t(spark, sf, "completions"), _t(spark, sf, "retry_answers")))
+
+
 @query
 def type_normalised(spark, sf):
     return completions.normalise_type(completions.parse_completion(_extracted(spark, sf))).where(

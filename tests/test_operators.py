@@ -137,6 +137,35 @@ def test_completions(spark):
     assert completions.retry_queue(parsed.withColumn("attempt", F.lit(1))).count() == 0
 
 
+def test_ledger_joins_later_tries_until_each_request_is_final(spark):
+    good = '{"type": "fix", "description": "done"}'
+    first = [(1, 0, good), (2, 0, "none"), (3, 0, "none"), (4, 0, "none"), (5, 0, None), (6, 0, "none")]
+    later = [
+        (1, 0, 1, '{"type": "fix", "description": "late"}'),  # nobody waits for it
+        (2, 0, 1, good), (2, 0, 1, good), (2, 0, 2, '{"type": "fix", "description": "later"}'),  # delivered twice
+        (3, 0, 1, "none"), (3, 0, 2, good),
+        (4, 0, 2, good),  # the first of its tries is still to come
+        (6, 0, 1, "x"), (6, 0, 1, "y"), (6, 0, 2, "z"), (7, 0, 1, good),
+    ]
+    requests = spark.createDataFrame(first, "conv_id long, turn long, completion string")
+    answers = spark.createDataFrame(later, "conv_id long, turn long, attempt long, completion string")
+
+    def got(n):
+        rows = completions.ledger(requests, answers, n).collect()
+        assert len(rows) == 6
+        return {r.conv_id: (r.attempt, r.outcome, r.final, r.description) for r in rows}
+
+    none = "extraction failed"
+    assert got(0) == {1: (0, "parsed", True, "done")} | {i: (0, none, True, None) for i in range(2, 7)}
+    one = {1: (0, "parsed", True, "done"), 2: (1, "parsed", True, "done"), 3: (1, none, True, None)}
+    assert got(1) == one | {4: (0, none, False, None), 5: (0, none, False, None), 6: (1, none, True, None)}
+    two = one | {3: (2, "parsed", True, "done"), 4: (0, none, False, None), 5: (0, none, False, None)}
+    assert got(2) == two | {6: (2, none, True, None)}
+    plan = completions.ledger(requests, answers, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Python" not in plan
+    assert completions.ledger(requests, answers.limit(0), 2).where("attempt > 0").count() == 0
+
+
 def test_parameters(spark):
     rows = [(0.2, 0.95, 1), (5.0, 2.0, 0), (-1.0, -1.0, -3), (float("nan"), 0.5, 1), (float("inf"), 0.5, 1)]
     df = spark.createDataFrame(rows, "temperature double, top_p double, num_return_sequences int")
