@@ -391,13 +391,13 @@ def repeated_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     for more in done[1:]:
         contents = contents.unionAll(more)
     spans = settle(segment_spans(contents, s))
-    forget()  # the shuffled contents
     for link in reversed(links):  # from parts to what they are parts of
         up = spans.join(link, ["d1", "d2"])
         up = up.select(F.col("p1").alias("d1"), F.col("p2").alias("d2"), *[(F.col(c) + F.col("offset")).alias(c) for c in ("first", "last")])
         spans = settle(spans.unionAll(up))
     members = made.where("start is not null").select("d1", "d2", "doc_id", "mark", "start")
     hot = F.broadcast(salted_digests(made, s))
+    forget()  # the shuffled contents, which the job before this one may still have held
     salts = F.coalesce("salts", F.lit(1))
     salted = members.join(hot, "d1", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark", "start"), salts).cast("int")).drop("salts")
     spread = spans.join(hot, "d1", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int")))).drop("salts")
@@ -413,9 +413,11 @@ def without_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "do
     """``docs`` with ``n_bytes``, the maximal ``removed`` spans of bytes and the bytes ``kept`` of each whole text."""
     docs = without(docs, NAMES)
     string = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), string.alias("text"), F.xxhash64(string).alias("mark"))
-    spans = repeated_spans(keyed.select("doc_id", "text", "mark"), s).select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "spans")
-    met = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").select("row", "text", "spans")
+    known = [F.col(doc_id).alias("doc_id"), F.xxhash64(string).alias("mark")]
+    spans = repeated_spans(docs.select(string.alias("text"), *known), s).select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "spans")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *known)  # each text crosses the join once, in its row
+    met = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")
+    met = met.select("row", F.coalesce(F.col("row")[text].cast("string"), F.lit("")).alias("text"), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
