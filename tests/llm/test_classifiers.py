@@ -137,9 +137,10 @@ def test_quality_rules_of_odd_rows(spark, tables, odd):
 def test_log_ratio_equals_counts_by_hand(spark):
     s = quality_rules.Settings(buckets=64)
     docs = spark.createDataFrame([(1, "a b a"), (2, "c!! c!!"), (3, None)], "doc_id long, text string")
-    cells = {r["doc_id"]: r["grams_"] for r in quality_rules.grams(docs, s).collect()}
+    celled = quality_rules.grams(docs, s)
+    cells = {r["doc_id"]: r["grams_"] for r in celled.collect()}
     assert [len(cells[i]) for i in (1, 2, 3)] == [5, 7, 0]
-    weights = quality_rules.ratios(docs, spark.createDataFrame([(1,)], "doc_id long"), s).first()["weights_"]
+    weights = quality_rules.ratios(celled, spark.createDataFrame([(1,)], "doc_id long"), s).first()["weights_"]
     raw, good = np.bincount(cells[1] + cells[2], minlength=64), np.bincount(cells[1], minlength=64)
     want = np.log((good + 1) / (good.sum() + 64)) - np.log((raw + 1) / (raw.sum() + 64))
     assert np.allclose(weights, want)
