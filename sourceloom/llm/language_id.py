@@ -2,21 +2,24 @@
 
 A word gives its character 1- to 3-grams between boundary marks, hashed to ``2**bits`` rows of an embedding; a text
 is the average of all its rows, and a linear layer with softmax names the language. Both are
-trained by stochastic gradient descent in numpy on a bounded sample. Part of the sample is kept
-back: on it the temperature of the softmax is fitted, and the rejection threshold is the smallest
-confidence at which accepted texts reach ``target`` accuracy.
+trained by stochastic gradient descent in numpy on a bounded sample. An eighth of the sampled texts, chosen by a
+hash of the text so that copies and all runs of a text are on one side, is kept back: on it the temperature of the
+softmax is fitted, and the rejection threshold is the smallest confidence at which accepted texts reach
+``target`` accuracy.
 
-For scoring, embedding and layer are multiplied once into one row of logits per bucket, and each
-worker keeps the summed logits of the words it has met.
+For scoring, embedding and layer are multiplied once into one row of logits per bucket; the subwords of a
+text are hashed as arrays of code points, ``slice_chars`` at a time.
 
 Cases: null texts and texts without a letter are ``und`` with score 0 and rejected; texts of any
-length are read whole; repeated rows give the same answer; with no labelled text every text is
-``und``; one learned language is named always; columns named like the outputs are replaced.
+length are read whole; repeated rows give the same answer; of languages with equal probability the first by name is
+taken, and a confidence equal to the threshold is accepted; with no labelled text every text is
+``und``; one learned language is named always; an empty table gives an empty result; columns named like the outputs
+are replaced.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import CACHE_WORDS, bounded_ids, fold, sampled_texts, ship, table, without
+from sourceloom.llm.common import bounded_ids, fold, sampled_texts, ship, table, without
 
 UNKNOWN = "und"
 
@@ -41,41 +44,46 @@ class Settings:
     pieces: int = 3  # a sampled text is also shown as short runs of its words
     piece_words: int = 8
     target: float = 0.995
-
-
-class GramHashes(dict):
-    """Subword -> 32-bit hash; there are few different ones, and it is emptied when full."""
-
-    def __missing__(self, gram: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[gram] = zlib.crc32(gram.encode("utf-8", "surrogatepass"))
-        return h
-
-
-GRAMS = GramHashes()
-
-
-def buckets(word: str, s: Settings) -> np.ndarray:
-    """Hashed subwords of a word."""
-    marked = f"<{word}>"
-    raw = [marked[i : i + n] for n in s.grams for i in range(len(marked) - n + 1)]
-    return np.fromiter(map(GRAMS.__getitem__, raw), np.int64, len(raw)) & ((1 << s.bits) - 1)
+    slice_chars: int = 1 << 18  # characters whose subwords are hashed at once
+
+
+#: Marks around a word; ``str.split`` takes both as white space, so no word holds one.
+BEGIN, END = "\x1e", "\x1f"
+
+
+def buckets(words: list[str], s: Settings) -> Iterator[np.ndarray]:
+    """Hashed subwords of a run of words, slice by slice; no subword reaches over the end of its word."""
+    marked = f"{BEGIN}{(END + BEGIN).join(words)}{END}" if words else ""
+    codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)
+    longest = max(s.grams)
+    for a in range(0, len(codes), s.slice_chars):
+        part = codes[a : a + s.slice_chars + longest - 1].astype(np.uint64)
+        starts = min(s.slice_chars, len(codes) - a)
+        inside = part != ord(END)
+        key = np.zeros(len(part), np.uint64)
+        whole = np.ones(len(part), bool)
+        made = []
+        for n in range(1, longest + 1):
+            size = len(part) - n + 1
+            if size <= 0:
+                break
+            # 21 bits of the key hold a code point plus one
+            key = (key[:size] << np.uint64(21)) + part[n - 1 :] + np.uint64(1)
+            if n > 1:
+                whole = whole[:size] & inside[n - 2 : n - 2 + size]
+            if n in s.grams:
+                found = key[:starts] if n == 1 else key[:starts][whole[:starts]]
+                made.append((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - s.bits))
+        yield np.concatenate(made).astype(np.int64)
 
 
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def counted(words: list[str], s: Settings, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def counted(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a run of words, and their shares."""
-    rows = []
-    for w in words:
-        if w not in known:
-            if len(known) >= CACHE_WORDS:
-                known.clear()
-            known[w] = buckets(w, s)
-        rows.append(known[w])
+    rows = list(buckets(words, s))
     if not rows:
         return np.empty(0, np.int64), np.empty(0, np.float32)
     at, n = np.unique(np.concatenate(rows), return_counts=True)
@@ -91,20 +99,29 @@ class Model:
     threshold: float
     settings: Settings
 
+    def mean(self, words: list[str]) -> np.ndarray:
+        """Mean logits over all subwords of all ``words``, of which there is one at least."""
+        total, n = np.zeros(len(self.languages)), 0
+        for at in buckets(words, self.settings):
+            total += self.logits[at].sum(axis=0, dtype=np.float64)
+            n += len(at)
+        return total / n
+
     def probabilities(self, mean_logits: np.ndarray) -> np.ndarray:
         z = (mean_logits + self.bias) / self.temperature
         e = np.exp(z - z.max(axis=-1, keepdims=True))
         return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit_sgd(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: list[str], s: Settings) -> Model:
-    """``rows``: buckets and shares of texts, in a hashed order; every eighth is kept back for calibration."""
+def fit_sgd(
+    rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, held: np.ndarray, languages: list[str], s: Settings
+) -> Model:
+    """``rows``: buckets and shares of runs, in a shuffled order; those that are ``held`` only calibrate."""
     k = len(languages)
     rng = np.random.default_rng(7)
     emb = rng.uniform(-0.1, 0.1, (2**s.bits, s.width)).astype(np.float32)
     layer, bias = np.zeros((s.width, k), np.float32), np.zeros(k, np.float32)
-    kept = [i for i in range(len(rows)) if i % 8 == 0 and len(rows) >= 16]
-    learn = np.array([i for i in range(len(rows)) if not (i % 8 == 0 and len(rows) >= 16)], np.int64)
+    kept, learn = np.flatnonzero(held), np.flatnonzero(~held)
     total = s.epochs * len(learn)
     step = 0
     for _ in range(s.epochs):
@@ -125,7 +142,7 @@ def fit_sgd(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages:
             # shares sum to one, so rows move by their share times the number of distinct rows
             emb[at] -= (rate * len(at)) * np.outer(x, back)
     model = Model(languages, (emb @ layer).astype(np.float32), bias, 1.0, 0.0, s)
-    if kept:
+    if len(kept):
         z = np.array([rows[i][1] @ model.logits[rows[i][0]] if len(rows[i][0]) else np.zeros(k) for i in kept])
         truth = y[kept]
 
@@ -151,7 +168,6 @@ def fit(docs: DataFrame, lang: str = "lang", settings: Settings = Settings()) ->
 
     @F.pandas_udf("array<struct<at:binary,x:binary>>")
     def vectors(texts: pd.Series) -> pd.Series:
-        known: dict[str, np.ndarray] = {}
         out = []
         for text in texts:
             words = text.lower().split() if has_letter(text) else []
@@ -159,50 +175,24 @@ def fit(docs: DataFrame, lang: str = "lang", settings: Settings = Settings()) ->
             for j in range(s.pieces if len(words) > s.piece_words else 0):
                 start = (len(words) - s.piece_words) * j // max(1, s.pieces - 1)
                 runs.append(words[start : start + s.piece_words])
-            made = [counted(r, s, known) for r in runs]
+            made = [counted(r, s) for r in runs]
             out.append([{"at": a.astype("<i4").tobytes(), "x": x.astype("<f4").tobytes()} for a, x in made])
         return pd.Series(out)
 
-    got = sample.select("sample_id", "label", vectors("sample_text").alias("runs")).toArrow().sort_by("sample_id")
+    held_text = F.pmod(F.xxhash64("sample_text"), F.lit(8)) == 0
+    got = sample.select("sample_id", "label", held_text.alias("held"), vectors("sample_text").alias("runs")).toArrow().sort_by("sample_id")
     labels = got["label"].to_pylist()
     languages = sorted(set(labels))
     if not languages:
         return None
-    rows, y = [], []
+    held_texts = got["held"].to_pylist() if len(labels) >= 16 else [False] * len(labels)
+    rows, y, held = [], [], []
     for i in np.random.default_rng(3).permutation(len(labels)):
         for run in got["runs"][int(i)].as_py():
             rows.append((np.frombuffer(run["at"], "<i4"), np.frombuffer(run["x"], "<f4")))
             y.append(languages.index(labels[i]))
-    return fit_sgd(rows, np.array(y, np.int64), languages, s)
-
-
-class WordLogits:
-    """Summed logits and number of subwords of each word met, as rows of one growing table."""
-
-    def __init__(self, model: Model):
-        self.model, self.at = model, {}
-        self.rows = np.empty((1 << 12, len(model.languages) + 1))
-
-    def row(self, word: str) -> int:
-        i = self.at.get(word)
-        if i is None:
-            i = self.at[word] = len(self.at)
-            if i == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            b = buckets(word, self.model.settings)
-            self.rows[i, :-1] = self.model.logits[b].sum(axis=0)
-            self.rows[i, -1] = len(b)
-        return i
-
-    def mean(self, words: list[str]) -> np.ndarray:
-        if len(self.at) > 3 * CACHE_WORDS:
-            self.at.clear()
-        total = self.rows_of(words).sum(axis=0)
-        return total[:-1] / total[-1]
-
-    def rows_of(self, words: list[str]) -> np.ndarray:
-        index = np.fromiter(map(self.row, words), np.int64, len(words))
-        return self.rows[index]
+            held.append(held_texts[i])
+    return fit_sgd(rows, np.array(y, np.int64), np.array(held, bool), languages, s)
 
 
 OUTPUTS = ("lang_pred", "score", "rejected")
@@ -220,13 +210,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predicted(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        cache = m.__dict__.setdefault("cache", WordLogits(m))  # kept for the worker's later batches
         out = []
         for text in texts:
             if not has_letter(text):
                 out.append((UNKNOWN, 0.0, True))
                 continue
-            p = m.probabilities(cache.mean(text.lower().split()))
+            p = m.probabilities(m.mean(text.lower().split()))
             best = int(p.argmax())
             out.append((m.languages[best], float(p[best]), bool(p[best] < m.threshold)))
         return pd.DataFrame(out, columns=list(OUTPUTS))

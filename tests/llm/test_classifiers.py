@@ -60,6 +60,41 @@ def test_language_of_odd_rows(spark, tables, odd):
     assert by_id(language_id.predict(odd, one))[5]["lang_pred"] == "en"
 
 
+def test_subwords_equal_plain_subwords():
+    """Slices of any size give the grams of every word and none across words; equal grams share a bucket."""
+    words = ["a", "bcd", "\u00e9\U0001f600", "a" * 40, "bcd"]
+    plain = [g[i : i + n] for g in (f"<{w}>" for w in words) for n in (1, 2, 3) for i in range(len(g) - n + 1)]
+    whole = np.sort(np.concatenate(list(language_id.buckets(words, language_id.Settings()))))
+    assert len(whole) == len(plain) and len(np.unique(whole)) == len(set(plain))
+    for size in (1, 2, 3, 7):
+        cut = np.concatenate(list(language_id.buckets(words, language_id.Settings(slice_chars=size))))
+        assert np.array_equal(np.sort(cut), whole)
+    assert list(language_id.buckets([], language_id.Settings())) == []
+
+
+def test_calibration_reads_no_learned_text(monkeypatch, spark, tables):
+    seen = {}
+
+    def caught(rows, y, held, languages, s):
+        seen.update(learn={r[0].tobytes() + r[1].tobytes() for r, h in zip(rows, held) if not h}, held=held, rows=rows)
+        return "model"
+
+    monkeypatch.setattr(language_id, "fit_sgd", caught)
+    docs = tables[0].where("doc_id < 400").unionByName(tables[0].where("doc_id < 400").withColumn("doc_id", tables[0].doc_id + 10**6))
+    assert language_id.fit(docs, settings=language_id.Settings(pieces=0)) == "model"
+    kept = [r for r, h in zip(seen["rows"], seen["held"]) if h]
+    assert len(kept) > 20 and not any(r[0].tobytes() + r[1].tobytes() in seen["learn"] for r in kept)
+
+
+def test_confidence_at_the_threshold_is_accepted():
+    s = language_id.Settings(bits=4)
+    rows = [(np.array([i % 2]), np.array([1.0], np.float32)) for i in range(64)]
+    held = np.arange(64) % 4 == 0
+    model = language_id.fit_sgd(rows, np.arange(64) % 2, held, ["a", "b"], s)
+    sure = model.probabilities(np.array([model.logits[0]], np.float64)).max()
+    assert model.threshold <= sure + 1e-12
+
+
 def test_long_text_counts_whole(spark, tables):
     model = language_id.fit(tables[0].limit(400))
     mostly = "der die und nicht ist " * 20 + "the of and to is " * 4000
