@@ -8,12 +8,18 @@ ends.
 
 There are no labels in the tables, so the labeller is taught by example: pages of a bounded sample give
 blocks, and the words of their paths say which blocks are article and which are not (``CONTENT``,
-``BOILERPLATE``). Copies of these pages are dressed anew: other containers for the article, and
-menus, notices, adverts, forms, sidebars and comments made from other pages' text in many guises, so
-that it learns paths and positions, not one template.
+``BOILERPLATE``). Copies of these pages are dressed anew: other containers for the article, some of them
+without a class or with made-up class names, and menus, notices, adverts, forms, sidebars and comments made from
+other pages' text in many guises. There the making of the page gives the labels, so that it learns paths and positions,
+not one template.
+
+A place in the tree holds the features of its whole path, made from those of the place around it, so pages with
+thousands of open tags cost no more a tag than others. Attributes are read by the states of the HTML standard: quotes
+matter at the start of a value only. Character references are decoded within a run of text, never across markup.
 
 Cases: null and empty pages give empty text; a page is read whole, of any length; broken markup is read as far as
-it goes (an unfinished tag at the end is markup, an unfinished script or comment hides the rest);
+it goes (an unfinished tag at the end is markup, an unfinished script or comment hides the rest, a quote that never
+closes is part of its attribute, which ends at the next blank or ``>``);
 repeated rows give the same text; an empty table gives an empty result; without pages to learn from
 the dressed-up built-in page alone teaches; columns named like the outputs are replaced.
 """
@@ -23,6 +29,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,12 +48,17 @@ BLOCK = frozenset(
 #: Their content is never text of the page.
 HIDDEN = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object")
 VOID = frozenset(["hr"])
+#: Attributes of a tag up to its end: a name may hold quotes, and a value is quoted only if it starts so.
+ATTRIBUTES = r"""(?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?)*+"""
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN) + r")\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|<\Z",
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN) + r")(?=[\s/>])" + ATTRIBUTES + r"(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)(" + ATTRIBUTES + r")>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|</(?:[^a-zA-Z>][^>]*)?(?:>|\Z)|<\Z",
     re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+ATTRIBUTE = re.compile(
+    r"""(?:[\s/]++|(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|\Z))?)"""
+)
+NAMED = frozenset(["class", "id", "role"])
 PART = re.compile(r"[a-z]+")
 
 CONTENT = frozenset("article main content post entry story".split())
@@ -66,7 +78,7 @@ class Settings:
     hidden: int = 12
     epochs: int = 10
     rate: float = 0.02
-    dressed: int = 4  # copies of each page in new dress
+    dressed: int = 8  # copies, each of a random part of the article, of each page in new dress
     chunk: int = 48  # blocks of a training sequence
     batch: int = 32
 
@@ -75,33 +87,64 @@ class Settings:
         return 2 * self.path + self.words + 6
 
 
+class Place:
+    """An open tag inside others, with the features of its path as bits."""
+
+    __slots__ = ("name", "words", "around", "own", "all", "content", "boilerplate")
+
+    def __init__(self, name: str, words: list[str], around: Place | None, size: int):
+        self.name, self.words, self.around = name, words, around
+        self.own = 0
+        for w in words:
+            self.own |= 1 << (zlib.crc32(w.encode()) % size)
+        bare = [w.rpartition(":")[2] for w in words]
+        self.all = self.own | (around.all if around else 0)
+        self.content = not CONTENT.isdisjoint(bare) or (around is not None and around.content)
+        self.boilerplate = not BOILERPLATE.isdisjoint(bare) or (around is not None and around.boilerplate)
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # words of the open tags, outermost first
+    place: Place | None
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Words of the open tags, outermost first."""
+        parts, place = [], self.place
+        while place:
+            parts.append(place.words)
+            place = place.around
+        return tuple(w for words in reversed(parts) for w in words)
+
 
-def blocks(page: str | None) -> list[Block]:
+def blocks(page: str | None, size: int = Settings.path) -> list[Block]:
     """Leaf blocks of a whole page in order; blocks without text are left out."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Place] = []
+    opened: Counter[str] = Counter()
     held: list[str] = []
     linked = in_link = 0
 
     def close() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(held)).split()) if held else ""
+        text = " ".join("".join(held).split()) if held else ""
         if text:
-            out.append(Block(text, tuple(w for _, words in stack for w in words), linked))
+            out.append(Block(text, stack[-1] if stack else None, linked))
         held.clear()
         linked = 0
 
+    def leave() -> str:
+        name = stack.pop().name
+        opened[name] -= 1
+        return name
+
     at = 0
     for m in TAG.finditer(page):
         if m.start() > at:
-            held.append(page[at : m.start()])
+            held.append(html.unescape(page[at : m.start()]))
             linked += (m.start() - at) * (in_link > 0)
         at = m.end()
         name = (m[3] or "").lower()
@@ -117,30 +160,42 @@ def blocks(page: str | None) -> list[Block]:
             continue
         close()
         if m[2]:
-            places = [i for i, (n, _) in enumerate(stack) if n == name]
-            if places:
-                del stack[places[-1] :]
+            while opened[name] and leave() != name:
+                pass
             continue
-        if stack and stack[-1][0] in ("p", name) and (stack[-1][0] == "p" or name in ("li", "dt", "dd", "option", "td", "th", "tr")):
-            stack.pop()  # ends without a tag
+        top = stack[-1].name if stack else ""
+        if top == "p" or (top == name and name in ("li", "dt", "dd", "option", "td", "th", "tr")):
+            leave()  # ends without a tag
         if name not in VOID:
             words = [name]
             for a in ATTRIBUTE.finditer(m[4]):
-                words += [f"{a[1][0].lower()}:{w}" for w in PART.findall(a[2].lower())]
-            stack.append((name, tuple(words)))
+                key = (a[1] or "").lower()
+                if key in NAMED and a[2]:
+                    words += [f"{key[0]}:{w}" for w in PART.findall(a[2].lower())]
+            stack.append(Place(name, words, stack[-1] if stack else None, size))
+            opened[name] += 1
     if at < len(page):
-        held.append(page[at:])
+        held.append(html.unescape(page[at:]))
     close()
     return out
 
 
-def taught(path: tuple[str, ...]) -> int:
+def taught(block: Block) -> int:
     """1 if the words of the path say article, 0 otherwise."""
-    words = [w.rpartition(":")[2] for w in path]
-    return int(any(w in CONTENT for w in words) and not any(w in BOILERPLATE for w in words))
+    return int(block.place is not None and block.place.content and not block.place.boilerplate)
+
+
+#: Set bits of path features, as met by this worker; emptied when it holds 20,000.
+BITS: dict[int, list[int]] = {}
 
 
-HASHED: dict[tuple[str, ...], list[int]] = {}
+def set_bits(mask: int) -> list[int]:
+    at = BITS.get(mask)
+    if at is None:
+        if len(BITS) > 20_000:
+            BITS.clear()
+        at = BITS[mask] = [i for i, c in enumerate(reversed(bin(mask)[2:])) if c == "1"]
+    return at
 
 
 def vectors(page: list[Block], s: Settings) -> np.ndarray:
@@ -148,15 +203,9 @@ def vectors(page: list[Block], s: Settings) -> np.ndarray:
     n = len(page)
     x = np.zeros((n, s.width), np.float32)
     for i, b in enumerate(page):
-        key = b.path
-        at = HASHED.get(key)
-        if at is None:
-            if len(HASHED) > 20_000:
-                HASHED.clear()
-            hashed = [zlib.crc32(w.encode()) % s.path for w in key]
-            last = max((k for k, w in enumerate(key) if ":" not in w), default=0)
-            at = HASHED[key] = hashed + [s.path + h for h in hashed[last:]]
-        x[i, at] = 1.0
+        if b.place:
+            x[i, set_bits(b.place.all)] = 1.0
+            x[i, [s.path + k for k in set_bits(b.place.own)]] = 1.0
     base = 2 * s.path
     words = [b.text.lower().split() for b in page]
     sizes = np.array([len(w) for w in words], np.int64)
@@ -291,6 +340,10 @@ ARTICLE_DRESS = (
     ("<div class='page'><section class='story'>", "</section></div>"),
     ("<div id='article-body'>", "</div>"),
     ("<section class='post-content'>", "</section>"),
+    ("<div>", "</div>"),
+    ("<div class='{0}'>", "</div>"),
+    ("<div class='{0}'><div id='{1}'>", "</div></div>"),
+    ("<section class='{0} {1}'><div>", "</div></section>"),
 )
 BEFORE_DRESS = (
     "<nav><ul><li><a href='/'>{0}</a></li><li><a href='/'>{1}</a></li></ul></nav>",
@@ -330,7 +383,7 @@ EXAMPLE = "<html><body><nav><a>Home</a></nav><article><h1>A title.</h1><p>Some w
 LINES = ("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<pre>{}</pre>", "<h2>{}</h2>", "<table><tr><td>{}</td></tr></table>")
 
 
-def dressed(content: list[str], others: list[str], rng: np.random.Generator) -> list[tuple[Block, int]]:
+def dressed(content: list[str], others: list[str], rng: np.random.Generator, size: int) -> list[tuple[Block, int]]:
     """Blocks of the same article in other markup, with labels known from the making."""
 
     def pick(dresses: tuple, most: int) -> str:
@@ -338,27 +391,29 @@ def dressed(content: list[str], others: list[str], rng: np.random.Generator) ->
         return "".join(d.format(*[html.escape(others[i]) for i in rng.integers(0, len(others), 2)]) for d in chosen)
 
     opening, closing = ARTICLE_DRESS[rng.integers(0, len(ARTICLE_DRESS))]
+    opening = opening.format(*["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(2)])
     body = [f"<h1>{html.escape(content[0])}</h1>"]
     for text in content[1:]:
         if rng.random() < 0.04:
             body.append(pick(INSIDE_DRESS, 1))
         body.append(LINES[rng.integers(0, len(LINES))].format(html.escape(text)))
     page = f"<html><head><title>{html.escape(content[0])}</title></head><body>{pick(BEFORE_DRESS, 4)}{opening}{''.join(body)}{closing}{pick(AFTER_DRESS, 4)}</body></html>"
-    return [(b, taught(b.path)) for b in blocks(page)]
+    # all that lies around or inside the article is dressed in words of ``BOILERPLATE``
+    return [(b, int(b.place is not None and not b.place.boilerplate)) for b in blocks(page, size)]
 
 
 def examples(pages: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     """Labelled sequences of the sampled pages, as they are and in new dress."""
     rng = np.random.default_rng(17)
-    read = [blocks(p) for p in [*pages, EXAMPLE]]
+    read = [blocks(p, s.path) for p in [*pages, EXAMPLE]]
     read = [r for r in read if r]
     everything = [b.text[:400] for r in read for b in r[:40]]  # for dressing only
     out = []
     for page in read:
-        out.append((vectors(page, s), np.array([taught(b.path) for b in page], np.float32)))
-        content = [b.text for b in page if taught(b.path)]
+        out.append((vectors(page, s), np.array([taught(b) for b in page], np.float32)))
+        content = [b.text for b in page if taught(b)]
         for _ in range(s.dressed if content else 0):
-            made = dressed(content[: s.chunk], everything, rng)
+            made = dressed(content[: rng.integers(1, min(len(content), s.chunk) + 1)], everything, rng, s.path)
             out.append((vectors([b for b, _ in made], s), np.array([y for _, y in made], np.float32)))
     return out
 
@@ -395,7 +450,7 @@ def extract(pages: DataFrame, model: BiLstm, s: Settings = Settings(), markup: s
     def extracted(column: pd.Series) -> pd.Series:
         out = []
         for a in range(0, len(column), 256):
-            read = [blocks(p) for p in column.iloc[a : a + 256]]
+            read = [blocks(p, s.path) for p in column.iloc[a : a + 256]]
             labels = labelled(read, shared.value, s)
             out += ["\n".join(b.text for b, keep in zip(r, y, strict=True) if keep) for r, y in zip(read, labels, strict=True)]
         return pd.Series(out, dtype=object)

@@ -68,6 +68,41 @@ def test_blocks():
     assert len(H.blocks("<p>a</p>" * 20000)) == 20000
 
 
+def test_broken_markup():
+    def texts(page):
+        return [b.text for b in H.blocks(page)]
+
+    assert texts("<article><p title=it's>Hello</p><p>World it's</p><p>More</p>") == ["Hello", "World it's", "More"]
+    assert texts('<p title="5" 6">Hello</p><p a = ">" b=\'>\'>x') == ["Hello", "x"]
+    assert texts("A&<b>lt;</b>x &lt;p&gt; &amp;lt;") == ["A&lt;x <p> &lt;"]
+    assert texts("<p a=\"x>one</p><p>two") == ["one", "two"]
+    assert texts("<p =>one<p = = >two<p a=>three</ p></>four") == ["one", "two", "threefour"]
+    assert texts("<script data-a='>'>no</script ><style-guide>yes</style-guide>") == ["yes"]
+    quoted = H.blocks("<div CLASS = 'post  a-b' data-class=ad id=main>x")[0]
+    assert quoted.path == ("div", "c:post", "c:a", "c:b", "i:main")
+
+
+def test_many_open_tags_are_linear():
+    page = H.blocks("<div class=a><section>" + "<div><p>x" * 60_000 + "</section>y</div>z")
+    assert len(page) == 60_002 and page[-1].path == () and page[-2].path == ("div", "c:a")
+    assert len(H.vectors(page, H.Settings())) == 60_002
+
+
+def test_article_in_unseen_class_names(spark):
+    """No word of the path says article; nearly all of its blocks are found, and no other block is taken."""
+    model, s = H.fit(spark.read.parquet(f"{SF}/pages.parquet")), H.Settings()
+    words = "The river rose by a metre in the night. People carried what they could to the upper floor."
+    found = []
+    for n in (1, 3, 6, 15):
+        inner = "<h1>High water</h1>" + "".join(f"<p>{words} Part {i}.</p>" for i in range(n))
+        for opening, closing in (("<div class='zz9-plural'>", "</div>"), ("<div id=qwert><div class=yx>", "</div></div>"), ("<div>", "</div>")):
+            page = f"<html><body><nav><a href=/>Home</a></nav>{opening}{inner}{closing}<footer>Imprint</footer></body></html>"
+            y = H.labelled([H.blocks(page)], model, s)[0]
+            assert not y[0] and not y[-1]
+            found += y[1:-1].tolist()
+    assert np.mean(found) > 0.9
+
+
 def test_pages_equal_plain_extraction(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in H.op7_html_extraction(spark, SF).collect():
