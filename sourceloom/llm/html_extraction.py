@@ -78,7 +78,7 @@ class Settings:
     hidden: int = 12
     epochs: int = 10
     rate: float = 0.02
-    dressed: int = 8  # copies, each of a random part of the article, of each page in new dress
+    dressed: int = 8  # copies of each page in new dress, each with a random part of its article
     chunk: int = 48  # blocks of a training sequence
     batch: int = 32
 
