@@ -8,10 +8,10 @@ the corpus; a text's score is the mean over its n-grams of the log ratio of the
 probabilities. A document is kept if its score is not below ``lower quartile - fence * interquartile
 range`` of the trusted scores, which is the same threshold for every document.
 
-Trusted texts are the labelled good ones, the first ``trusted_rows`` by hash of the id: a labelled
-sample of bounded size, so its ids are broadcast. Raw counts cover all documents. Each document is
+Trusted texts are all labelled good ones, and raw counts cover all documents; nothing is sampled. Each document is
 handled in its own row, once: its base columns and the cells of its n-grams are written, counted and judged from
-there. Only cell counts are shuffled (at most ``buckets`` rows a task).
+there. Only ids, numbered rows and cell counts (at most ``buckets`` rows a task) are shuffled: which rows are trusted goes back to
+them as bitmaps, one bit a document. The quartiles are exact: scores are counted by value, then summed up by narrow bins.
 
 Cases: null and empty texts have no words and fail the base rules; texts of any length are
 read whole; windows are compared by 64-bit hashes; repeated rows are judged alike; a score equal to the threshold is
@@ -25,8 +25,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sourceloom.llm.common import bounded_ids, release, settle, table
+from sourceloom.llm.common import release, settle, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -35,8 +36,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 class Settings:
     buckets: int = 1 << 14
     smoothing: float = 1.0
-    trusted_rows: int = 20_000
     fence: float = 4.0
+    bins: int = 1000  # of the trusted scores, per unit
     min_words: int = 50
     max_repeat_percent: int = 50
 
@@ -111,12 +112,29 @@ def grams(docs: DataFrame, s: Settings) -> DataFrame:
     return rows.withColumn("grams_", F.concat(singles, pairs)).drop("raw_", "hash_")
 
 
-def ratios(celled: DataFrame, trusted: DataFrame, s: Settings) -> DataFrame:
-    """One row: ``weights_``, the log ratio of every cell. ``celled`` has doc_id and ``grams_``; ``trusted``: a bounded
-    table of ids."""
-    marked = celled.select("doc_id", "grams_").join(
-        F.broadcast(trusted.select("doc_id").distinct().withColumn("good_", F.lit(1))), "doc_id", "left"
+def flagged(numbered: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``numbered`` (a written table with ``at_``, numbers of its rows) with ``good_``: 1 for rows with a trusted id, else null.
+
+    The wide rows are not shuffled: bitmaps of 32,768 row numbers are looked up by each of them.
+    """
+    number = F.col("at_") + 1  # Spark's buckets and bits count from 1
+    found = numbered.select("doc_id", "at_").join(trusted, "doc_id", "left_semi")
+    bitmaps = found.groupBy(F.bitmap_bucket_number(number).alias("part_")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits_")
     )
+    rows = numbered.withColumns({"part_": F.bitmap_bucket_number(number), "bit_": F.bitmap_bit_position(number)})
+    rows = rows.join(F.broadcast(bitmaps), "part_", "left")  # one bit a row
+    byte = F.substr("bits_", F.shiftright("bit_", 3).cast("int") + 1, F.lit(1))
+    bit = F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod("bit_", F.lit(8)).cast("int"))
+    return rows.withColumn("good_", F.when(bit.bitwiseAND(F.lit(1)) == 1, F.lit(1))).drop("part_", "bit_", "bits_")
+
+
+def ratios(celled: DataFrame, trusted: DataFrame, s: Settings) -> DataFrame:
+    """One row: ``weights_``, the log ratio of every cell. ``celled`` has doc_id and ``grams_``; ``trusted``: distinct
+    ids."""
+    if "at_" not in celled.columns:
+        celled = settle(celled.select("doc_id", "grams_").withColumn("at_", F.monotonically_increasing_id()))
+    marked = flagged(celled.select("doc_id", "grams_", "at_"), trusted)
     # the outer form, since the inner one makes the optimiser compute the array once more to test its size
     cells = marked.select(F.col("good_"), F.explode_outer("grams_").alias("cell")).where("cell is not null")
     counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("raw"), F.count("good_").alias("good"))
@@ -129,27 +147,44 @@ def ratios(celled: DataFrame, trusted: DataFrame, s: Settings) -> DataFrame:
     return listed.select(F.transform("c", weight).alias("weights_"))
 
 
+def quartiles(scores: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One row: ``low`` and ``high``, the exact interpolated quartiles of ``score``; nulls without any.
+
+    Equal scores are one row, and running counts are made bin by bin, so that no task holds all of them.
+    """
+    counts = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", F.floor(F.col("score") * s.bins))
+    bins = counts.groupBy("bin").agg(F.sum("n").alias("rows"))
+    earlier = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a score is a mean of log ratios: few bins
+    starts = bins.select("bin", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy("bin").orderBy("score")
+    placed = counts.join(F.broadcast(starts), "bin").withColumn("end", F.col("start") + F.sum("n").over(within))
+    last = bins.agg(F.sum("rows")).scalar() - 1
+    row = placed.agg(
+        *[F.min(F.when(F.col("end") > f(last * q), F.col("score"))).alias(c) for c, f, q in (
+            ("a", F.floor, 0.25), ("b", F.ceil, 0.25), ("c", F.floor, 0.75), ("d", F.ceil, 0.75))]
+    )
+    between = lambda a, b, q: F.col(a) + (last * q - F.floor(last * q)) * (F.col(b) - F.col(a))
+    return row.select(between("a", "b", 0.25).alias("low"), between("c", "d", 0.75).alias("high"))
+
+
 def judged(docs: DataFrame, trusted: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, the base columns, ``score`` and ``kept``; ``trusted`` holds at most ``trusted_rows`` ids."""
+    """doc_id, the base columns, ``score`` and ``kept``; ``trusted``: the ids of the trusted texts."""
     trusted = settle(trusted.select("doc_id").distinct())
-    celled = settle(base(grams(docs.select("doc_id", "text"), s), s).drop("text"), "zstd")
+    celled = settle(base(grams(docs.select("doc_id", "text"), s), s).drop("text").withColumn("at_", F.monotonically_increasing_id()), "zstd")
     weights = settle(ratios(celled, trusted, s)).select("weights_").scalar()
     rows = celled.withColumn("weights_", weights)
     total = F.aggregate("grams_", F.lit(0.0), lambda a, b: a + F.get("weights_", b))
     scored = rows.withColumn("score", F.when(F.size("grams_") > 0, total / F.size("grams_")).otherwise(0.0))
-    scored = settle(scored.drop("grams_", "weights_"))
+    scored = settle(scored.drop("grams_", "weights_", "at_"))
     release(celled)
-    good = scored.where("not base_failed").join(F.broadcast(trusted), "doc_id")  # bounded: a sample of rows
-    quartiles = good.agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q = quartiles.select("q").scalar()
-    lowest = F.get(q, F.lit(0)) - (F.get(q, F.lit(1)) - F.get(q, F.lit(0))) * s.fence
+    found = settle(quartiles(scored.where("not base_failed").join(trusted, "doc_id").select("score"), s))
+    lowest = found.select(F.col("low") - (F.col("high") - F.col("low")) * s.fence).scalar()
     return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= lowest, F.lit(True)))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    trusted = bounded_ids(labels, "doc_id", Settings.trusted_rows)
-    out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+    out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
     )

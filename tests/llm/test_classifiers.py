@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sourceloom.llm import language_id, quality_classifier, quality_rules, toxicity
 from tests.llm.plain import base_rules
@@ -189,3 +190,22 @@ def test_labels_without_document_do_not_count(spark):
     s = toxicity.Settings(bits=10, min_texts=2, max_positives=8)
     (w, b), (w_more, b_more) = toxicity.fit(docs, labels, docs, s), toxicity.fit(docs, more, docs, s)
     assert b == b_more and np.array_equal(w, w_more)
+
+
+def test_all_trusted_texts_are_counted(spark, tmp_path):
+    """Where every text is trusted both models are the same, so every score is 0; a sample of the labels would not give that."""
+    ids = spark.range(25_000).withColumnRenamed("id", "doc_id")
+    ids.withColumn("text", F.concat(F.lit("word "), F.pmod("doc_id", F.lit(977)))).write.parquet(f"{tmp_path}/documents.parquet")
+    ids.union(spark.range(30_000, 60_000)).withColumn("quality", F.lit(1)).write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality_rules.op9_quality_rules(spark, str(tmp_path)).agg(F.count("score"), F.max(F.abs("score"))).first()
+    assert got[0] == 25_000 and got[1] == 0
+
+
+@pytest.mark.parametrize("values", [[3.5], [0.25, -1.5], [0.5] * 7 + [0.75], [((i * 7919) % 1009) / 997 - 0.4 for i in range(3001)], []])
+def test_quartiles_equal_numpy(spark, values):
+    scores = spark.createDataFrame([(v,) for v in values], "score double").repartition(5)
+    low, high = quality_rules.quartiles(scores).first()
+    if not values:
+        assert low is None and high is None
+    else:
+        assert np.allclose([low, high], np.percentile(values, [25, 75]), rtol=0, atol=1e-12)
