@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import forget, mixed, settle, ship, table, without
+from sourceloom.llm.common import forget, mixed, settle, ship, small_batches, table, without
 from sourceloom.llm.periodic_runs import window_minima
 from sourceloom.llm.suffix_sort import Scratch, suffix_order
 
@@ -55,6 +55,7 @@ class Settings:
     bits: int = 28  # of the bitmap, at most
     memory: int = 256_000_000  # bytes of a shard's arrays and queues beyond which they go to disk
     base: int = 8_000_000  # names that are told apart in memory
+    batch: int = 500  # rows that a Python worker gets at once: the segments of so many texts are listed together
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -370,6 +371,11 @@ def salted_digests(made: DataFrame, s: Settings) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, mark, spans): the removed bytes of rows that have any, as sorted overlapping (start, end). ``docs``: (doc_id, text, mark)."""
+    with small_batches(docs.sparkSession, s.batch):
+        return found_spans(docs, s)
+
+
+def found_spans(docs: DataFrame, s: Settings) -> DataFrame:
     ship(docs.sparkSession)
     frequent = bitmap(settle(frequent_grams(docs, s)), s)
     made = settle(repeated_segments(docs, frequent, s), "zstd")

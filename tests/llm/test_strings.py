@@ -263,3 +263,11 @@ def test_registered_queries_read_whole_tables(spark):
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
     assert {r.word: r.n for r in QUERIES["op11_spelling_variants"](spark, folder).collect()} == plain_counts([tuple(r) for r in docs])
     assert {r.doc_id for r in QUERIES["op12_periodic_runs"](spark, folder).collect()} == {r.doc_id for r in docs}
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, found = spark.conf.get(key), suffix_dedup.frequent_grams
+    monkeypatch.setattr(suffix_dedup, "frequent_grams", lambda docs, s: seen.append(spark.conf.get(key)) or found(docs, s))
+    assert suffix_dedup.without_repeats(odd_docs(spark, [(1, "one"), (2, "two")])).count() == 2
+    assert seen == [str(suffix_dedup.Settings.batch)] and spark.conf.get(key) == before
