@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sourceloom.operators import kb as K
+from sourceloom.sources.corpus import spread
 
 
 def start(versions: DataFrame, patterns: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """``versions`` is a stream of source files; a higher ``version``, or ``file_id`` where there is none, is newer."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        built = K.build(K.candidates(batch, patterns))
+        built = K.build(K.candidates(spread(batch), patterns))  # a batch of few files keeps all cores busy
         built.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     return (

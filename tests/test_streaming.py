@@ -82,3 +82,14 @@ def test_late_events_are_kept_apart(spark, tmp_path):
     assert [(r.behind, r.stale) for r in staleness.report(spark, table).collect()] == [(1, False)]
     counts = [r.behind for r in spark.read.parquet(table).orderBy("batch_id").collect()]
     assert counts == [2, 3, 4, 1]
+
+
+def test_a_batch_of_one_file_is_spread(spark, tmp_path):
+    source, table, state = (str(tmp_path / n) for n in ("in", "kb", "state"))
+    schema = "file_id long, repo string, path string, content string"
+    none = corpus.load_patterns(spark.createDataFrame([], "line_no int, line string"))
+    rows = [(i, "r", f"f{i}.py", "import os\n") for i in range(200)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+    incremental.start(spark.readStream.schema(schema).parquet(source), none, table, state).awaitTermination()
+    assert incremental.newest(spark, table).count() == 200
+    assert len(list((tmp_path / "kb/batch_id=0").glob("part-*.parquet"))) > 1
