@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import paths as P
 from sourceloom.operators.kb import compact, survivors
+from sourceloom.session import shared_dir
 from sourceloom.sources.tree import write_files
 
 
@@ -29,14 +30,18 @@ def write_json(built: DataFrame, root: str) -> DataFrame:
     """One JSON file per path, ``<root>/<repo>/<path without extension>.json``: ``(file_id, repo, json_path, status, reason)``.
 
     Of files that share a path up to the extension, the greatest path is written. A file that cannot be written has the status
-    ``write error``. Each evaluation of the result writes the files.
+    ``write error``. The documents are made once, into a table in the
+    shared folder, from which paths are compared and files are written. Each evaluation of the result writes the files.
     """
     good = built.where(F.col("failure").isNull())
-    chosen = survivors(good.select("repo", "path", "file_id")).select("repo", F.col("kb_file_id").alias("file_id"))
-    documents = compact(good).select(
+    made = compact(good).select("file_id", "repo", "path", "kb_json")
+    table = shared_dir(built.sparkSession, "kb-documents")
+    made.write.parquet(table)
+    made = built.sparkSession.read.schema(made.schema).parquet(table)
+    chosen = survivors(made.select("repo", "path", "file_id")).select("repo", F.col("kb_file_id").alias("file_id"))
+    documents = made.join(chosen, ["repo", "file_id"], "left_semi").select(
         "file_id", "repo", F.concat(P.without_extension(F.col("path")), F.lit(".json")).alias("json_path"), "kb_json"
     )
-    documents = documents.join(chosen, ["repo", "file_id"], "left_semi")
     named = documents.withColumn("_target", F.concat("repo", F.lit("/"), "json_path"))
     return write_files(named, root, "_target", "kb_json").drop("_target")
 

@@ -373,3 +373,10 @@ def test_extra_instructions_reach_the_prompt(spark, small_kb):
 def test_summary_is_written(spark, tmp_path):
     write_summary(spark.createDataFrame([("analyzed", 3)], "status string, n_files long"), str(tmp_path / "log"))
     assert [tuple(r) for r in spark.read.json(str(tmp_path / "log")).select("status", "n_files").collect()] == [("analyzed", 3)]
+
+
+def test_json_files_are_made_from_documents_made_once(spark, tmp_path):
+    files = spark.createDataFrame([(1, "r", "x.js", "let a = 1;"), (2, "r", "x.py", "b = 2")], "file_id long, repo string, path string, content string")
+    log = write_json(K.build(files), str(tmp_path / "json"))
+    assert "damage" not in log._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.file_id, r.status) for r in log.collect()] == [(2, "written")]
