@@ -55,8 +55,16 @@ def lookup_table(files: DataFrame, answers: DataFrame) -> DataFrame:
     A path is answered by the survivor of its key, which may be another file. The join is
     at the grain of files, before any change is touched.
     """
-    keyed = files.select("file_id", "repo", "path", P.without_extension(F.col("path")).alias("kb_key"))
-    return keyed.join(answers, ["repo", "kb_key"], "left").drop("kb_key")
+    return _keyed(files).join(answers, ["repo", "kb_key"], "left").drop("kb_key")
+
+
+def _keyed(files: DataFrame) -> DataFrame:
+    return files.select("file_id", "repo", "path", P.without_extension(F.col("path")).alias("kb_key"))
+
+
+def known_files(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(file_id)`` of the files whose path is answered. ``keys``: ``(repo, kb_key)`` as ``kb.answered`` gives them."""
+    return _keyed(files).join(keys, ["repo", "kb_key"], "left_semi").select("file_id")
 
 
 def _path() -> Column:
@@ -73,9 +81,8 @@ def change_context(changes: DataFrame, lookup: DataFrame) -> DataFrame:
     return changes.join(lookup, "file_id", "left").withColumn("path", _path())
 
 
-def unanalyzed(changes: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Changes whose file the knowledge base does not know."""
-    known = lookup.where(F.col("kb_file_id").isNotNull()).select("file_id")
+def unanalyzed(changes: DataFrame, known: DataFrame) -> DataFrame:
+    """Changes whose file the knowledge base does not know. ``known``: ``(file_id)`` as ``known_files`` gives them."""
     return changes.join(known, "file_id", "left_anti")
 
 

@@ -55,7 +55,7 @@ def analyze(files: DataFrame, languages: Iterable[str] | None = None, kinds: Ite
     ``recovered`` instead if its damage is judged light.
     """
     langs = [LANGUAGES[n] for n in (languages or LANGUAGES)]
-
+    kinds = tuple(kinds)
 
     def step(part: str, source: str, kind: str) -> Column:
         return _by_language(
@@ -63,9 +63,10 @@ def analyze(files: DataFrame, languages: Iterable[str] | None = None, kinds: Ite
         )
 
     prepared = files.withColumn("prepared", T.let(step("prepare", "content", "string"), T.shallow))
-    checked = prepared.withColumn("damage", step("rejected", "prepared", "string"))
-    found = F.when(F.col("damage").isNull(), step("items", "prepared", "array<string>"))
-    itemised = checked.withColumn("items", F.coalesce(found, F.array().cast("array<string>")))
+    itemised = prepared.withColumn("damage", step("rejected", "prepared", "string"))
+    if kinds:  # the outcome of a file needs no items, and the fence below would keep them
+        found = F.when(F.col("damage").isNull(), step("items", "prepared", "array<string>"))
+        itemised = itemised.withColumn("items", F.coalesce(found, F.array().cast("array<string>")))
     recovering = [g for g in langs if g.recoverable is not None]
     rescued = F.lit(False)
     for g in recovering:
@@ -75,7 +76,8 @@ def analyze(files: DataFrame, languages: Iterable[str] | None = None, kinds: Ite
     kept = [c for c in files.columns if c != "content"]
     # Unnesting a one-element array is a fence: filters and column uses above it cannot
     # pull the expressions below it up a second time.
-    found = F.explode(F.array(F.struct("damage", "items", rescued.alias("recovered")))).alias("found")
+    fenced = ["damage", *(["items"] if kinds else []), rescued.alias("recovered")]
+    found = F.explode(F.array(F.struct(*fenced))).alias("found")
     judged = itemised.select(*kept, "content", found).select(*kept, "content", "found.*")
 
     def array(kind: str) -> Column:

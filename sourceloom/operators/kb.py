@@ -128,6 +128,12 @@ def survivors(rows: DataFrame, attach: tuple[str, ...] = ()) -> DataFrame:
     return best.join(wide, same).select("repo", "kb_key", "kb_file_id", *[F.col("_path").alias("path") if c == "path" else c for c in attach])
 
 
+def answered(rows: DataFrame) -> DataFrame:
+    """``(repo, kb_key)``: the keys that some file answers. Which one does not matter, so nothing is ranked or looked up."""
+    keys = rows.where(F.col("file_id").isNotNull()).select("repo", _key(F.col("path")).alias("kb_key"))
+    return keys.distinct()
+
+
 def compact_import(i: Column) -> Column:
     """JSON of one import: the bare name if name and source agree and nothing is picked."""
     bare = F.coalesce(i["name"] == i["source"], F.lit(False)) & (F.coalesce(F.size(i["items"]), F.lit(0)) <= 0)

@@ -17,7 +17,7 @@ from sourceloom.operators.extract import javascript, julia
 from sourceloom.operators.extract.analyze import analyze, unnest
 from sourceloom.operators.extract.shapes import ARRAYS
 from sourceloom.plans.workflows import KnowledgeBase, category_report, draft_prompts
-from sourceloom.session import shared_dir
+from sourceloom.session import shared_dir, written
 from sourceloom.sources import corpus
 from sourceloom.sources.sinks import json_documents, write_json
 from sourceloom.sources.tree import read_tree, write_files
@@ -608,7 +608,7 @@ def change_count(spark, sf):
 def _lookup(spark, sf) -> DataFrame:
     kb = _kb(spark, sf, ("imports",))
     rows = kb.good.select("file_id", "repo", "path", "category", F.col("path").alias("kb_path"))
-    return C.lookup_table(kb.files, K.survivors(rows, ("category", "kb_path")))
+    return C.lookup_table(kb.files, K.survivors(written(rows, "kb-categories"), ("category", "kb_path")))
 
 
 def _changed(spark, sf) -> DataFrame:
@@ -622,7 +622,9 @@ def change_context(spark, sf):
 
 @query
 def unanalyzed_changes(spark, sf):
-    return C.unanalyzed(_t(spark, sf, "changes"), _lookup(spark, sf)).select("commit_id", "file_id")
+    kb = _kb(spark, sf, ())
+    known = C.known_files(kb.files, K.answered(kb.good))
+    return C.unanalyzed(_t(spark, sf, "changes"), known).select("commit_id", "file_id")
 
 
 @query

@@ -231,6 +231,21 @@ def test_context_and_prompt(spark, small_kb):
     assert prompts.BEGIN not in out[3]
 
 
+def test_unanalyzed_changes_need_no_facts(spark, small_kb):
+    known = C.known_files(small_kb.files, K.answered(small_kb.good))
+    looked = {r.file_id for r in small_kb.lookup().where("kb_file_id is not null").collect()}
+    assert {r.file_id for r in known.collect()} == looked and looked
+    files = spark.createDataFrame([(1, "r", "a.py"), (None, "r", "b.py"), (3, None, "a.py"), (4, "r", "a.js")], "file_id long, repo string, path string")
+    changes = spark.createDataFrame([(7, 1), (7, 3), (7, 4), (7, None), (8, 9)], "commit_id long, file_id long")
+    rest = C.unanalyzed(changes, C.known_files(files, K.answered(files.where("path <> 'a.js'"))))
+    assert sorted((r.commit_id, r.file_id or 0) for r in rest.collect()) == [(7, 0), (7, 3), (8, 9)]
+
+
+def test_lookups_read_what_was_extracted_once(small_kb):
+    plan = small_kb.lookup()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
+
+
 def test_large_commits_are_cut_into_whole_parts(spark):
     changes = spark.range(1000).select(F.lit(1).alias("commit_id"), F.col("id").alias("file_id"), F.col("id").alias("seq"), F.concat(F.lit("p"), F.col("id")).alias("path"))
     parts = prompts.with_parts(changes, part_files=100).withColumn("block", F.concat("path", F.lit("\n")))
