@@ -11,6 +11,7 @@ from sourceloom.operators import changes as C
 from sourceloom.operators import kb as K
 from sourceloom.operators import prompts as R
 from sourceloom.operators.extract.shapes import ARRAYS
+from sourceloom.session import written
 
 
 def category_report(files: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -39,8 +40,12 @@ class KnowledgeBase:
         return K.quarantine(self.built)[0]
 
     def lookup(self) -> DataFrame:
-        """Per file the context block that a lookup of its path answers."""
-        return C.lookup_table(self.files, K.survivors(R.file_block(self.good), ("block",)))
+        """Per file the context block that a lookup of its path answers.
+
+        Blocks are made once and written: the winners and their blocks are both read from there.
+        """
+        blocks = written(R.file_block(self.good), "kb-blocks")
+        return C.lookup_table(self.files, K.survivors(blocks, ("block",)))
 
 
 def draft_prompts(kb: KnowledgeBase, changes: DataFrame, diffs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
