@@ -1,8 +1,8 @@
 """Best-fit packing by a plan over the histogram of lengths.
 
 1. ``pieces``: every document is tokenised, closed with an end id, and cut only where it is longer than a
-   sequence. Workers tokenise each word they meet once: this tokenizer drops white space and never
-   joins across it, so a text's ids are those of its words.
+   sequence. Workers tokenise each piece of text they meet once: this tokenizer drops white space and never
+   joins across it, so a text's ids are those of its words, and a word's those of the pieces that its pattern makes.
 2. ``plan``: only the histogram of lengths (at most ``size`` rows) reaches the driver. Best fit, longest
    length first, places counts, not documents: ``n`` pieces of a length go to the fullest bins that
    still hold it. The plan is a list of runs: pieces of a length from rank a on sit in sequences from b on, at one
@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -46,7 +46,7 @@ def tokenizer_path() -> str:
 class Settings:
     size: int = 2048
     end_id: int = 0
-    words: int = 200_000  # of a worker's cache; it starts anew when full
+    words: int = 400_000  # words, and pieces, of a task's tables; they start anew when full
     bucket_rows: int = 4_000
     block: int = 4096  # ranks per block of the join with the plan
 
@@ -74,55 +74,20 @@ class Numbers(dict):
         return n
 
 
-class WordIds:
-    """Token ids of each word met, as slices of one growing array."""
-
-    def __init__(self, path: str, words: int):
-        from tokenizers import Tokenizer
+class IdTable:
+    """Token ids of each string met, as slices of one growing array."""
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), words
-        self.pieces: dict[str, list[int]] = {}  # outlives the words, since many share them
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+    def __init__(self, encode: Callable[[str], list[int]], most: int):
+        self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
         self.at = Numbers()
-        if len(self.pieces) > self.words:
-            self.pieces.clear()
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    #: The tokenizer's own split pattern for Latin-1, and the white space its normalizer drops.
-    PIECE = re.compile(
-        r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
-    )
-    WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-    #: Python takes these for white space too, the tokenizer does not.
-    SEPARATORS = re.compile("[\x1c-\x1f]")
-
-    def encode(self, word: str) -> list[int]:
-        """The tokenizer's own steps one by one, so that pieces that many words share are looked up."""
-        if "<|" in word and any(t in word for t in self.special):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        if (word.isascii() or max(word) < "\u0100") and word.isprintable():
-            # Latin-1 is composed already and has one lower-case letter each
-            split = self.PIECE.findall(word.lower())
-            known = True
-        else:
-            known = False
-            split = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))]
-        ids: list[int] = []
-        for piece in split:
-            if known and not piece.isascii():
-                piece = piece.translate(BYTE_LEVEL)
-            found = self.pieces.get(piece)
-            if found is None:
-                found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece)]
-            ids += found
-        return ids
-
     def learn(self) -> None:
-        made = [self.encode(word) for word in self.at.fresh]
+        made = [self.encode(string) for string in self.at.fresh]
         if not made:
             return
         self.at.fresh = []
@@ -140,24 +105,65 @@ class WordIds:
         self.flat[self.used : end] = np.fromiter(chain.from_iterable(made), np.uint32, end - self.used)
         self.used = end
 
-    def ids(self, text: str) -> np.ndarray:
-        words = self.WORD.findall(text) if self.SEPARATORS.search(text) else text.split()
-        if not words:
+    def ids(self, strings: list[str]) -> np.ndarray:
+        if not strings:
             return np.empty(0, np.uint32)
-        if len(self.at) > self.words:
+        if len(self.at) > self.most:
             self.clear()
-        index = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        index = np.fromiter(map(self.at.__getitem__, strings), np.int64, len(strings))
         self.learn()
         length = self.length[index]
         shift = self.start[index] - (np.cumsum(length) - length)
         return self.flat[np.repeat(shift, length) + np.arange(int(length.sum()))]
 
 
+class WordIds:
+    """Token ids of texts. Texts of plain Latin-1 are split into pieces at once, which are fewer than words; others go word by word."""
+
+    def __init__(self, path: str, words: int):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces, self.words = IdTable(self.piece, words), IdTable(self.encode, words)
+
+    def clear(self) -> None:
+        self.pieces.clear()
+        self.words.clear()
+
+    #: The tokenizer's own split pattern for Latin-1, and the white space its normalizer drops.
+    PIECE = re.compile(
+        r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
+    )
+    WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    #: Python takes these for white space too, the tokenizer does not.
+    SEPARATORS = re.compile("[\x1c-\x1f]")
+    #: Neither printable Latin-1, which is composed already and has one lower-case letter each, nor its white space.
+    OTHER = re.compile("[^\t-\r -~\x85\xa0-\xac\xae-\xff]")
+
+    def piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(BYTE_LEVEL))]
+
+    def encode(self, word: str) -> list[int]:
+        """The tokenizer's own steps one by one."""
+        if "<|" in word and any(t in word for t in self.special):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        if not self.OTHER.search(word):
+            return [i for p in self.PIECE.findall(word.lower()) for i in self.piece(p)]
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))
+        return [t.id for p, _ in split for t in self.tokenizer.model.tokenize(p)]
+
+    def ids(self, text: str) -> np.ndarray:
+        if "<|" not in text and not self.OTHER.search(text):
+            return self.pieces.ids(self.PIECE.findall(text.lower()))
+        return self.words.ids(self.WORD.findall(text) if self.SEPARATORS.search(text) else text.split())
+
+
 WORDS: dict[tuple[str, int], WordIds] = {}
 
 
 def word_ids(path: str, words: int) -> WordIds:
-    """The worker's cache for this tokenizer, kept between tasks."""
+    """The worker's tokenizer, kept between tasks; its tables are emptied by each."""
     if (path, words) not in WORDS:
         WORDS[path, words] = WordIds(path, words)
     return WORDS[path, words]
@@ -186,6 +192,7 @@ def pieces(docs: DataFrame, s: Settings = Settings(), tokenizer: str | None = No
             arrays = [batch["doc_id"].take(pa.array(take, pa.int64()))]
             arrays += [pa.array(r, t) for r, t in zip(rows[1:], types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        known.clear()  # the worker goes on to other work
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
