@@ -63,7 +63,9 @@ class Settings:
     small: int = 32  # nodes of a bucket that are compared pair by pair
     range_rows: int = 400_000  # emissions per hash range
     batch: int = 500  # rows that a Python worker gets at once: two sets of a few thousand shingles each
-    cache: int = 100_000  # words, and digests, that a worker remembers
+    cache: int = 100_000  # digests that a worker remembers
+    block: int = 2**20  # bytes of a text that are hashed at once
+    long_word: int = 512  # bytes
     flush: int = 400_000  # emissions that a worker gathers before it hands them on
 
     @property
@@ -79,31 +81,67 @@ class Settings:
         return min(n, (self.den - self.num) * n // self.den + (self.den - self.num) * n // self.num + 3)
 
 
-class LongHashes(dict):
-    """Word (bytes) -> 64-bit hash, emptied when full."""
+FACTOR = np.uint64(0x9FB21C651E98DF25)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * FACTOR)  # a number per byte
+LETTERS[65:91] = LETTERS[97:123]  # A-Z count as a-z
+SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= Settings.cache:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+class Powers:
+    """Powers of ``BASE`` and of its inverse."""
 
-HASHES = LongHashes()
-FACTOR = np.uint64(0x9FB21C651E98DF25)
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            for name, base in (("up", BASE), ("down", np.uint64(pow(int(BASE), -1, 2**64)))):
+                grown = np.full(2 * n, base)
+                grown[0] = 1
+                setattr(cls, name, np.multiply.accumulate(grown))
+        return cls.up[:n], cls.down[:n]
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
+def word_hashes(raw: np.ndarray, s: Settings) -> np.ndarray:
+    """A 64-bit hash of each word of a text, in order; block by block, A-Z as a-z.
+
+    Differences of prefix sums of a polynomial in ``BASE``, so no word becomes an object. Polynomials modulo 2**64 can be
+    tricked by words of a thousand bytes and more, so words of over ``long_word`` bytes are hashed by themselves.
+    """
+    edges = np.flatnonzero(np.diff(SPACES[raw].view(np.int8), prepend=1, append=1))
+    first, last = edges[0::2], edges[1::2]
+    out = np.empty(len(first), np.uint64)
+    at = 0
+    while at < len(first):
+        # the words that begin within a block; only the last of them may reach beyond it
+        start = first[at]
+        to = int(np.searchsorted(first, start + s.block))
+        end = min(last[to - 1], first[to - 1] + s.long_word)
+        up, down = Powers.of(s.block + s.long_word + 1)
+        sums = np.zeros(end - start + 1, np.uint64)
+        np.cumsum(LETTERS[raw[start:end]] * up[: end - start], out=sums[1:])
+        a, b = first[at:to] - start, np.minimum(last[at:to] - start, end - start)
+        out[at:to] = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * FACTOR
+        at = to
+    for i in np.flatnonzero(last - first > s.long_word).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[first[i] : last[i]].tobytes().lower(), 1)
+    return mixed(out)
+
+
+def shingles(text: str | None, s: Settings) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text; bytes are lower-cased and split as ASCII."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not raw:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(HASHES.__getitem__, raw), np.uint64, len(raw))
-    n = min(words, len(raw))
-    out = np.full(len(raw) - n + 1, n, np.uint64)
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    h = word_hashes(raw, s)
+    if not len(h):
+        return h
+    n = min(s.words, len(h))
+    out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
         out = (out ^ (out >> np.uint64(29))) * FACTOR + h[k : len(h) - n + 1 + k]
-    return np.unique(mixed(out))
+    out = mixed(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def node_of(found: np.ndarray) -> int:
@@ -115,35 +153,23 @@ def low_end(s: Settings) -> np.uint64:
     return np.uint64(min(int(s.reach * 2**64), 2**64 - 1))
 
 
-def measured(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, n, node, low): set size, set digest, emitted shingles of the low share."""
-    ship(docs.sparkSession)
-
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = low_end(s)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                found = shingles(text.as_py(), s.words)
-                rows.append((len(found), node_of(found), int(np.searchsorted(found, end))))
-            columns = np.array(rows, np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *[pa.array(c) for c in columns]], names=["doc_id", "n", "node", "low"]
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sized, f"doc_id {kind}, n long, node long, low long")
+MADE = ["doc_id", "n", "node", "low", "range", "tokens", "nodes"]
 
 
-def common_shingles(docs: DataFrame, emitted: int, s: Settings) -> DataFrame:
-    """(node, df, token) of emitted shingles that at least two nodes emit."""
-    ranges = 1 << max(4, math.ceil(math.log2(max(1, emitted / s.range_rows / s.reach))))
+def measured(docs: DataFrame, s: Settings) -> DataFrame:
+    """In one pass over the texts: (doc_id, n, node, low) per row, its set's size and digest and the emitted shingles of the low share,
+    and (range, tokens, nodes) where ``range`` is set: emissions by hash range."""
+    ship(docs.sparkSession)
+    letters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    ranges = 1 << max(4, math.ceil(math.log2(max(1, letters / 6 / s.range_rows))))  # about six letters are a word and its space
     shift = np.uint64(64 - int(math.log2(ranges)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = low_end(s)
         held: list[tuple[np.ndarray, int]] = []
         seen: set[int] = set()
+        rows, id_type = 0, None
 
         def flush() -> pa.RecordBatch:
             tokens = np.concatenate([t for t, _ in held])
@@ -153,33 +179,44 @@ def common_shingles(docs: DataFrame, emitted: int, s: Settings) -> DataFrame:
             places = (tokens >> shift).astype(np.int64)
             cuts = np.append(np.flatnonzero(np.diff(places, prepend=-1)), len(places))
             spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(places[cuts[:-1]]),
-                    pa.array([tokens[a:b].tobytes() for a, b in spans], pa.binary()),
-                    pa.array([nodes[a:b].tobytes() for a, b in spans], pa.binary()),
-                ],
-                names=["range", "tokens", "nodes"],
-            )
-
-        rows = 0
+            none = [pa.nulls(len(spans), t) for t in (id_type, *[pa.int64()] * 3)]
+            blobs = [
+                pa.array(places[cuts[:-1]]),
+                pa.array([tokens[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([nodes[a:b].tobytes() for a, b in spans], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays([*none, *blobs], names=MADE)
+
         for batch in batches:
+            id_type = batch["doc_id"].type
+            sizes = []
             for text in batch["text"]:
-                found = shingles(text.as_py(), s.words)
-                node = node_of(found)
+                found = shingles(text.as_py(), s)
+                node, low = node_of(found), int(np.searchsorted(found, end))
+                sizes.append((len(found), node, low))
                 if not len(found) or node in seen:
                     continue
                 if len(seen) < s.cache:
                     seen.add(node)  # copies in one task; others meet in the range
-                take = max(int(np.searchsorted(found, end)), s.longest(len(found)))
-                held.append((found[:take], node))
-                rows += min(take, len(found))
+                take = min(max(low, s.longest(len(found))), len(found))
+                held.append((found[:take].copy(), node))
+                rows += take
                 if rows >= s.flush:
                     yield flush()
                     held, rows = [], 0
+            columns = [pa.array(c) for c in np.array(sizes, np.int64).reshape(-1, 3).T]
+            none = [pa.nulls(len(sizes), t) for t in (pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns, *none], names=MADE)
         if held:
             yield flush()
 
+    schema = f"doc_id {kind}, n long, node long, low long, range long, tokens binary, nodes binary"
+    return docs.select("doc_id", "text").mapInArrow(emit, schema)
+
+
+def common_shingles(blobs: DataFrame, s: Settings) -> DataFrame:
+    """(node, df, token) of emitted shingles that at least two nodes emit. ``blobs``: (range, tokens, nodes)."""
+
     def count(group: pa.Table) -> pa.Table:
         tokens = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in group["tokens"]])
         nodes = np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in group["nodes"]])
@@ -195,7 +232,6 @@ def common_shingles(docs: DataFrame, emitted: int, s: Settings) -> DataFrame:
         df = np.where(tokens >= low_end(s), LAST, df)[keep]
         return pa.table({"node": nodes[keep], "df": df, "token": tokens[keep].view(np.int64)})
 
-    blobs = docs.select("text").mapInArrow(emit, "range long, tokens binary, nodes binary")
     return blobs.groupBy("range").applyInArrow(count, "node long, df long, token long")
 
 
@@ -355,8 +391,11 @@ def within_small(rows: DataFrame, s: Settings) -> DataFrame:
     return pairs_of(met.where(fitting("n_a", "n_b", "before_a", "before_b", s)))
 
 
-def differences(around: DataFrame, sets: DataFrame) -> DataFrame:
-    """(centre, token, df, node, n, n_c, label, x, i) per shingle that a node has more or less than its centre, ``i``: its rank, rarest first."""
+def differences(around: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(centre, token, node, n, n_c, label, x, i) per shingle that a node has more or less than its centre, ``i``: its rank, rarest first.
+
+    Shingles of one node only come first and meet nothing, and ranks beyond those that pairs may meet at are of no use: neither is a row.
+    """
     own = sets.select("node", F.col("tokens").alias("own"))
     theirs = sets.select(F.col("node").alias("centre"), F.col("tokens").alias("theirs"))
 
@@ -367,22 +406,29 @@ def differences(around: DataFrame, sets: DataFrame) -> DataFrame:
 
     rows = around.join(own, "node").join(theirs, "centre").withColumn("d", differ("own", "theirs")).drop("own", "theirs")
     rows = settle(rows.select("centre", "node", "n", "n_c", "label", F.size("d").alias("x"), F.explode("d").alias("token")))
-    counts = rows.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("df"))
+    counts = rows.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = rows.join(counts, ["centre", "token"]).groupBy("centre", "node").agg(
         *[F.first(c).alias(c) for c in ("n", "n_c", "label", "x")], F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all")
     )
-    return ranked.select("centre", "node", "n", "n_c", "label", "x", F.posexplode("all").alias("i", "e")).select("*", "e.df", "e.token").drop("e")
+    ranked = ranked.withColumn("alone", F.col("x") - F.size("all"))
+    wanted = F.floor(deepest(s)).cast("int") + 1 - F.col("alone")
+    met = ranked.withColumn("all", F.slice("all", F.lit(1), F.greatest(wanted, F.lit(0))))
+    met = met.select("centre", "node", "n", "n_c", "label", "x", "alone", F.posexplode("all.token").alias("at", "token"))
+    return met.withColumn("i", F.col("at") + F.col("alone")).drop("at", "alone")
+
+
+def deepest(s: Settings) -> Column:
+    """The rank up to which a shared difference of the one with more differences is looked for."""
+    return (F.col("x") + F.col("n") * (1 + s.den / s.num) * (s.den - s.num) / (s.den + s.num)) / 2 + 1e-6
 
 
 def across_centre(around: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Pairs of nodes of different labels that can link although not both link with their centre."""
     rate = (s.den - s.num) / (s.den + s.num)
-    rows = differences(around, sets).where("df > 1").drop("df")
-    rows = settle(rows)
+    more = settle(differences(around, sets, s))
     # the one with fewer differences needs its rarer half: the other, or itself, does not link with the centre
     room = F.greatest(F.col("n") * (s.den / s.num) - F.col("n_c"), F.lit(0.0)) * rate
-    fewer = rows.where(F.col("i") <= (F.col("x") + room) / 2 + 1e-6)
-    more = rows.where(F.col("i") <= (F.col("x") + F.col("n") * (1 + s.den / s.num) * rate) / 2 + 1e-6)
+    fewer = more.where(F.col("i") <= (F.col("x") + room) / 2 + 1e-6)
     keys = ["centre", "token"]
     met = sided(fewer.drop("n_c"), keys, "a").join(sided(more.drop("n_c"), keys, "b"), keys)
     differ = (F.col("n_a") + F.col("n_b")) * rate
@@ -435,13 +481,14 @@ def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def joined(docs: DataFrame, s: Settings) -> DataFrame:
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    info = settle(measured(base, s))
-    emitted = info.agg(F.sum(F.greatest("low", F.lit(3)))).first()[0] or 0
+    made = settle(measured(base, s))
+    info = settle(made.where("n is not null").select("doc_id", "n", "node", "low"))
     nodes = info.where("n > 0").groupBy("node").agg(
         F.first("n").alias("n"), F.first("low").alias("low"), F.min("doc_id").alias("rep")
     )
     nodes = settle(nodes)
-    found = settle(common_shingles(base, emitted, s))
+    found = settle(common_shingles(made.where("range is not null").select("range", "tokens", "nodes"), s))
+    release(made)
     forget()
     entries = settle(index(found, nodes.select("node", "n", "low"), s))
     postings = settle(shared_buckets(entries))
@@ -452,7 +499,7 @@ def joined(docs: DataFrame, s: Settings) -> DataFrame:
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingles(t.as_py(), s.words) for t in batch["text"]]
+            made = [shingles(t.as_py(), s) for t in batch["text"]]
             columns = [pa.array([node_of(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "tokens"])
 

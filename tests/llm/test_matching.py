@@ -245,3 +245,37 @@ def test_large_group_that_shares_a_passage_and_does_not_link(spark, settings):
     found = {r["doc_id"]: r["component_id"] for r in ngram_join.grouped(docs, s).collect()}
     assert found == link_groups(texts, s.words, s.num, s.den)
     assert len(set(found.values())) > 20
+
+
+def test_words_are_hashed_as_they_are_split():
+    s = ngram_join.Settings(block=64, long_word=20)
+    texts = ["", "  \t\n", "A\x0bb\x1cc D\x85e", "x" * 50 + " Y " + "X" * 50 + " " + "x" * 51, "ab " * 100 + "é É ß", " ".join(f"w{i}" for i in range(90))]
+    for text in texts:
+        words = [w.lower() for w in text.encode().split()]
+        found = ngram_join.word_hashes(np.frombuffer(text.encode(), np.uint8), s).tolist()
+        assert len(found) == len(words) and len(set(zip(words, found, strict=True))) == len(set(words)) == len(set(found))
+
+
+def test_one_pass_measures_and_emits(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, "A b c d e F"), (4, "x")], "doc_id long, text string").coalesce(1)
+    rows = ngram_join.measured(docs, ngram_join.Settings()).collect()
+    assert {(r["doc_id"], r["n"]) for r in rows if r["range"] is None} == {(1, 3), (2, 0), (3, 3), (4, 1)}
+    assert sum(len(r["tokens"]) for r in rows if r["range"] is not None) == 8 * 4  # copies emit once
+
+
+def test_differences_that_meet_nothing_are_no_rows(spark):
+    sets = {1: [10, 20, 30], 2: [10, 20, 40, 50], 3: [10, 20, 40, 60]}
+    made = spark.createDataFrame([(k, np.array(v, np.uint64).tobytes()) for k, v in sets.items()], "node long, tokens binary")
+    around = spark.createDataFrame([(1, 3, 2, 4, 2), (1, 3, 3, 4, 3)], "centre long, n_c long, node long, n long, label long")
+    rows = ngram_join.differences(around, made, ngram_join.Settings()).collect()
+    assert rows and all((r["token"], r["i"]) in ((30, 1), (40, 2)) and r["x"] == 3 for r in rows)
+
+
+def test_pieces_are_tokenised_once_for_many_words():
+    known = packing.WordIds(packing.tokenizer_path(), 100)
+    texts = ["Ab ab AB ab, it's Été.\x85x²", "a\x1cb", "漢 ab", "<|endoftext|> ab", "", " "]
+    for text in texts:
+        assert known.ids(text).tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
+    assert list(known.pieces.at) == ["ab", ",", "it", "'s", "été", ".", "x", "²"]
+    known.clear()
+    assert not known.pieces.at and not known.words.at
