@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import forget, mixed, release, settle, ship, small_batches, table
+from sourceloom.llm.common import forget, give_back, mixed, release, settle, ship, small_batches, table
 
 LAST = 2**40  # df of shingles outside the low share: they come last, by hash
 
@@ -89,7 +89,7 @@ SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 class Powers:
-    """Powers of ``BASE`` and of its inverse."""
+    """Powers of ``BASE`` and of its inverse, as many as the longest text so far needs."""
 
     up = down = np.ones(1, np.uint64)
 
@@ -118,7 +118,7 @@ def word_hashes(raw: np.ndarray, s: Settings) -> np.ndarray:
         start = first[at]
         to = int(np.searchsorted(first, start + s.block))
         end = min(last[to - 1], first[to - 1] + s.long_word)
-        up, down = Powers.of(s.block + s.long_word + 1)
+        up, down = Powers.of(end - start + 1)
         sums = np.zeros(end - start + 1, np.uint64)
         np.cumsum(LETTERS[raw[start:end]] * up[: end - start], out=sums[1:])
         a, b = first[at:to] - start, np.minimum(last[at:to] - start, end - start)
@@ -166,6 +166,7 @@ def measured(docs: DataFrame, s: Settings) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         end = low_end(s)
         held: list[tuple[np.ndarray, int]] = []
         seen: set[int] = set()
@@ -209,6 +210,8 @@ def measured(docs: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns, *none], names=MADE)
         if held:
             yield flush()
+        held = []
+        give_back()
 
     schema = f"doc_id {kind}, n long, node long, low long, range long, tokens binary, nodes binary"
     return docs.select("doc_id", "text").mapInArrow(emit, schema)
@@ -222,6 +225,7 @@ def common_shingles(blobs: DataFrame, s: Settings) -> DataFrame:
         nodes = np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in group["nodes"]])
         order = np.lexsort((nodes, tokens))
         tokens, nodes = tokens[order], nodes[order]
+        del order
         fresh = np.ones(len(tokens), bool)
         fresh[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
         tokens, nodes = tokens[fresh], nodes[fresh]
@@ -230,7 +234,10 @@ def common_shingles(blobs: DataFrame, s: Settings) -> DataFrame:
         df = np.repeat(size, size)
         keep = df >= 2
         df = np.where(tokens >= low_end(s), LAST, df)[keep]
-        return pa.table({"node": nodes[keep], "df": df, "token": tokens[keep].view(np.int64)})
+        found = pa.table({"node": nodes[keep], "df": df, "token": tokens[keep].view(np.int64)})
+        del tokens, nodes, fresh, df, keep, size
+        give_back()
+        return found
 
     return blobs.groupBy("range").applyInArrow(count, "node long, df long, token long")
 
@@ -498,6 +505,7 @@ def joined(docs: DataFrame, s: Settings) -> DataFrame:
     texts = texts.dropDuplicates(["doc_id", "text"])  # repeated rows, where the join has left them
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             made = [shingles(t.as_py(), s) for t in batch["text"]]
             columns = [pa.array([node_of(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())]

@@ -279,3 +279,12 @@ def test_pieces_are_tokenised_once_for_many_words():
     assert list(known.pieces.at) == ["ab", ",", "it", "'s", "été", ".", "x", "²"]
     known.clear()
     assert not known.pieces.at and not known.words.at
+
+
+def test_short_texts_take_no_room_of_a_block(monkeypatch):
+    one = np.ones(1, np.uint64)
+    monkeypatch.setattr(ngram_join.Powers, "up", one)
+    monkeypatch.setattr(ngram_join.Powers, "down", one)
+    s = ngram_join.Settings()
+    found = ngram_join.word_hashes(np.frombuffer(b"some words of a short text", np.uint8), s)
+    assert len(found) == 6 and len(ngram_join.Powers.up) < 100 and len(ngram_join.Powers.down) < 100
