@@ -8,8 +8,11 @@
 3. Segments meet by gram. A gram with more than ``hot`` bytes of segments is split: of its windows, some hold at least half of
    the free bytes before the gram, the others more than half of them behind it, and both have a longer string in common by which they
    are grouped anew. A few such steps end at whole windows, which are then equal. So no gram is too much for a task.
-4. The segments of a task are sorted as suffixes by external induced sorting (``suffix_sort``). A window repeats if the suffix
-   there has ``length`` bytes in common with a neighbour, or if its segment was met twice.
+4. Equal windows have the gram at the same place. So each segment of a gram is cut to what it can share: the bytes before and from
+   the gram that it has in common with any other, which are those of its neighbours in the order of what goes before, and of what
+   follows. Segments that are equal then repeat wholly, and a gram with one such stretch is done. The others of a task are sorted
+   as suffixes by external induced sorting (``suffix_sort``). A window repeats if the suffix there has ``length`` bytes in common
+   with a neighbour, or if its segment was met twice.
 5. Spans go back to the segments they were split from, then to the texts by the segments' digests. Digests of many rows are salted by
    their own number of rows. A digest counts as such from a share of all rows, so that a bounded number of them is broadcast.
 
@@ -23,6 +26,7 @@ stay, those named like the outputs are replaced.
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -270,46 +274,100 @@ def scratch_folder() -> str | None:
     return os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
 
 
+def common_start(a: bytes, b: bytes) -> int:
+    """Bytes that two strings have in common at their start."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while low < high - 1:  # the first ``low`` are equal, the first ``high`` are not
+        half = (low + high) // 2
+        if a[low:half] == b[low:half]:
+            low = half
+        else:
+            high = half
+    return low
+
+
+def longest_shared(strings: list[bytes]) -> list[int]:
+    """For each string, the most bytes that its start has in common with any other: with a neighbour in their order."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    out = [0] * len(strings)
+    for i, j in itertools.pairwise(order):
+        same = common_start(strings[i], strings[j])
+        out[i], out[j] = max(out[i], same), same
+    return out
+
+
+def shareable(group: list[list], s: Settings) -> dict[tuple[int, bytes], list[tuple[tuple[int, int], int]]]:
+    """The stretches of a gram's segments that others may share, each with (key, first window) of the segments that hold it.
+
+    ``group``: (key, n, content, low) per segment; the gram is at ``low``. A window that begins ``k`` bytes before the gram and
+    is also in another segment has ``k`` bytes before and ``length - k`` from the gram in common with that one.
+    """
+    ahead = longest_shared([content[low:] for _, _, content, low in group])
+    behind = longest_shared([content[:low][::-1] for _, _, content, low in group])
+    found: dict[tuple[int, bytes], list[tuple[tuple[int, int], int]]] = {}
+    for (key, _, content, low), before, after in zip(group, behind, ahead, strict=True):
+        if before + after >= s.length:
+            found.setdefault((before, content[low - before : low + after]), []).append((key, low - before))
+    return found
+
+
 def shard_spans(rows: Iterator[tuple], s: Settings) -> Iterator[list[tuple[int, int, int, int]]]:
-    """(d1, d2, first window, window after the last) of repeated windows. ``rows``: (gram, d1, d2, n, content), sorted."""
+    """(d1, d2, first window, window after the last) of repeated windows. ``rows``: (gram, d1, d2, n, content, low), sorted."""
     keys: list[tuple[int, int]] = []
-    counts: list[int] = []
+    firsts: list[int] = []
+    known: list[bool] = []  # reported already: such a stretch is sorted for the others only
     lengths: list[int] = []
     with Scratch(scratch_folder(), s.memory) as scratch:
         joined = bytearray()
         path = None
 
-        def keep(group: list[list]) -> Iterator[list]:
+        def add(key: tuple[int, int], first: int, done: bool, content: bytes) -> None:
+            keys.append(key)
+            firsts.append(first)
+            known.append(done)
+            lengths.append(len(content) + 1)
+            joined.extend(content)
+            joined.append(0)
+
+        def keep(group: list[list], whole: bool = True) -> Iterator[list]:
+            """``whole``: these are all segments of the gram."""
             nonlocal path
-            if len(group) == 1:  # nothing to compare with: equal segments were one row
-                key, n, content = group[0]
-                if n > 1:
-                    yield [(*key, 0, len(content) - s.length + 1)]
-                return
-            for key, n, content in group:
-                keys.append(key)
-                counts.append(n)
-                lengths.append(len(content) + 1)
-                joined.extend(content + b"\0")
+            met = [(*key, 0, len(content) - s.length + 1) for key, n, content, _ in group if n > 1]
+            if not whole:
+                for key, n, content, _ in group:
+                    add(key, 0, n > 1, content)
+            elif len(group) > 1:  # else nothing to compare with: equal segments were one row
+                often = {key for key, n, *_ in group if n > 1}
+                found = shareable(group, s)
+                for (_, content), owners in found.items():
+                    if len(owners) > 1:
+                        met += [(*key, first, first + len(content) - s.length + 1) for key, first in owners if key not in often]
+                    if len(found) > 1:
+                        key, first = owners[0]
+                        add(key, first, len(owners) > 1 or key in often, content)
+            if met:
+                yield met
             if len(joined) > s.memory // 8:
                 path = path or scratch.file()
                 with open(path, "ab") as out:
                     out.write(joined)
                 joined.clear()
 
-        gram, group = None, []
-        for g, d1, d2, n, content in rows:
+        gram, group, whole = None, [], True
+        for g, d1, d2, n, content, low in rows:
             if g != gram:
-                yield from keep(group) if group else ()
-                gram, group = g, []
+                yield from keep(group, whole)
+                gram, group, whole = g, [], True
             if group and group[-1][0] == (d1, d2):
                 group[-1][1] += n
             else:
-                group.append([(d1, d2), n, content])
+                group.append([(d1, d2), n, content, low])
                 if len(group) > 10_000:  # more will follow in this or the next group: they need not wait
-                    head, group = group[:-1], group[-1:]
-                    yield from keep(head)
-        yield from keep(group) if group else ()
+                    head, group, whole = group[:-1], group[-1:], False
+                    yield from keep(head, whole)
+        yield from keep(group, whole)
         if not keys:
             return
         if path:
@@ -334,22 +392,22 @@ def shard_spans(rows: Iterator[tuple], s: Settings) -> Iterator[list[tuple[int,
             repeated[previous[same]] = True
             before = place[-1:]
         starts = ends - np.array(lengths)
-        for i in np.flatnonzero(np.array(counts) > 1).tolist():
-            repeated[starts[i] : ends[i] - s.length] = True
+        for i in np.flatnonzero(known).tolist():
+            repeated[starts[i] : ends[i]] = False
         steps = np.flatnonzero(np.diff(np.asarray(repeated).view(np.int8), prepend=0, append=0))
         owner = np.searchsorted(ends, steps[0::2], side="right")
         for k in range(0, len(owner), 100_000):
             part = owner[k : k + 100_000]
             first, last = steps[2 * k : 2 * (k + 100_000) : 2], steps[2 * k + 1 : 2 * (k + 100_000) : 2]
             rows_ = zip(part.tolist(), (first - starts[part]).tolist(), (last - starts[part]).tolist(), strict=True)
-            yield [(*keys[o], a, b) for o, a, b in rows_]
+            yield [(*keys[o], firsts[o] + a, firsts[o] + b) for o, a, b in rows_]
 
 
 def segment_spans(contents: DataFrame, s: Settings) -> DataFrame:
     """(d1, d2, first, last) of the repeated windows of segments, from the suffixes of each shard."""
     size = contents.agg(F.sum(F.length("content"))).first()[0] or 0
     parts = max(1, -(-size // s.shard))
-    columns = ["gram", "d1", "d2", "n", "content"]
+    columns = ["gram", "d1", "d2", "n", "content", "low"]
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*[batch[c].to_pylist() for c in columns], strict=True))

@@ -271,3 +271,44 @@ def test_workers_get_small_batches(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "frequent_grams", lambda docs, s: seen.append(spark.conf.get(key)) or found(docs, s))
     assert suffix_dedup.without_repeats(odd_docs(spark, [(1, "one"), (2, "two")])).count() == 2
     assert seen == [str(suffix_dedup.Settings.batch)] and spark.conf.get(key) == before
+
+
+def gram_of_segments(rng: random.Random, n: int) -> list[bytes]:
+    """Distinct segments of one gram: up to 20 bytes before and behind its 20, as windows of 40 allow."""
+    out = set()
+    while len(out) < n:
+        left, right = ("".join(rng.choice("ab") if rng.random() < 0.15 else "a" for _ in range(rng.randrange(8, 21))) for _ in range(2))
+        if len(left + right) >= 20:
+            out.add((left + "0123456789ABCDEFGHIJ" + right).encode())
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n, often", [(2, 1), (2, 2), (3, 1), (12, 1), (40, 3)])
+def test_segments_of_a_gram_equal_brute_force(n, often):
+    s = suffix_dedup.Settings(length=40, gram=20)
+    for seed in range(20):
+        rng = random.Random(seed)
+        rows, places = [], {}
+        for gram in (5, 9):
+            for i, content in enumerate(gram_of_segments(rng, n)):
+                content = content.replace(b"0", b"%d" % gram)  # another gram
+                count = often if i == 0 else 1
+                rows.append((gram, gram, i, count, content, content.index(b"%d123" % gram)))
+                for w in range(len(content) - s.length + 1):
+                    places.setdefault(content[w : w + s.length], []).extend([(gram, i, w)] * count)
+        want = {place for same in places.values() if len(same) > 1 for place in same}
+        found = [span for part in suffix_dedup.shard_spans(iter(rows), s) for span in part]
+        assert {(d1, d2, w) for d1, d2, a, b in found for w in range(a, b)} == want
+
+
+def test_only_stretches_that_differ_are_sorted(monkeypatch):
+    s = suffix_dedup.Settings(length=40, gram=20)
+    sizes, order = [], suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda t, *rest: sizes.append(len(t)) or order(t, *rest))
+    gram = b"0123456789ABCDEFGHIJ"
+    left, right = b"abcdefghijklmnopqrst", b"ABCDEFGHIJKLMNOPQRST"
+    pair = [(1, 1, 0, 1, b"x" * 5 + left[5:] + gram + right, 20), (1, 1, 1, 1, left + gram + right[:12], 20)]
+    assert [x for part in suffix_dedup.shard_spans(iter(pair), s) for x in part] == [(1, 0, 5, 13), (1, 1, 5, 13)]
+    apart = [(2, 2, i, 1, bytes([97 + i]) * 20 + gram + bytes([97 + i]) * 20, 20) for i in range(9)]
+    assert not [x for part in suffix_dedup.shard_spans(iter(apart), s) for x in part]
+    assert not sizes
