@@ -19,8 +19,9 @@ A text is the set of its shingles (runs of ``words`` words, hashed to 64 bits);
 4. Star rounds: in every bucket, nodes are compared with one centre (that with the fewest rare shingles,
    which is the least edited of near copies), not with each other, and links merge groups; a bucket whose nodes are all in
    one group is done. A few rounds with other centres leave little.
-5. What is left in a small bucket is compared pair by pair. A bucket of more than ``small`` nodes is searched through its centre
-   c: with x the number of shingles that a node has more or less than c, two linked nodes a and b differ in at most
+5. What is left in a small bucket is compared pair by pair. From buckets of more than ``small`` nodes those nodes go that hold
+   more shingles of their own, which no other node of such buckets has, than a link allows. The rest is searched through a
+   centre c, one for all buckets of the same near copies: with x the number of shingles that a node has more or less than c, two linked nodes a and b differ in at most
    ``r (|a| + |b|)`` shingles, r = (1 - t) / (1 + t), so they share at least ``(x_a + x_b - r (|a| + |b|)) / 2`` of these
    differences. Where that is not positive, both link with c and are in its group already. So nodes are indexed by their
    differences, rarest first, and only as far as that many shared ones leave room: texts that share a passage, or that were
@@ -39,13 +40,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.llm.common import forget, give_back, mixed, release, settle, ship, small_batches, table
@@ -299,67 +299,58 @@ def fitting(a: str, b: str, before_a: str, before_b: str, s: Settings) -> Column
     )
 
 
-def likely(rows: DataFrame, column: str, wanted: DataFrame, ids: str) -> DataFrame:
+def likely(rows: DataFrame, column: str, wanted: DataFrame, *ids: str) -> DataFrame:
     """Rows whose ``column`` may be among ``ids`` of ``wanted``, by a bitmap of 2**25 hashed numbers: bounded, and it loses none.
 
     It spares a shuffle of all wide rows before the exact join; where it fills up it merely passes more.
     """
-    hashed = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(2**25))
-    parts = wanted.select((hashed(ids) + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+    hashed = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(2**25)) + 1
+    bits = wanted.select(F.explode(F.array(*[hashed(c) for c in ids])).alias("bit"))
+    parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
-    )
-    bitmap = np.zeros(2**25 // 8, np.uint8)
-    for row in parts.collect():  # at most 1,024 rows of 4 KB; Spark's buckets and bits count from 1
-        part = np.frombuffer(row["bits"], np.uint8)
-        start = (row["bucket"] - 1) * 4096
-        bitmap[start : start + len(part)] = part[: max(0, len(bitmap) - start)]
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def may_hold(bits: pd.Series) -> pd.Series:
-        at = bits.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1 == 1)
-
-    return rows.where(may_hold(hashed(column)))
+    )  # at most 1,024 rows of 4 KB; Spark's buckets count from 1
+    at = F.bitmap_bit_position(hashed(column)).cast("int")
+    byte = F.conv(F.hex(F.substr("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(parts), F.bitmap_bucket_number(hashed(column)) == F.col("bucket"))
+    return found.where(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1).drop("bucket", "bits")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets link, by exact comparison."""
-
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            out.append(s.den * shared >= s.num * (len(both) - shared))
-        return pd.Series(out, dtype=bool)
-
+    """The ``pairs`` (a, b and what else they hold) whose sets link, by exact comparison."""
     pairs = settle(pairs)
-    one = likely(sets, "node", pairs, "a").select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
-    two = likely(sets, "node", pairs, "b").select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
-    return pairs.join(one, "a").join(two, "b").where(similar("tokens_a", "tokens_b")).select("a", "b")
+    held = likely(sets, "node", pairs, "a", "b")
+    one = held.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
+    two = held.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    met = pairs.join(one, "a").join(two, "b")
+    return met.where(both * (s.num + s.den) >= (F.size("tokens_a") + F.size("tokens_b")) * s.num).select(*pairs.columns)
+
+
+def noted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` settled, and their number and a sum of hashes, taken while they are written."""
+    seen = Observation()
+    total = F.sum(F.xxhash64("a", "b") % F.lit(2**40)).alias("total")
+    out = settle(edges.observe(seen, F.count(F.lit(1)).alias("rows"), total))
+    found = seen.get
+    return out, (found.get("rows") or 0, found.get("total"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable from each node that has an edge (a, b)."""
-    edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None  # the state one round ago
-    while True:
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    edges, state = noted(edges.distinct())
+    while state[0]:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.unionAll(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        old, edges = edges, settle(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
+        old, before = edges, state
+        edges, state = noted(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
         release(old)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(2**40))).first()
-        if state == before or not state[0]:
+        if state == before:  # a round changes nothing only where each node hangs on the smallest one
             break
-        before = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
@@ -381,15 +372,18 @@ def star(rows: DataFrame, turn: int, s: Settings) -> DataFrame:
         "key", *[F.col(f"c.{x}").alias(f"{x}_c") for x in ("node", "n", "before", "label")]
     )
     met = rows.join(centre, "key").where((F.col("label") != F.col("label_c")) & fitting("n", "n_c", "before", "before_c", s))
-    return met.select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b")).distinct()
+    return pairs_of(met, ("node", "label"), ("node_c", "label_c"))
 
 
 def sided(rows: DataFrame, keys: list[str], side: str) -> DataFrame:
     return rows.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c not in keys])
 
 
-def pairs_of(met: DataFrame) -> DataFrame:
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+def pairs_of(met: DataFrame, one=("node_a", "label_a"), two=("node_b", "label_b")) -> DataFrame:
+    """Distinct (a, b, label_a, label_b), the smaller node first."""
+    ends = [F.struct(F.col(node).alias("node"), F.col(label).alias("label")) for node, label in (one, two)]
+    met = met.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+    return met.select(*[F.col(f"{x}.node").alias(x) for x in "ab"], *[F.col(f"{x}.label").alias(f"label_{x}") for x in "ab"]).distinct()
 
 
 def within_small(rows: DataFrame, s: Settings) -> DataFrame:
@@ -398,20 +392,73 @@ def within_small(rows: DataFrame, s: Settings) -> DataFrame:
     return pairs_of(met.where(fitting("n_a", "n_b", "before_a", "before_b", s)))
 
 
+def able(large: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(node, tokens) of the nodes of large buckets that can link with another one there.
+
+    A set shares at least the share t of its shingles with any set it links with, so one that holds more than the others
+    leave to it, shingles that no other node of a large bucket has, links with none of them.
+    """
+    nodes = large.select("node").distinct()
+    own = settle(likely(sets, "node", nodes, "node").join(nodes, "node", "left_semi"))
+    df = own.select("node", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("df"), F.min("node").alias("node")
+    )
+    alone = df.where("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    shared = F.size("tokens") - F.coalesce("alone", F.lit(0))
+    return settle(own.join(alone, "node", "left").where(shared * s.den >= F.size("tokens") * s.num).select("node", "tokens"))
+
+
+def centred(large: DataFrame, sets: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(node, n, label, centre, n_c, label_c): nodes of large buckets with their buckets' centres, and with the centres
+    that stand for these.
+
+    Buckets of the same near copies have different centres. Any node may be the centre of a bucket, so of centres that share
+    a bucket and half of their shingles the one with most nodes stands for the others: a node then meets it once.
+    """
+    place = F.struct("before", F.xxhash64("node").alias("hash"), "node", "n", "label")
+    centre = large.groupBy("key").agg(F.min(place).alias("c")).select(
+        "key", F.col("c.node").alias("centre"), F.col("c.n").alias("n_c"), F.col("c.label").alias("label_c")
+    )
+    around = settle(large.join(centre, "key").select("node", "n", "label", "centre", "n_c", "label_c").distinct())
+    met = around.groupBy("centre", "n_c", "label_c").agg(F.count(F.lit(1)).alias("met"))
+    met = settle(met.select("centre", F.struct((-F.col("met")).alias("rank"), "centre", "n_c", "label_c").alias("c")))
+    ends = around.select("centre", "node").join(met.select(F.col("centre").alias("node")), "node").where("centre <> node")
+    ends = ends.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    close = linked(ends, sets, replace(s, num=1, den=2))
+    close = close.unionAll(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    better = close.join(met.select(F.col("centre").alias("b"), "c"), "b").select(F.col("a").alias("centre"), "c")
+    best = settle(better.unionAll(met).groupBy("centre").agg(F.min("c").alias("c")))
+    names = best.select(F.col("centre").alias("old"), F.col("c").alias("new"))
+    best = best.join(names, F.col("c.centre") == F.col("old")).select("centre", F.col("new").alias("c"))  # and what stands for that one
+    named = around.drop("n_c", "label_c").join(best, "centre").select(
+        "node", "n", "label", F.col("c.centre").alias("centre"), F.col("c.n_c").alias("n_c"), F.col("c.label_c").alias("label_c")
+    )
+    return around, settle(named.distinct())
+
+
+def unpacked(sets: DataFrame) -> DataFrame:
+    """Sets (node, tokens) with arrays of shingles, also where they come as bytes."""
+    if sets.schema["tokens"].dataType.simpleString() != "binary":
+        return sets
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = pa.array([np.frombuffer(t.as_buffer(), np.int64) for t in batch["tokens"]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["node"], tokens], names=["node", "tokens"])
+
+    return sets.select("node", "tokens").mapInArrow(unpack, "node long, tokens array<long>")
+
+
 def differences(around: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """(centre, token, node, n, n_c, label, x, i) per shingle that a node has more or less than its centre, ``i``: its rank, rarest first.
 
     Shingles of one node only come first and meet nothing, and ranks beyond those that pairs may meet at are of no use: neither is a row.
     """
+    sets = unpacked(sets)
     own = sets.select("node", F.col("tokens").alias("own"))
-    theirs = sets.select(F.col("node").alias("centre"), F.col("tokens").alias("theirs"))
-
-    @F.pandas_udf("array<long>")
-    def differ(left: pd.Series, right: pd.Series) -> pd.Series:
-        made = zip(left, right, strict=True)
-        return pd.Series([np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), True) for x, y in made], dtype=object)
-
-    rows = around.join(own, "node").join(theirs, "centre").withColumn("d", differ("own", "theirs")).drop("own", "theirs")
+    theirs = likely(sets, "node", around, "centre").select(F.col("node").alias("centre"), F.col("tokens").alias("theirs"))
+    rows = around.join(own, "node").join(theirs, "centre")
+    rows = rows.withColumn("d", F.concat(F.array_except("own", "theirs"), F.array_except("theirs", "own"))).drop("own", "theirs")
     rows = settle(rows.select("centre", "node", "n", "n_c", "label", F.size("d").alias("x"), F.explode("d").alias("token")))
     counts = rows.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = rows.join(counts, ["centre", "token"]).groupBy("centre", "node").agg(
@@ -451,31 +498,41 @@ def across_centre(around: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 
 def remaining(postings: DataFrame, groups: DataFrame | None, sets: DataFrame, s: Settings) -> DataFrame:
     """The groups, once all pairs that the stars left are found: ``postings`` as in ``placed``."""
+
+    def of_size(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of small and of large buckets, of those that hold more than one label."""
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.min("label").alias("l"), F.max("label").alias("h"))
+        sizes = sizes.where("l <> h")
+        few = F.col("nodes") <= s.small
+        return tuple(rows.join(sizes.where(w).select("key"), "key", "left_semi") for w in (few, ~few))
+
     rows = settle(placed(postings, groups))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"))
-    small = rows.join(sizes.where(F.col("nodes") <= s.small).select("key"), "key", "left_semi")
-    large = rows.join(sizes.where(F.col("nodes") > s.small).select("key"), "key", "left_semi")
-    groups = merged(groups, linked(within_small(small, s), sets, s))
-    place = F.struct("before", F.xxhash64("node").alias("hash"), "node", "n")
-    centre = large.groupBy("key").agg(F.min(place).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("n_c"))
-    around = settle(large.join(centre, "key").select("centre", "n_c", "node", "n").distinct())
+    small, large = of_size(rows)
+    able_sets = able(large, sets, s)
+    fewer, large = of_size(settle(large.join(able_sets.select("node"), "node", "left_semi")))
+    around, named = centred(large, able_sets, s)
+    near = around.unionByName(named).where(
+        (F.col("label") != F.col("label_c")) & (F.least("n", "n_c") * s.den >= F.greatest("n", "n_c") * s.num)
+    )
+    near = settle(pairs_of(near, ("node", "label"), ("centre", "label_c")))
+    pairs = within_small(small.unionByName(settle(fewer)), s).unionAll(near)
+    groups = merged(groups, linked(pairs, sets, s))
     release(rows)
-    if not around.isEmpty():
-        near = around.where((F.col("centre") != F.col("node")) & (F.least("n", "n_c") * s.den >= F.greatest("n", "n_c") * s.num))
-        ends = near.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-        groups = merged(groups, linked(ends, sets, s))
-        named = around.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if not named.isEmpty():
+        named = named.drop("label", "label_c").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = named.groupBy("centre").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("centre")
         named = settle(named.join(several, "centre", "left_semi"))
-        groups = merged(groups, linked(across_centre(named, sets, s), sets, s))
+        groups = merged(groups, linked(across_centre(named, able_sets, s), able_sets, s))
     return groups
 
 
 def merged(groups: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """The groups that new edges make of the groups before."""
+    """The groups that new edges, between the labels of the groups before, make of these."""
+    found = components(edges.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
     if groups is not None:
-        edges = edges.unionAll(groups.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    found = components(edges)
+        new = found.select(F.col("node").alias("label"), F.col("label").alias("least"))
+        moved = groups.join(new, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+        found = settle(moved.unionAll(found))
     forget()
     return found
 
@@ -508,10 +565,12 @@ def joined(docs: DataFrame, s: Settings) -> DataFrame:
         give_back()
         for batch in batches:
             made = [shingles(t.as_py(), s) for t in batch["text"]]
-            columns = [pa.array([node_of(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())]
+            edges = np.append(0, np.cumsum([len(m) for m in made])).astype(np.int32)
+            values = pa.array(np.concatenate([*made, np.empty(0, np.uint64)]).view(np.int64))
+            columns = [pa.array([node_of(m) for m in made], pa.int64()), pa.ListArray.from_arrays(pa.array(edges), values)]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "tokens"])
 
-    sets = settle(texts.select("text").mapInArrow(tokens, "node long, tokens binary"))
+    sets = settle(texts.select("text").mapInArrow(tokens, "node long, tokens array<long>"))
     forget()
     groups: DataFrame | None = None
     for turn in range(s.rounds):

@@ -288,3 +288,27 @@ def test_short_texts_take_no_room_of_a_block(monkeypatch):
     s = ngram_join.Settings()
     found = ngram_join.word_hashes(np.frombuffer(b"some words of a short text", np.uint8), s)
     assert len(found) == 6 and len(ngram_join.Powers.up) < 100 and len(ngram_join.Powers.down) < 100
+
+
+def test_large_buckets_hold_nodes_that_can_link_and_one_centre_each(spark):
+    base = list(range(100))
+    sets = {1: base, 2: [*base[1:], 200], 3: [*base[2:], 201, 202], 4: [*base[40:], *range(300, 340)]}  # 4 can link with nothing
+    made = spark.createDataFrame([(k, v) for k, v in sets.items()], "node long, tokens array<long>")
+    buckets = {10: (1, 2, 3, 4), 11: (2, 3, 4), 12: (3, 2)}  # each has another centre
+    rows = [(key, node, 100, at, node) for key, nodes in buckets.items() for at, node in enumerate(nodes)]
+    large = spark.createDataFrame(rows, "key long, node long, n long, before int, label long")
+    s = ngram_join.Settings()
+    kept = ngram_join.able(large, made, s)
+    assert {r["node"] for r in kept.collect()} == {1, 2, 3}
+    around, named = ngram_join.centred(large.where("node < 4"), kept, s)
+    assert {(r["node"], r["centre"]) for r in around.collect()} == {(1, 1), (2, 1), (3, 1), (2, 2), (3, 2), (2, 3), (3, 3)}
+    assert sorted((r["node"], r["centre"], r["n_c"], r["label_c"]) for r in named.collect()) == [(k, 1, 100, 1) for k in (1, 2, 3)]
+
+
+def test_sets_are_compared_without_python_workers(spark):
+    sets = spark.createDataFrame([(1, [1, 2, 3]), (2, [1, 2, 3, 4]), (3, [1, 7, 8]), (-4, [1, 2])], "node long, tokens array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (-4, 1)], "a long, b long")
+    found = ngram_join.linked(pairs, sets, ngram_join.Settings(num=2, den=3))
+    assert sorted(tuple(r) for r in found.collect()) == [(-4, 1), (1, 2)]
+    assert "Python" not in found._jdf.queryExecution().toString()
+    assert ngram_join.components(pairs.where("a = 9")).isEmpty()
